@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import bloomdedup, mixing, sharding
+from mailloom.llm import bloomdedup, mixing, oddsketch, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = oddsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=2, threshold=0.8)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomdedup.annotate_duplicates(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": op4_mixing,
         "op7_sharding": op7_sharding,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
