@@ -82,6 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_slots))
+    tasks = max(1, min(20_000, math.ceil(total / (16 * RUN))))  # a run is one small row until it is exploded, so its bytes say nothing
     n_docs = sized.count()
     buckets = max(1, int(math.sqrt(n_docs)))
     rows = sized.join(plan.select(F.col("source").alias("__source"), "source_no", "source_size", "block_len", "target"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -98,14 +99,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = blocks.select("source_no", "block", "__row", "id", (first - F.col("start")).alias("start_word"), (last - first).alias("n_words"))
 
     # multinomial counts of each source in each shard
-    runs = plan.where("slots > 0").select("source_no", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))).alias("run")).repartition("source_no", "run")
+    runs = plan.where("slots > 0").select("source_no", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))).alias("run")).repartition(tasks, "source_no", "run")
     thrown = runs.select("source_no", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1)).alias("j"))
     draws = thrown.groupBy("source_no", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source_no", "j"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     draws = draws.withColumn("from", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
     # slots walk through the permutations and meet their blocks
-    spread = draws.select("source_no", "shard", "n", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run")).repartition("source_no", "shard", "run")
+    spread = draws.select("source_no", "shard", "n", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run")).repartition(tasks, "source_no", "shard", "run")
     slots = spread.select("source_no", "shard", F.explode(F.sequence(F.col("from") + F.col("run") * RUN, F.col("from") + F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)).alias("slot"))
     slots = slots.join(F.broadcast(plan.select("source_no", "n_blocks")) if plan.count() <= 100_000 else plan.select("source_no", "n_blocks"), "source_no")
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("x", F.pmod("slot", "n_blocks"))
