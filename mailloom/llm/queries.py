@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import bloomdedup, mixing, oddsketch, sharding
+from mailloom.llm import bloomdedup, mixing, oddsketch, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    out = quality.grade_documents(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", "score", "expected_grade", "p_not_toxic", "p_good", F.col("accepted").alias("kept"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken_words(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
@@ -33,6 +40,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = oddsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=2, threshold=0.8)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -51,8 +62,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op4_mixing": op4_mixing,
         "op7_sharding": op7_sharding,
+        "op8_packing": op8_packing,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
