@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import bloomdedup, mixing, oddsketch, packing, quality, sharding
+from mailloom.llm import bloomdedup, langid, lattice, lm, mixing, oddsketch, packing, quality, sharding, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,28 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "score", "expected_grade", "p_not_toxic", "p_good", F.col("accepted").alias("kept"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken_words(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.external_shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -63,7 +80,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_language_id": op2_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_mixing": op4_mixing,
+        "op5_lm_scoring": op5_lm_scoring,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
