@@ -13,6 +13,7 @@ no partition holds a whole group of equal documents.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailloom.llm.staging import stage
+from mailloom.llm.staging import stage, trim
 
 END = 2
 DIMS, BITS = 3, 10
 VECTOR = 256
-CACHE_WORDS = 800_000
+CACHE_WORDS = 150_000
+_MARKS = ".,;:!?"
 
 _encoders: dict[str, tuple] = {}
 _rng = np.random.default_rng(41)
@@ -35,6 +37,20 @@ _SLOT = _rng.integers(0, VECTOR, 1 << 16)
 _SIGN = _rng.choice([-1.0, 1.0], 1 << 16)
 
 
+def _byte_chars() -> list[str]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def _pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 def default_tokenizer() -> str:
     """The place of the word-level BPE vocabulary."""
     import public_tokenizers
@@ -43,11 +59,14 @@ def default_tokenizer() -> str:
 
 
 def _parts(word: str) -> tuple[str, ...]:
-    """Pieces of a word that the tokenizer treats apart: ASCII letters in lower case, and one mark behind them."""
-    if not word.isascii():
+    """Pieces that the tokenizer treats apart: a Latin word in lower case, and one mark behind it.
+
+    Below U+0250 lower case is letter by letter (but for U+0130) and nothing composes.
+    """
+    if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
         return (word,)
     word = word.lower()
-    return (word[:-1], word[-1]) if word[-1] in ".,;:!?" and word[:-1].isalpha() else (word,)
+    return (word[:-1], word[-1]) if word[-1] in _MARKS and word[:-1].isalpha() else (word,)
 
 
 def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
@@ -65,14 +84,20 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
     split = [(text or "").split() for text in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    new = {w: _parts(w) for w in {w for words in split for w in words if w not in known}}
+    new = {w: _parts(w) for w in set().union(*split).difference(known)}
     asked = list({x for parts in new.values() for x in parts if x not in known})
+    rest = []
+    for word in asked:
+        plain = word if word.isascii() or max(word) < "\u0250" else encoder.normalizer.normalize_str(word)
+        if plain.isalpha() or len(plain) == 1 and plain in _MARKS:  # one run of the tokenizer's own pattern: its model alone is enough
+            mapped = plain if plain.isascii() else "".join(map(_BYTE_CHARS.__getitem__, plain.encode()))
+            known[word] = _pack_ids([t.id for t in encoder.model.tokenize(mapped)])
+        else:
+            rest.append(word)
     encode = getattr(encoder, "encode_batch_fast", encoder.encode_batch)
-    for at in range(0, len(asked), 20_000):
-        part = asked[at : at + 20_000]
-        known.update(zip(part, [np.array(e.ids, "<u2").tobytes() for e in encode(part, add_special_tokens=False)], strict=True))
+    known.update(zip(rest, [_pack_ids(e.ids) for e in encode(rest, add_special_tokens=False)], strict=True))
     known.update({w: b"".join([known[x] for x in parts]) for w, parts in new.items()})
-    return [b"".join([known[w] for w in words]) for words in split]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -113,12 +138,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_keys(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces: (id, start, length, ids, doc_tokens, sequence_id, offset, curve_key), ``ids`` as little-endian 16-bit words.
+def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pieces: (id, start, length, doc_tokens, sequence_id, offset, curve_key, ids_crc32, ids), ``ids`` as little-endian 16-bit words.
 
     Each document's ids end with an end-of-text id; each id lies in exactly one
     piece. A null or blank text has that one id. Rows that share an id are placed
-    one after the other. An empty table gives an empty result.
+    one after the other. ``ids_crc32`` is of the ids as little-endian unsigned
+    32-bit words; ``with_ids=False`` leaves out ``ids``. An empty table gives an
+    empty result.
     """
     tokenizer = tokenizer or default_tokenizer()
     end = np.array([END], "<u2").tobytes()
@@ -128,6 +155,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
             for at in range(0, len(frame), 1000):
                 part = frame.iloc[at : at + 1000]
                 ids = [b + end for b in token_ids(part["text"].tolist(), tokenizer)]
+                trim()
                 yield pd.DataFrame({"id": part["id"], "curve_key": curve_keys([np.frombuffer(b[:-2], "<u2") for b in ids]), "n": [len(b) // 2 for b in ids], "ids": ids})
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +175,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
             low = np.maximum(at[row], seq * seq_len)
             high = np.minimum((at + n)[row], (seq + 1) * seq_len)
             start, ids = low - at[row], frame["ids"].to_numpy()
-            yield pd.DataFrame({"id": frame["id"].to_numpy()[row], "start": start, "length": high - low, "ids": [ids[r][2 * s : 2 * e] for r, s, e in zip(row, start, start + high - low, strict=True)], "doc_tokens": n[row], "sequence_id": seq, "offset": low - seq * seq_len, "curve_key": frame["curve_key"].to_numpy()[row]})
+            own = [ids[r][2 * s : 2 * e] for r, s, e in zip(row, start, start + high - low, strict=True)]
+            crc = np.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in own], np.int64)
+            out = pd.DataFrame({"id": frame["id"].to_numpy()[row], "start": start, "length": high - low, "doc_tokens": n[row], "sequence_id": seq, "offset": low - seq * seq_len, "curve_key": frame["curve_key"].to_numpy()[row], "ids_crc32": crc})
+            yield out.assign(ids=own) if with_ids else out
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tokens = stage(rows.mapInPandas(encode, "id long, curve_key long, n long, ids binary"), "tokens")
@@ -157,17 +188,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     heads = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("head"))
     return placed.join(F.broadcast(heads), "part").select("id", "curve_key", "n", "ids", (F.col("local") + F.col("head")).alias("at")).mapInPandas(
-        cut, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long"
+        cut, "id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve_key long, ids_crc32 long" + ", ids binary" * with_ids
     )
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    """Pieces with the crc32 of their ids (as little-endian unsigned 32-bit words) in place of the ids."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            crc = [zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()) for b in frame["ids"]]
-            yield frame.drop(columns="ids").assign(ids_crc32=np.array(crc, np.int64))
-
-    schema = "id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve_key long, ids_crc32 long"
-    return pieces.mapInPandas(run, schema)

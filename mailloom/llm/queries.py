@@ -58,7 +58,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("id", "doc_id")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,18 @@ iteration, is written as Parquet below the folder that the cluster names in
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _staged: list[str] = []
 
 
@@ -28,11 +33,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, bucket: tuple[int, str] | None = None) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written table."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand at most ``rows`` rows at a time to Python in the jobs run inside; texts can be long."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def stage(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
+    """Write ``df`` once, handing ``rows`` rows at a time to Python, and return a DataFrame that reads the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/mailloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
