@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return packing.digest(packing.pack(docs)).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
