@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.staging import shared_folder
+from mailloom.llm.staging import arrow_rows, shared_folder, trim
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(chunk, ids, texts): rows of whole texts that reach ``chunk_bytes``, bucketed by chunk."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +43,8 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
     name = f"mailloom_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = rows.mapInPandas(run, "chunk long, ids array<long>, texts array<string>")
-    table.write.bucketBy(parts, "chunk").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    with arrow_rows(spark, 1000):
+        table.write.bucketBy(parts, "chunk").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -87,6 +88,7 @@ def per_chunk(table: DataFrame, run: Callable[[int, list, list], pd.DataFrame],
         for frame in frames:
             for chunk, ids, texts in zip(frame["chunk"], frame["ids"], frame["texts"], strict=True):
                 yield run(int(chunk), ids, list(texts))
+            trim()
 
     return table.mapInPandas(each, schema)
 
@@ -96,6 +98,7 @@ def with_answers(table: DataFrame, answers: DataFrame, run: Callable[[int, list,
 
     def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [run(int(c), i, list(t), right) for c, i, t in zip(left["chunk"], left["ids"], left["texts"], strict=True)]
+        trim()
         return pd.concat(out) if out else pd.DataFrame({x.strip().split()[0]: [] for x in schema.split(",")})
 
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(each, schema)

@@ -146,13 +146,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id come in a fixed order of their own. Null ids come last. An empty
     table gives an empty result. Memory: 60 bytes for each byte of the longest text.
     """
-    table = chunk_table(docs, id_col, text_col)
+    table = chunk_table(docs, id_col, text_col, chunk_bytes=2 << 20)
     parts = parts_for(table)
 
     def all_anchors(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place in the text, hash) of a chunk's anchors."""
         text, place, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for at, data, starts in buffers(texts):
+        for at, data, starts in buffers(texts, 1 << 18):
             p, h = anchors(data, starts)
             t = np.searchsorted(starts, p, side="right") - 1
             text.append(t + at)
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys, counts = np.unique(h, return_counts=True)
         return question(chunk, keys, counts, parts)
 
-    asked = stage(per_chunk(table, ask, QUESTION), "anchors")
+    asked = stage(per_chunk(table, ask, QUESTION), "anchors", rows=1)
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         _, sums, places = summed(frame)

@@ -56,7 +56,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def buffers(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def buffers(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, starts) for runs of texts; each text is followed by one space, ``starts`` has one entry more."""
     at, size, part = 0, 0, []
     for i, text in enumerate(texts):
