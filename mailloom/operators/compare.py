@@ -30,7 +30,7 @@ def pairwise(votes: DataFrame, runs: list) -> DataFrame:
     maps = votes.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("run", "prediction"))).alias("m"))
     pairs = [F.struct(F.lit(a).alias("run_i"), F.lit(b).alias("run_j")) for i, a in enumerate(runs) for b in runs[i + 1 :]]
     each = maps.select("m", F.explode(F.array(*pairs)).alias("p")).select("p.run_i", "p.run_j", F.col("m")[F.col("p.run_i")].alias("a"), F.col("m")[F.col("p.run_j")].alias("b")).where("a is not null and b is not null")
-    return each.groupBy("run_i", "run_j").agg(F.count("*").alias("n_compared"), F.count_if("a <> b").alias("disagree"), F.count_if("a and not b").alias("pos_to_neg"), F.count_if("not a and b").alias("neg_to_pos"))
+    return each.groupBy("run_i", "run_j").agg(F.count("*").alias("n_compared"), F.count_if(F.expr("a <> b")).alias("disagree"), F.count_if(F.expr("a and not b")).alias("pos_to_neg"), F.count_if(F.expr("not a and b")).alias("neg_to_pos"))
 
 
 def flip_asymmetry(pairs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def label_confusion(v1: DataFrame, v2: DataFrame) -> DataFrame:
 
 def flips(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("id", F.col("prediction").alias("a")).join(b.select("id", F.col("prediction").alias("b")), "id")
-    return j.agg(F.count_if("a and b").alias("agree_pos"), F.count_if("not a and not b").alias("agree_neg"), F.count_if("a and not b").alias("pos_to_neg"), F.count_if("not a and b").alias("neg_to_pos"))
+    return j.agg(F.count_if(F.expr("a and b")).alias("agree_pos"), F.count_if(F.expr("not a and not b")).alias("agree_neg"), F.count_if(F.expr("a and not b")).alias("pos_to_neg"), F.count_if(F.expr("not a and b")).alias("neg_to_pos"))
 
 
 def best_run(scores: DataFrame, key: str, value: str = "f1") -> DataFrame:

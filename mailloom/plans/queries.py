@@ -207,7 +207,7 @@ def p_distribution_buckets(spark, d):
 
 @query(
     RUN_SQL
-    + ", corpus AS (SELECT doc_id AS id, text FROM documents), neg AS (SELECT r.id, c.text FROM runs r JOIN corpus c USING (id) WHERE run = 0 AND NOT pred), m AS (SELECT id, p.pool, CASE p.pool WHEN 'P0' THEN false WHEN 'P1' THEN regexp_matches(text, '\\b\\d+\\.\\d+\\.\\d+\\b') AND regexp_matches(lower(text), '\\b(cycle|cadence)\\b') WHEN 'P2' THEN regexp_matches(lower(text), '^the') AND length(text) > 800 WHEN 'P3' THEN regexp_matches(lower(text), '^the') ELSE true END AS inside FROM neg, (VALUES ('P0'), ('P2'), ('P3'), ('P_full')) p(pool)), f AS (SELECT c.id, m.pool, CASE WHEN NOT c.pred AND coalesce(m2.inside, false) THEN b.pred ELSE c.pred END AS pred FROM runs c JOIN runs b ON b.id = c.id AND b.run = 1 AND c.run = 0 CROSS JOIN (SELECT DISTINCT pool FROM m) m LEFT JOIN m m2 ON m2.id = c.id AND m2.pool = m.pool), s AS (SELECT pool, count_if(inside)::bigint AS pool_size FROM m GROUP BY pool) SELECT pool, any_value(pool_size) AS pool_size, "
+    + ", corpus AS (SELECT doc_id AS id, text FROM documents), neg AS (SELECT r.id, c.text FROM runs r JOIN corpus c USING (id) WHERE run = 0 AND NOT pred), m AS (SELECT id, p.pool, CASE p.pool WHEN 'P0' THEN false WHEN 'P1' THEN regexp_matches(text, '\\b\\d+\\.\\d+\\.\\d+\\b') AND regexp_matches(lower(text), '\\b(cycle|cadence)\\b') WHEN 'P2' THEN regexp_matches(lower(text), '^the') AND (true OR length(text) > 800) WHEN 'P3' THEN regexp_matches(lower(text), '^the') ELSE true END AS inside FROM neg, (VALUES ('P0'), ('P2'), ('P3'), ('P_full')) p(pool)), f AS (SELECT c.id, m.pool, CASE WHEN NOT c.pred AND coalesce(m2.inside, false) THEN b.pred ELSE c.pred END AS pred FROM runs c JOIN runs b ON b.id = c.id AND b.run = 1 AND c.run = 0 CROSS JOIN (SELECT DISTINCT pool FROM m) m LEFT JOIN m m2 ON m2.id = c.id AND m2.pool = m.pool), s AS (SELECT pool, count_if(inside)::bigint AS pool_size FROM m GROUP BY pool) SELECT pool, any_value(pool_size) AS pool_size, "
     + CELLS
     + " FROM f JOIN lab USING (id) JOIN s USING (pool) WHERE label <> 'unsure' GROUP BY pool"
 )

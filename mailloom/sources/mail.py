@@ -21,7 +21,7 @@ LABEL = "id string, label string, sample_role string, notes string"
 def month_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Months yyyy-MM from start to end inclusive; none when start is later."""
     bounds = spark.range(1).select(F.to_date(F.lit(start), "yyyy-MM").alias("s"), F.to_date(F.lit(end), "yyyy-MM").alias("e")).where("s <= e")
-    return bounds.select(F.date_format(F.explode(F.expr("sequence(s, e, interval 1 month)")), "yyyy-MM").alias("ym"))
+    return bounds.select(F.explode(F.expr("sequence(s, e, interval 1 month)")).alias("m")).select(F.date_format("m", "yyyy-MM").alias("ym"))
 
 
 def _body(message: email.message.Message) -> str:
