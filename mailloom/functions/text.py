@@ -5,8 +5,13 @@ Lines split where Python's ``splitlines`` splits; blanks and digits are Unicode.
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate, groupby, takewhile
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns that define attribution lines, versions, vote events and subjects.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -116,3 +121,47 @@ def mail_date(c: Column) -> Column:
 
 def email_domain(c: Column) -> Column:
     return F.substring_index(F.lower(c), "@", -1)
+
+
+_RUN = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("text", T.StringType())])
+CONTEXT = T.StructType([T.StructField("new_content", T.StringType()), T.StructField("quoted_segments", T.ArrayType(_RUN)), T.StructField("attribution_lines", T.ArrayType(T.StringType())), T.StructField("signature", T.StringType())])
+
+
+def _depth(line: str) -> int:
+    return re.match(r"(?:\s*>)*", line)[0].count(">")
+
+
+def _attribution(rows: list[str], i: int, end: int) -> tuple[int, str]:
+    """(lines taken, text) of the attribution at a line of no depth, which mailers wrap over up to three; 0 if none."""
+    first = rows[i].strip()
+    known = lambda t: any(re.search(p, t) for p in ATTRIBUTION)
+    if first.startswith("On ") and not first.endswith("wrote:"):
+        behind = takewhile(lambda x: x.strip() and not _depth(x), rows[i + 1 : min(end, i + 3)])
+        joined = enumerate(accumulate([first, *map(str.strip, behind)], "{} {}".format), 1)
+        taken, text = next(((n, t) for n, t in joined if t.endswith("wrote:")), (0, ""))
+        if taken and known(text):
+            return taken, text
+    return (1, first) if known(first) else (0, "")
+
+
+def _context(body: str | None) -> tuple[str, list[dict], list[str], str | None]:
+    rows = (body or "").splitlines()
+    end = next((i for i, x in enumerate(rows) if re.match(SIGNATURE, x)), len(rows))
+    marked, i = [], 0  # (-1 for an attribution, else the depth; text)
+    while i < end:
+        taken, text = (0, "") if _depth(rows[i]) else _attribution(rows, i, end)
+        marked.append((-1, text) if taken else (_depth(rows[i]), rows[i]))
+        i += taken or 1
+    runs = [(k, [t for _, t in g]) for k, g in groupby(marked, key=lambda m: m[0])]
+    own = [t if t.strip() else "" for k, t in marked if k == 0]
+    kept = [t for t, before in zip(own, ["", *own], strict=False) if t or before]
+    return "\n".join(kept).rstrip(), [{"depth": k, "text": "\n".join(t).strip()} for k, t in runs if k > 0], [t for k, t in marked if k < 0], "\n".join(rows[end + 1 :]).strip() or None
+
+
+@F.pandas_udf(CONTEXT)
+def message_context(bodies: pd.Series) -> pd.DataFrame:
+    """Own text, quoted runs with their depth, attributions and signature of a body; a null body is empty.
+
+    A wrapped attribution takes the lines behind it, so lines are read in order.
+    """
+    return pd.DataFrame([_context(b) for b in bodies], columns=["new_content", "quoted_segments", "attribution_lines", "signature"])

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from mailloom.functions import subjects as S
 from mailloom.functions.text import versions
 
-HEADER = "Version context:"
+# The block that prompts show.
+HEADER = "VERSION CONTEXT (state at this message's timestamp):"
+SHOWN = {"vote_passed": "passed", "vote_failed": "closed", "vote_active": "announced"}
+UNANNOUNCED = "pre_announcement (no [VOTE] yet)"
 
 
 def event_log(messages: DataFrame) -> DataFrame:
@@ -34,6 +37,14 @@ def state_date(ts: Column) -> Column:
     return F.date_format(pick, "yyyy-MM-dd")
 
 
+def state_tag(ts: Column) -> Column:
+    """State with the date of its event, as prompts show it."""
+    state, out = state_at(ts), F.lit(UNANNOUNCED)
+    for name, verb in SHOWN.items():
+        out = F.when(state == name, F.concat(F.lit(f"{name} ({verb} "), state_date(ts), F.lit(")"))).otherwise(out)
+    return out
+
+
 def states(queries: DataFrame, log: DataFrame) -> DataFrame:
     """``queries`` (version, ts, ...) with state and date: an equi-join and a CASE, no range join."""
     return queries.join(log, "version", "left").withColumn("state", state_at(F.col("ts"))).withColumn("state_date", state_date(F.col("ts"))).drop("first_mention_at", "announced_at", "passed_at", "closed_at")
@@ -42,7 +53,7 @@ def states(queries: DataFrame, log: DataFrame) -> DataFrame:
 def context_blocks(messages: DataFrame, log: DataFrame) -> DataFrame:
     """(id, block): the known versions of each message with their state, in first-seen order; empty if none."""
     found = messages.select("id", "ts", F.posexplode(versions(F.concat_ws("\n", "subject", "body"))).alias("pos", "version")).where("ts is not null")
-    lines = found.join(log, "version").withColumn("state", state_at(F.col("ts")))
-    blocks = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "version", F.lit(": "), "state").alias("line")))).alias("rows"))
+    lines = found.join(log, "version").withColumn("tag", state_tag(F.col("ts")))
+    blocks = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "version", F.lit(": "), "tag").alias("line")))).alias("rows"))
     text = F.concat(F.lit(HEADER + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
     return messages.select("id").join(blocks, "id", "left").select("id", F.coalesce(F.when(F.col("rows").isNotNull(), text), F.lit("")).alias("block"))

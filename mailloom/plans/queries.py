@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mailloom.functions import metrics as M
 from mailloom.functions import subjects as S
 from mailloom.functions import text as X
-from mailloom.operators import compare, escalate, evaluate, sampling, versions
+from mailloom.operators import compare, escalate, evaluate, sampling, scoring, versions
 from mailloom.sources.mail import month_spine
 
 RUNS = (0, 137, 401)
@@ -50,6 +50,13 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", subject.alias("subject"), F.concat(F.col("text"), quoted(1, "> "), quoted(2, "> > ")).alias("body"))
 
 
+def vote_mails(spark: SparkSession, d: str) -> DataFrame:
+    """A mail for each event, about one version for each user."""
+    e = table(spark, d, "events").select("ts", "event_id", F.concat(F.lit("1."), F.pmod(F.col("user_id"), F.lit(10)), F.lit("."), F.floor(F.col("user_id") / 10) % 100, F.lit("-"), "user_id").alias("v"), "event_type")
+    tag = F.when(F.col("event_type") == "signup", "[VOTE] ").when(F.col("event_type") == "purchase", "[VOTE PASSED] ").when(F.col("event_type") == "error", "[VOTE CLOSED] ").otherwise("")
+    return e.select(F.col("event_id").alias("id"), "ts", F.concat(tag, F.lit("release "), "v").alias("subject"), F.lit("").alias("body"))
+
+
 RUN_SQL = """WITH runs AS (SELECT r.run, doc_id AS id, ((doc_id * 7919 + r.salt) % 1000) / 1000.0 AS p,
   ((doc_id * 7919 + r.salt) % 1000) >= 800 AS pred FROM documents, (VALUES (0, 0), (1, 137), (2, 401)) r(run, salt)),
 lab AS (SELECT doc_id AS id, CASE WHEN doc_id % 37 = 0 THEN 'unsure' WHEN toxic = 1 THEN 'positive' ELSE 'negative' END AS label,
@@ -231,9 +238,7 @@ def version_extract(spark, d):
 
 @query("SELECT user_id, min(ts) AS first_mention_at, min(CASE WHEN event_type = 'signup' THEN ts END) AS announced_at, min(CASE WHEN event_type = 'purchase' THEN ts END) AS passed_at, min(CASE WHEN event_type = 'error' THEN ts END) AS closed_at FROM events GROUP BY user_id")
 def version_event_log(spark, d):
-    e = table(spark, d, "events").select("ts", "user_id", F.concat(F.lit("1."), F.pmod(F.col("user_id"), F.lit(10)), F.lit("."), F.floor(F.col("user_id") / 10) % 100, F.lit("-"), "user_id").alias("v"), "event_type")
-    tag = F.when(F.col("event_type") == "signup", "[VOTE] ").when(F.col("event_type") == "purchase", "[VOTE PASSED] ").when(F.col("event_type") == "error", "[VOTE CLOSED] ").otherwise("")
-    log = versions.event_log(e.select("ts", F.concat(tag, F.lit("release "), "v").alias("subject"), F.lit("").alias("body")))
+    log = versions.event_log(vote_mails(spark, d))
     return log.select(F.substring_index("version", "-", -1).cast("long").alias("user_id"), "first_mention_at", "announced_at", "passed_at", "closed_at")
 
 
@@ -289,3 +294,48 @@ def latency_percentiles(spark, d):
 def synthetic_ids(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select(F.col("doc_id").alias("id"), X.synthetic_id(F.col("source"), F.coalesce("lang", F.lit("")), F.lit(""), F.col("text")).alias("synth"))
+
+
+@query("""WITH l AS (SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) AS a, min(CASE WHEN event_type = 'purchase' THEN ts END) AS p, min(CASE WHEN event_type = 'error' THEN ts END) AS c FROM events GROUP BY user_id)
+SELECT event_id AS id, 'VERSION CONTEXT (state at this message''s timestamp):' || chr(10) || '- 1.' || user_id % 10 || '.' || user_id // 10 % 100 || '-' || user_id || ': ' ||
+ CASE WHEN p <= ts THEN 'vote_passed (passed ' || strftime(p, '%Y-%m-%d') || ')' WHEN c <= ts THEN 'vote_failed (closed ' || strftime(c, '%Y-%m-%d') || ')'
+ WHEN a <= ts THEN 'vote_active (announced ' || strftime(a, '%Y-%m-%d') || ')' ELSE 'pre_announcement (no [VOTE] yet)' END AS block FROM events JOIN l USING (user_id)""")
+def version_block(spark, d):
+    mails = vote_mails(spark, d)
+    return versions.context_blocks(mails, versions.event_log(mails))
+
+
+# A line that starts with "On " above the attribution is taken for its beginning.
+CONTEXT_SQL = _extract_sql("true QUALIFY depth = 0 AND NOT (starts_with(trim(line), 'On ') AND coalesce(lead(depth) OVER (PARTITION BY id ORDER BY pos), 0) > 0)", "line").replace("md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE text || chr(10) END) AS digest FROM msg", "md5(coalesce(text, '')) AS own, coalesce(s.n, 0)::bigint AS segments, contains(body, chr(10) || '> ')::bigint AS attributions FROM msg LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT id, depth, lag(depth, 1, 0) OVER (PARTITION BY id ORDER BY pos) AS before FROM q) WHERE depth > 0 AND depth <> before GROUP BY id) s USING (id)")
+
+
+@query(CONTEXT_SQL)
+def message_context(spark, d):
+    wrapped = "\nOn Mon, Mar 3, 2014 at 9:00 AM, A. Writer <\nwriter@example.org> wrote:\n> "
+    body = F.regexp_replace(F.col("body"), r"(?s)^(.*?)\n> ", "$1" + wrapped)
+    c = messages(spark, d).select("id", X.message_context(body).alias("c"))
+    return c.select("id", F.md5("c.new_content").alias("own"), F.size("c.quoted_segments").cast("long").alias("segments"), F.size("c.attribution_lines").cast("long").alias("attributions"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 15 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM orders")
+def mail_dates(spark, d):
+    stamp = F.concat(F.date_format("o_orderdate", "E, d MMM yyyy"), F.lit(" 10:00:00 "), F.when(F.col("o_orderkey") % 2 == 0, "-0500").otherwise("EST"), F.lit(" (zone)"))
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(X.mail_date(stamp), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query("SELECT doc_id AS id, doc_id % 2 = 0 AS prediction, source AS evidence_quote, rtrim(substring(coalesce(text, ''), 1, 80)) AS rationale FROM documents WHERE source IS NOT NULL")
+def answers_parsed(spark, d):
+    docs = table(spark, d, "documents").where("source is not null")
+    answer = F.to_json(F.struct((F.col("doc_id") % 2 == 0).alias("prediction"), F.col("source").alias("evidence_quote"), F.rtrim(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("rationale")))
+    kind = F.col("doc_id") % 4
+    said = F.when(kind == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(kind == 2, F.substring(answer, F.lit(1), F.length(answer) - 1)).when(kind == 3, F.substring(answer, F.lit(1), F.length(answer) - 2)).otherwise(answer)
+    return docs.select(F.col("doc_id").alias("id"), scoring.parse_answer(said).alias("a")).select("id", "a.*")
+
+
+@query(RUN_SQL + "SELECT run, id, floor((CASE WHEN p = 0 THEN CASE WHEN pred THEN .999 ELSE .001 END ELSE p END) * 10000 + 0.5) / 10000.0 AS p FROM runs")
+def logprob_reading(spark, d):
+    p = F.col("p_positive")
+    alt = F.array(F.struct(F.lit(" true").alias("token"), F.log(p).alias("logprob")), F.struct(F.lit("false").alias("token"), F.log(1 - p).alias("logprob")))
+    token = F.struct(F.when(p >= 0.5, "true").otherwise("false").alias("token"), F.log(F.greatest(p, 1 - p)).alias("logprob"), alt.alias("top_logprobs"))
+    tokens = F.when(p > 0, F.array(token)).otherwise(F.array().cast("array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>"))
+    return runs(spark, d).select("run", "id", M.rounded(scoring.p_positive(tokens, F.col("prediction"))).alias("p"))
