@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from mailloom.llm.staging import stage, trim
 END = 2
 DIMS, BITS = 3, 10
 VECTOR = 256
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 _MARKS = ".,;:!?"
 
 _encoders: dict[str, tuple] = {}
@@ -48,7 +50,7 @@ _BYTE_CHARS = _byte_chars()
 
 
 def _pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
+    return array("H", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}H", *ids)
 
 
 def default_tokenizer() -> str:
@@ -82,9 +84,11 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
         _encoders[tokenizer] = (Tokenizer.from_file(tokenizer), {})
     encoder, known = _encoders[tokenizer]
     split = [(text or "").split() for text in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = {w: _parts(w) for w in set().union(*split).difference(known)}
+    words = set().union(*split)
+    if len(known) > CACHE_WORDS:  # what these texts use stays, the common words with it
+        known = {w: known[w] for w in words.intersection(known)}
+        _encoders[tokenizer] = (encoder, known)
+    new = {w: _parts(w) for w in words.difference(known)}
     asked = list({x for parts in new.values() for x in parts if x not in known})
     rest = []
     for word in asked:
@@ -96,7 +100,7 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
             rest.append(word)
     encode = getattr(encoder, "encode_batch_fast", encoder.encode_batch)
     known.update(zip(rest, [_pack_ids(e.ids) for e in encode(rest, add_special_tokens=False)], strict=True))
-    known.update({w: b"".join([known[x] for x in parts]) for w, parts in new.items()})
+    known.update({w: b"".join([known[x] for x in parts]) for w, parts in new.items() if parts != (w,)})
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
