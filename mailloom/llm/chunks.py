@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from mailloom.llm.staging import arrow_rows, shared_folder, trim
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4 << 20) -> DataFrame:
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4 << 20, codec: str = "snappy") -> DataFrame:
     """(chunk, ids, texts): rows of whole texts that reach ``chunk_bytes``, bucketed by chunk."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,7 +44,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = rows.mapInPandas(run, "chunk long, ids array<long>, texts array<string>")
     with arrow_rows(spark, 1000):
-        table.write.bucketBy(parts, "chunk").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+        table.write.bucketBy(parts, "chunk").option("path", f"{shared_folder(spark)}/{name}").option("compression", codec).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

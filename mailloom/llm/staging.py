@@ -51,12 +51,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def stage(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
+def stage(df: DataFrame, label: str, rows: int = 1000, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once, handing ``rows`` rows at a time to Python, and return a DataFrame that reads the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/mailloom-{label}-{uuid.uuid4().hex}"
     with arrow_rows(spark, rows):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,12 +5,12 @@ same anchor: the window's least-hashed run of ``GRAM`` bytes. So only suffixes
 that begin at anchors are sorted, about one in 26, and of these only the ones
 whose anchor occurs more than once in the corpus.
 
-Suffixes are range-partitioned by splitters sampled from their leading bytes. In
-each bucket a multikey quicksort orders them, and the common prefixes of
-neighbours, together with the bytes left of the anchor, tell which strings are
-equal and which is the earliest. Splitters are compared on leading bytes that are
-part of every anchor, so suffixes on two sides of a boundary differ within it and
-no match crosses.
+Suffixes are range-partitioned by splitters that Spark samples from their leading
+``GRAM`` bytes. In each bucket a multikey quicksort orders them, some ten thousands
+at a time, and the common prefixes of neighbours, together with the bytes left of
+the anchor, tell which strings are equal and which is the earliest. Splitters, and
+cuts inside a bucket, lie between different anchors, so suffixes on two sides
+of a boundary differ within the anchor and no match crosses.
 
 Of equal suffixes with equal bytes on the left, a chunk sends its earliest only;
 the others repeat that one. A hot passage thus puts one suffix per chunk and
@@ -20,6 +20,7 @@ context into its bucket, however often it occurs.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, summed, with_answers
-from mailloom.llm.staging import stage
+from mailloom.llm.staging import drop_staged, stage, trim
 from mailloom.llm.textbytes import buffers, mix64, powers, prefix
 
 LENGTH = 100
 GRAM = 50
 SPAN = LENGTH - GRAM + 1
 LEFTS = LENGTH - GRAM + 1
-SAMPLES = 64
+RUN = 50_000
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -146,7 +147,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id come in a fixed order of their own. Null ids come last. An empty
     table gives an empty result. Memory: 60 bytes for each byte of the longest text.
     """
-    table = chunk_table(docs, id_col, text_col, chunk_bytes=2 << 20)
+    table = chunk_table(docs, id_col, text_col, chunk_bytes=2 << 20, codec="zstd")
     parts = parts_for(table)
 
     def all_anchors(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,6 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"chunk": frame["chunk"], "part": frame["part"], "n": [len(p) for p in places], "blob": [np.packbits(sums[p] > 1).tobytes() for p in places]})
 
     replied = stage(asked.groupBy("part").applyInPandas(answer, "chunk long, part long, n long, blob binary"), "repeated")
+    drop_staged(docs.sparkSession, asked)
 
     def emit(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
         text, place, h = all_anchors(texts)
@@ -194,17 +196,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 seen[context] = p
                 rows.append((right, left, int(order[t]), t, p))
-        out = pd.DataFrame({"kind": 0, "right": [r[0] for r in rows], "left": [r[1] for r in rows], "id": [r[2] for r in rows], "text": [r[3] for r in rows], "place": [r[4] for r in rows], "chunk": chunk})
-        local = pd.DataFrame({"kind": [1], "right": [np.array(copies, "<u4").tobytes()], "left": [b""], "id": [0], "text": [0], "place": [0], "chunk": [chunk]})
+        out = pd.DataFrame({"kind": 0, "right": [r[0] for r in rows], "left": [r[1] for r in rows], "lead": [int.from_bytes(r[0][:7], "big") for r in rows], "id": [r[2] for r in rows], "text": [r[3] for r in rows], "place": [r[4] for r in rows], "chunk": chunk})
+        local = pd.DataFrame({"kind": [1], "right": [np.array(copies, "<u4").tobytes()], "left": [b""], "lead": [0], "id": [0], "text": [0], "place": [0], "chunk": [chunk]})
         return pd.concat([out, local], ignore_index=True)
 
-    sent = stage(with_answers(table, replied, emit, "kind int, right binary, left binary, id long, text long, place long, chunk long"), "suffixes")
-    suffixes = sent.where("kind = 0").withColumn("lead", F.hex(F.substring("right", 1, 8)))
-    sample = suffixes.where(F.pmod(F.xxhash64("chunk", "text", "place"), F.lit(SAMPLES)) == 0)
-    edges = sample.agg(F.percentile_approx(F.conv(F.substring("lead", 1, 12), 16, 10).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    splitters = sorted(set(edges or []))  # as many as parts
-    number = F.conv(F.substring(F.hex(F.substring("right", 1, 8)), 1, 12), 16, 10).cast("double")
-    bucket = F.expr(f"array_size(filter(array({', '.join(f'{x!r}D' for x in splitters) or '0D'}), x -> x < __lead))") if splitters else F.lit(0)
+    sent = stage(with_answers(table, replied, emit, "kind int, right binary, left binary, lead long, id long, text long, place long, chunk long"), "suffixes", codec="zstd")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         rank = np.empty(len(frame), np.int64)
@@ -213,8 +209,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = masks != 0
         return pd.DataFrame({"chunk": frame["chunk"][hit], "kind": 0, "text": frame["text"][hit], "place": frame["place"][hit], "mask": masks[hit].view(np.int64), "blob": None})
 
-    bucketed = suffixes.withColumn("__lead", number).withColumn("bucket", bucket).select("bucket", "right", "left", "id", "text", "place", "chunk")
-    masks = bucketed.groupBy("bucket").applyInPandas(compare, "chunk long, kind int, text long, place long, mask long, blob binary")
+    def bucket(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        need = RUN
+        for frame in frames:
+            kept.append(frame)
+            if sum(map(len, kept)) < need:
+                continue
+            joined = pd.concat(kept, ignore_index=True)
+            last = joined["right"].iloc[-1][:GRAM]
+            cut = len(joined)
+            while cut and joined["right"].iat[cut - 1][:GRAM] == last:
+                cut -= 1
+            kept = [joined.iloc[cut:]]
+            need = max(RUN, 2 * (len(joined) - cut))
+            if cut:
+                yield compare(joined.iloc[:cut])
+        if kept and sum(map(len, kept)):
+            yield compare(pd.concat(kept, ignore_index=True))
+        trim()
+
+    suffixes = sent.where("kind = 0").select("lead", "right", "left", "id", "text", "place", "chunk")
+    order = ["lead", F.substring("right", 1, GRAM)]
+    bucketed = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    masks = bucketed.select("right", "left", "id", "text", "place", "chunk").mapInPandas(bucket, "chunk long, kind int, text long, place long, mask long, blob binary")
     local = sent.where("kind = 1").select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("text"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("mask"), F.col("right").alias("blob"))
 
     def finish(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
