@@ -60,12 +60,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _simple(word: str) -> bool:
+    """Whether lower case is letter by letter and nothing composes: below U+0250, but for U+0130."""
+    return word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
+
+
 def _parts(word: str) -> tuple[str, ...]:
     """Pieces that the tokenizer treats apart: a Latin word in lower case, and one mark behind it.
 
-    Below U+0250 lower case is letter by letter (but for U+0130) and nothing composes.
+    A word with a bar stays as it is: special tokens hold one and have a case.
     """
-    if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+    if "|" in word or not _simple(word):
         return (word,)
     word = word.lower()
     return (word[:-1], word[-1]) if word[-1] in _MARKS and word[:-1].isalpha() else (word,)
@@ -75,7 +80,8 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
     """Ids of each text as little-endian 16-bit words.
 
     The tokenizer drops white space and no token spans it, so the ids of a text
-    are those of its words; words met before come from a bounded cache.
+    are those of its words; words met before come from a bounded cache. Texts
+    with U+001C to U+001F, white space in Python only, are encoded whole.
     """
     if tokenizer not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -84,6 +90,9 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
         _encoders[tokenizer] = (Tokenizer.from_file(tokenizer), {})
     encoder, known = _encoders[tokenizer]
     split = [(text or "").split() for text in texts]
+    odd = [i for i, text in enumerate(texts) if text and any(c in text for c in "\x1c\x1d\x1e\x1f")]
+    for i in odd:
+        split[i] = []
     words = set().union(*split)
     if len(known) > CACHE_WORDS:  # what these texts use stays, the common words with it
         known = {w: known[w] for w in words.intersection(known)}
@@ -92,7 +101,7 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
     asked = list({x for parts in new.values() for x in parts if x not in known})
     rest = []
     for word in asked:
-        plain = word if word.isascii() or max(word) < "\u0250" else encoder.normalizer.normalize_str(word)
+        plain = word if _simple(word) else encoder.normalizer.normalize_str(word)
         if plain.isalpha() or len(plain) == 1 and plain in _MARKS:  # one run of the tokenizer's own pattern: its model alone is enough
             mapped = plain if plain.isascii() else "".join(map(_BYTE_CHARS.__getitem__, plain.encode()))
             known[word] = _pack_ids([t.id for t in encoder.model.tokenize(mapped)])
@@ -101,7 +110,10 @@ def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
     encode = getattr(encoder, "encode_batch_fast", encoder.encode_batch)
     known.update(zip(rest, [_pack_ids(e.ids) for e in encode(rest, add_special_tokens=False)], strict=True))
     known.update({w: b"".join([known[x] for x in parts]) for w, parts in new.items() if parts != (w,)})
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    out = [b"".join(map(known.__getitem__, own)) for own in split]
+    for i in odd:
+        out[i] = _pack_ids(encoder.encode(texts[i], add_special_tokens=False).ids)
+    return out
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
