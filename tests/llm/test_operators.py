@@ -62,3 +62,28 @@ def test_embeddings(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, 0.0]), (7, [float("nan"), 1.0])]
     r = {x.id: (x.n_links, x.component_id) for x in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert r == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 7: (0, 7)}
+
+
+def test_tokens_of_rare_characters():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    texts = ["İstanbul É, x", "x\x1cy z", "<|ENDOFTEXT|> <|endoftext|>. Ab|C", "日本語 test!!", "a.b,c d,", "été it's 12", " \n", "", None]
+    plain = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert packing.token_ids(texts, path) == [packing._pack_ids(e.ids) for e in plain]
+
+
+def test_suffix_against_brute_force(spark):
+    hot = " ".join(f"hot{i}" for i in range(30))
+    texts = [f"{i % 3} {hot} tail{i} {hot}" if i % 2 else f"{hot[: 100 + i]}" for i in range(40)]
+    seen, expected = set(), []
+    for t in texts:
+        covered = set()
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen:
+                covered.update(range(i, i + 100))
+            seen.add(t[i : i + 100])
+        expected.append((len(covered), hashlib.sha256("".join(c for i, c in enumerate(t) if i not in covered).encode()).hexdigest()))
+    got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).orderBy("id").collect()
+    assert [(r.n_removed, r.kept_sha256) for r in got] == expected
+    assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
