@@ -6,9 +6,10 @@ population count of the XOR of two sketches estimates their difference, and is
 most precise where similarities are high. Sketches of a bucket's members are
 compared in tiles; what passes is confirmed on the full shingle sets.
 
-Documents with equal sets are one class from the start. A bucket does not emit
-its pairs but a few edge-disjoint spanning forests of the pairs that pass, best
-first, which connect what the pairs connect. Sets of under ten shingles have no
+Documents with equal sets are one class from the start. At first a bucket does
+not emit its pairs but a few edge-disjoint spanning forests of the pairs that pass,
+best first; confirmed ones join documents to parts. Then buckets emit every pair
+that passes and whose ends are in different parts. Sets of under ten shingles have no
 bands; they meet through exact keys of the set without one or two of its members,
 which every link between such sets has in common.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.components import components
-from mailloom.llm.staging import hot_lookup, stage
+from mailloom.llm.staging import drop_staged, hot_lookup, stage
 from mailloom.llm.textbytes import buffers, lowered, mix64, span_hashes, words_by_text
 
 BINS, BANDS, ROWS = 256, 42, 6
@@ -247,6 +248,50 @@ def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFram
     return ordered.select("key", "chunk", "many", "id", "n", "m", "sketch").mapInPandas(run, "kind int, key long, a long, b long")
 
 
+def open_pairs(members: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """(a, b): all pairs of a (key, chunk) that pass the sketch and whose ``part`` differs."""
+
+    def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, part = frame["id"].to_numpy(), frame["part"].to_numpy()
+        sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+        m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
+        for i in range(0, len(frame), 64):
+            rows = slice(i, i + 64)
+            ok = (part[rows, None] != part) & (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9)
+            a, b = np.nonzero(ok)
+            a, b = a[a + i < b] + i, b[a + i < b]
+            near = estimate(sk[a], m[a], sk[b], m[b]) >= threshold - slack
+            a, b = ids[a[near]], ids[b[near]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for frame in frames:
+            kept.append(frame)
+            joined = pd.concat(kept, ignore_index=True) if len(kept) > 1 else frame
+            if not len(joined):
+                continue
+            edge = np.flatnonzero((joined["key"].diff() != 0) | (joined["chunk"].diff() != 0))
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield from flush(joined.iloc[s:e])
+            kept = [joined.iloc[edge[-1] :]]
+        if kept and len(kept[0]):
+            yield from flush(kept[0])
+
+    ordered = members.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    return ordered.select("key", "chunk", "id", "part", "n", "m", "sketch").mapInPandas(run, "a long, b long")
+
+
+def confirmed(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, edges: DataFrame) -> DataFrame:
+    """The edges (a, b) whose full sets are similar enough."""
+    sets = stage(full_sets(docs, id_col, text_col, words, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    pairs = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = stage(pairs.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * int(round(threshold * 100))).select("a", "b"), "confirmed")
+    drop_staged(docs.sparkSession, sets)
+    return linked
+
+
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the wanted documents."""
 
@@ -274,15 +319,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = filled.groupBy("set_key").agg(F.min(F.struct("id", "n", "m", "sketch", "keys")).alias("r"), F.count("*").alias("members"))
     classes = stage(classes.select("set_key", "members", F.col("r.id").alias("class_id"), "r.n", "r.m", "r.sketch", "r.keys"), "classes")
     shared = shared_keys(classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("key")))
+    shared = stage(shared, "shared-keys")
     sketches = classes.select(F.col("class_id").alias("id"), "n", "m", "sketch")
     found = stage(bucket_edges(shared.join(sketches, "id"), threshold, slack), "buckets")
     roots = found.where("kind = 1").select("key", F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("many"), F.col("a").alias("id")).distinct()
     across = bucket_edges(roots.join(sketches, "id"), threshold, slack)
     edges = stage(found.unionByName(across).where("kind = 0 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    sets = stage(full_sets(docs, id_col, text_col, words, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-    pairs = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * int(round(threshold * 100))).select("a", "b")
+    linked = confirmed(docs, id_col, text_col, words, threshold, edges)
+    joined = stage(components(linked), "parts")
+    # a forest takes an edge of every end that has one left: buckets of up to FORESTS + 1 members have emitted all their pairs
+    part = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "chunk", "many", "id", F.coalesce("component", "id").alias("part"))
+    part = stage(part, "bucket-parts")
+    wanted = part.groupBy("key").agg(F.count("*").alias("size"), F.max("many").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    wanted = wanted.where((F.col("lo") < F.col("hi")) & (F.col("many") | (F.col("size") > FORESTS + 1))).select("key")
+    rest = open_pairs(part.join(wanted, "key", "left_semi").join(sketches, "id"), threshold, slack)
+    rest = stage(rest.distinct().join(edges, ["a", "b"], "left_anti"), "open-pairs")
+    linked = linked.unionByName(confirmed(docs, id_col, text_col, words, threshold, rest))
     same_id = classes.select("class_id", F.col("class_id").alias("to"))
     parts = components(linked.select("a", "b"))
     labelled = same_id.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("component_id")).distinct()
