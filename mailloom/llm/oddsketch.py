@@ -115,8 +115,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, threshol
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """(key, chunk, many, id) for keys that two rows or more have.
 
-    Rows are range-partitioned by (key, id), so that a hot key spreads over
-    partitions. A key at the edge of a partition may go on in the next one and is kept.
+    Rows are range-partitioned by the key and a hash of (key, id), so that a hot key
+    spreads over partitions, and over other tiles of TILE rows in each band. A key at
+    the edge of a partition may go on in the next one and is kept.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,8 +150,9 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
         yield flush(True)
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    return ordered.withColumn("pid", F.spark_partition_id()).mapInPandas(run, "key long, chunk long, many boolean, id long")
+    order = [F.col("key"), F.xxhash64("key", "id")]
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return ordered.select("key", "id").withColumn("pid", F.spark_partition_id()).mapInPandas(run, "key long, chunk long, many boolean, id long")
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -165,36 +167,33 @@ def estimate(sketch: np.ndarray, m: np.ndarray, other: np.ndarray, m2: np.ndarra
     return np.clip((m + m2 - apart) / 2, 0, None) / np.maximum(np.maximum(m, m2), 1)
 
 
-def forests(score: np.ndarray, least: float, count: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Edges of ``count`` edge-disjoint best spanning forests over scores of ``least`` or more, and the first one's roots."""
-    n, edges, roots = len(score), [], np.zeros(0, np.int64)
+def forests(score: np.ndarray, least: float, count: int) -> list[tuple[int, int]]:
+    """Edges of ``count`` edge-disjoint best spanning forests over scores of ``least`` or more."""
+    n, edges = len(score), []
     score = score.copy()
     np.fill_diagonal(score, -1)
-    for k in range(count):
-        best, via, out, root = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool), []
+    for _ in range(count):
+        best, via, out = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
         made = []
         for _ in range(n):
             i = int(np.argmax(np.where(out, best, -2.0)))
             if best[i] < least:
                 i = int(np.argmax(out))
-                root.append(i)
             else:
                 made.append((int(via[i]), i))
             out[i] = False
             better = out & (score[i] > best)
             best[better], via[better] = score[i][better], i
-        if k == 0:
-            roots = np.array(root)
         if not made:
             break
         edges += made
         for i, j in made:
             score[i, j] = score[j, i] = -1
-    return edges, roots
+    return edges
 
 
-def compare(frame: pd.DataFrame, threshold: float, slack: float) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate edges among the members of one tile (row numbers), and one member of each connected part."""
+def compare(frame: pd.DataFrame, threshold: float, slack: float) -> list[tuple[int, int]]:
+    """Candidate edges among the members of one tile (row numbers)."""
     sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
     m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
     score = np.empty((len(frame), len(frame)))
@@ -205,7 +204,7 @@ def compare(frame: pd.DataFrame, threshold: float, slack: float) -> tuple[list[t
 
 
 def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(kind, key, a, b): candidate edges (kind 0), and for buckets in several tiles one member of each part (kind 1)."""
+    """(a, b): candidate edges within each (key, chunk)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -221,16 +220,13 @@ def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFram
                 m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
                 ok = estimate(sk[two], m[two], sk[two + 1], m[two + 1]) >= threshold - slack
                 two = two[ok & (np.minimum(n[two], n[two + 1]) / np.maximum(n[two], n[two + 1]) >= threshold)]
-                out.append(pd.DataFrame({"kind": 0, "key": 0, "a": ids[two], "b": ids[two + 1]}))
+                out.append(pd.DataFrame({"a": ids[two], "b": ids[two + 1]}))
             for s, k in zip(edge.tolist(), size.tolist(), strict=True):
-                if k > 2 or many[s]:
-                    made, roots = compare(frame.iloc[s : s + k], threshold, slack)
-                    if made:
+                if k > 2 or (k == 2 and many[s]):
+                    if made := compare(frame.iloc[s : s + k], threshold, slack):
                         pairs = ids[s + np.array(made)]
-                        out.append(pd.DataFrame({"kind": 0, "key": 0, "a": pairs[:, 0], "b": pairs[:, 1]}))
-                    if many[s]:
-                        out.append(pd.DataFrame({"kind": 1, "key": key[s], "a": ids[s + roots], "b": 0}))
-            return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"kind": [], "key": [], "a": [], "b": []}, dtype=np.int64)
+                        out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}))
+            return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
 
         for frame in frames:
             kept.append(frame)
@@ -245,21 +241,58 @@ def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFram
             yield flush(kept[0].reset_index(drop=True))
 
     ordered = members.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "id")
-    return ordered.select("key", "chunk", "many", "id", "n", "m", "sketch").mapInPandas(run, "kind int, key long, a long, b long")
+    return ordered.select("key", "chunk", "many", "id", "n", "m", "sketch").mapInPandas(run, "a long, b long")
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, part, ...) with ``chunk``: at most TILE rows of a key, its parts one after the other."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, size = None, 0
+        for frame in frames:
+            if not len(frame):
+                continue
+            key = frame["key"].to_numpy()
+            edge = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            count = np.diff(edge, append=len(key))
+            place = _within(count)
+            if key[0] == last:
+                place[: count[0]] += size
+            last, size = key[-1], int(place[-1]) + 1
+            yield frame.drop(columns="pid").assign(chunk=frame["pid"].to_numpy(np.int64) * (1 << 32) + place // TILE)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "part", "id"]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{c} {t}" for c, t in [*rows.dtypes, ("chunk", "long")])
+    return ordered.withColumn("pid", F.spark_partition_id()).mapInPandas(run, schema)
+
+
+def blocks(tiles: DataFrame) -> DataFrame:
+    """(key, chunk, i, j, side): the pairs of a key's chunks that do not lie in one and the same part; a chunk is side 0 or 1."""
+    each = tiles.groupBy("key", "chunk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    other = each.select("key", F.col("chunk").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = each.withColumnRenamed("chunk", "i").join(other, "key").where("i <= j and least(lo, lo2) < greatest(hi, hi2)").select("key", "i", "j")
+    first = pairs.select("key", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("side"))
+    return first.unionByName(pairs.where("i < j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("side")))
 
 
 def open_pairs(members: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(a, b): all pairs of a (key, chunk) that pass the sketch and whose ``part`` differs."""
+    """(a, b): all pairs of a block (key, i, j) that pass the sketch and whose ``part`` differs."""
 
     def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids, part = frame["id"].to_numpy(), frame["part"].to_numpy()
+        ids, part, side = frame["id"].to_numpy(), frame["part"].to_numpy(), frame["side"].to_numpy()
         sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
         m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
-        for i in range(0, len(frame), 64):
-            rows = slice(i, i + 64)
-            ok = (part[rows, None] != part) & (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9)
+        cut = int((side == 0).sum())  # rows are sorted by side
+        within = cut == len(frame)
+        for i in range(0, cut, 64):
+            rows = np.arange(i, min(i + 64, cut))
+            start = i if within else cut
+            ok = (part[rows, None] != part[start:]) & (np.minimum(n[rows, None], n[start:]) >= threshold * np.maximum(n[rows, None], n[start:]) - 1e-9)
             a, b = np.nonzero(ok)
-            a, b = a[a + i < b] + i, b[a + i < b]
+            a, b = a + i, b + start
+            a, b = a[a < b], b[a < b]
             near = estimate(sk[a], m[a], sk[b], m[b]) >= threshold - slack
             a, b = ids[a[near]], ids[b[near]]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -271,15 +304,15 @@ def open_pairs(members: DataFrame, threshold: float, slack: float) -> DataFrame:
             joined = pd.concat(kept, ignore_index=True) if len(kept) > 1 else frame
             if not len(joined):
                 continue
-            edge = np.flatnonzero((joined["key"].diff() != 0) | (joined["chunk"].diff() != 0))
+            edge = np.flatnonzero(np.any([np.diff(joined[c].to_numpy(), prepend=joined[c].to_numpy()[:1] - (c == "key")) != 0 for c in ("key", "i", "j")], axis=0))
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 yield from flush(joined.iloc[s:e])
             kept = [joined.iloc[edge[-1] :]]
         if kept and len(kept[0]):
             yield from flush(kept[0])
 
-    ordered = members.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return ordered.select("key", "chunk", "id", "part", "n", "m", "sketch").mapInPandas(run, "a long, b long")
+    ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return ordered.select("key", "i", "j", "side", "id", "part", "n", "m", "sketch").mapInPandas(run, "a long, b long")
 
 
 def confirmed(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, edges: DataFrame) -> DataFrame:
@@ -322,17 +355,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stage(shared, "shared-keys")
     sketches = classes.select(F.col("class_id").alias("id"), "n", "m", "sketch")
     found = stage(bucket_edges(shared.join(sketches, "id"), threshold, slack), "buckets")
-    roots = found.where("kind = 1").select("key", F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("many"), F.col("a").alias("id")).distinct()
-    across = bucket_edges(roots.join(sketches, "id"), threshold, slack)
-    edges = stage(found.unionByName(across).where("kind = 0 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    edges = stage(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     linked = confirmed(docs, id_col, text_col, words, threshold, edges)
     joined = stage(components(linked), "parts")
     # a forest takes an edge of every end that has one left: buckets of up to FORESTS + 1 members have emitted all their pairs
-    part = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "chunk", "many", "id", F.coalesce("component", "id").alias("part"))
+    part = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "many", "id", F.coalesce("component", "id").alias("part"))
     part = stage(part, "bucket-parts")
     wanted = part.groupBy("key").agg(F.count("*").alias("size"), F.max("many").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"))
     wanted = wanted.where((F.col("lo") < F.col("hi")) & (F.col("many") | (F.col("size") > FORESTS + 1))).select("key")
-    rest = open_pairs(part.join(wanted, "key", "left_semi").join(sketches, "id"), threshold, slack)
+    tiles = stage(tiled(part.join(wanted, "key", "left_semi").select("key", "id", "part").join(sketches, "id")), "tiles")
+    rest = open_pairs(tiles.join(blocks(tiles), ["key", "chunk"]), threshold, slack)
     rest = stage(rest.distinct().join(edges, ["a", "b"], "left_anti"), "open-pairs")
     linked = linked.unionByName(confirmed(docs, id_col, text_col, words, threshold, rest))
     same_id = classes.select("class_id", F.col("class_id").alias("to"))

@@ -124,3 +124,21 @@ def test_near_dedup_of_a_template(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = [r.component_id for r in oddsketch.near_duplicates(docs, words=1).orderBy("id").collect()]
     assert got == expected
+
+
+def test_near_dedup_across_tiles(spark, monkeypatch):
+    import random
+
+    texts = templated(150, 2, 450, 64, random.Random(6))
+    texts = texts[::2] + texts[1::2]
+    monkeypatch.setattr(oddsketch, "TILE", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in oddsketch.near_duplicates(docs, words=1).orderBy("id").collect()]
+    assert got == near_components(texts, 1)
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(oddsketch, "TILE", 16)
+    tiles = oddsketch.tiled(spark.createDataFrame([(7, i, 0 if i < 90 else i) for i in range(100)] + [(8, 1, 1)], "key long, id long, part long")).cache()
+    met = tiles.join(oddsketch.blocks(tiles), ["key", "chunk"]).groupBy("key", "i", "j").agg({"*": "count"}).collect()
+    assert met and max(r["count(1)"] for r in met) <= 32 and len(met) < 28
