@@ -1,9 +1,7 @@
 """Scoring by a weighted backoff automaton of smoothed n-grams.
 
-States are the root and one for each core word (a word that makes up at least
-``CORE`` of the training tokens, so fewer than 1 / CORE states), entered by
-reading that word. A state's arcs are the words seen at least ``LEAST`` times
-after it; what has no arc follows the failure arc to the root and pays its
+States are the root and one for each training word, entered by reading that word.
+A state's arcs are the words seen at least ``LEAST`` times after it; what has no arc follows the failure arc to the root and pays its
 weight. The root has an arc for every training word and one for unknown words.
 A text is read once from left to right: it starts in the state of the document
 boundary, each token takes an arc (or the failure arc and then the root's), adds
@@ -15,7 +13,8 @@ that the arcs leave; each state's probabilities sum to one over the words and
 the unknown word.
 
 Counts cover all training documents. A chunk of documents fetches the counts of
-just its own words and pairs (``chunks``), so memory is a chunk's, not the corpus's.
+just its own words and pairs (``chunks``), and the mass of the arcs of its own
+words' states, so memory is a chunk's, not the corpus's.
 """
 
 from __future__ import annotations
@@ -27,11 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, summed, with_answers
+from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, split_by_part, summed, with_answers
 from mailloom.llm.staging import stage
 from mailloom.llm.textbytes import buffers, lowered, mix64, span_hashes, words_by_text
 
-CORE = 1e-5
 LEAST = 2
 DISCOUNT = 0.75
 END = np.uint64(0x0E0F0E0F12345677)
@@ -54,18 +52,18 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def core_pairs(tok: np.ndarray, owner: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the state it is read in (-1: the root), and the key of (state, token) or 0 if there can be no arc."""
-    if not len(core) or not len(tok):
-        return np.full(len(tok), -1), np.zeros(len(tok), np.uint64)
-    at = np.minimum(np.searchsorted(core, tok), len(core) - 1)
-    number = np.where(core[at] == tok, at, -1)
-    edge = np.searchsorted(core, END)
-    boundary = edge if edge < len(core) and core[edge] == END else -1
-    state = np.concatenate([[boundary], number[:-1]])
+def arcs(tok: np.ndarray, owner: np.ndarray, keys: np.ndarray, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the state it is read in (a place in ``keys``), and the key of (state, token) or 0 if there can be no arc.
+
+    ``keys[place]`` are the tokens; a pair is not seen more often than either of its words (``counts``).
+    """
+    if not len(tok):
+        return place, np.zeros(0, np.uint64)
+    boundary = np.searchsorted(keys, END)
+    state = np.concatenate([[boundary], place[:-1]])
     state[np.flatnonzero(np.diff(owner, prepend=-1))] = boundary
-    pair = mix64(state.astype(np.uint64) * np.uint64(1 << 32) + number.astype(np.uint64) + np.uint64(1))
-    return state, np.where((state >= 0) & (number >= 0), pair, np.uint64(0))
+    pair = mix64(keys[state] * np.uint64(0x9E3779B97F4A7C15) + tok) | np.uint64(1)
+    return state, np.where((counts[state] >= LEAST) & (counts[place] >= LEAST), pair, np.uint64(0))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,83 +85,84 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     asked = stage(per_chunk(table, ask_words, QUESTION), "words", rows=1)
 
     def answer_words(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, sums, places = summed(frame)
-        answers = pd.DataFrame({"kind": 0, "chunk": frame["chunk"], "part": frame["part"], "key": 0, "value": 0, "blob": [sums[p].astype("<u4").tobytes() for p in places]})
+        _, sums, places = summed(frame)
+        answers = pd.DataFrame({"kind": 0, "chunk": frame["chunk"], "part": frame["part"], "value": 0, "blob": [sums[p].astype("<u4").tobytes() for p in places]})
         none = {"chunk": 0, "part": 0, "blob": None}
-        facts = pd.DataFrame({"kind": [1, 2, 3, 4], "key": 0, "value": [sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum()], **none})
-        # a superset of the core: its bound is known once all parts are summed
-        order = np.argsort(-sums, kind="stable")[: int(1 / CORE)]
-        order = order[sums[order] > 0] if sums.sum() else order[:0]
-        common = order[sums[order] >= CORE * sums.sum()]
-        words = pd.DataFrame({"kind": 5, "key": keys[common].view(np.int64), "value": sums[common], **none})
-        return pd.concat([answers, facts, words])
-
-    replied = stage(asked.groupBy("part").applyInPandas(answer_words, "kind int, chunk long, part long, key long, value long, blob binary"), "word-counts")
+        facts = pd.DataFrame({"kind": [1, 2, 3, 4], "value": [sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum()], **none})
+        return pd.concat([answers, facts])
+
+    replied = stage(asked.groupBy("part").applyInPandas(answer_words, "kind int, chunk long, part long, value long, blob binary"), "word-counts")
     facts = {r["kind"]: r["n"] for r in replied.where("kind between 1 and 4").groupBy("kind").agg(F.sum("value").alias("n")).collect()}
     total, vocabulary = facts.get(1, 0), facts.get(2, 0)
     root_discount = min(0.95, max(0.05, facts.get(3, 0) / max(1, facts.get(3, 0) + 2 * facts.get(4, 0))))
-    common = replied.where((F.col("kind") == 5) & (F.col("value") >= CORE * total)).select("key", "value").toPandas()  # under 1 / CORE rows
-    order = np.argsort(common["key"].to_numpy().view(np.uint64))
-    spark = docs.sparkSession
-    core = spark.sparkContext.broadcast((common["key"].to_numpy().view(np.uint64)[order], common["value"].to_numpy()[order]))
+    word_counts = replied.where("kind = 0").select("chunk", F.lit(0).alias("kind"), "part", "blob")
 
-    def ask_pairs(chunk: int, ids: list, texts: list) -> pd.DataFrame:
+    def values(answers: pd.DataFrame, kind: int, dtype: str = "<u4") -> np.ndarray:
+        own = answers[answers["kind"] == kind].sort_values("part")
+        return np.frombuffer(b"".join(own["blob"]), dtype).astype(np.float64)
+
+    def ask_pairs(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
         tok, owner = tokens(texts)
-        state, pair = core_pairs(tok, owner, core.value[0])
+        words, place = np.unique(tok, return_inverse=True)
+        state, pair = arcs(tok, owner, words, place, values(answers, 0))
         use = pair != 0
         keys, first, inverse = np.unique(pair[use], return_index=True, return_inverse=True)
         counts = np.bincount(inverse, weights=~held_out(ids)[owner][use], minlength=len(keys))
         rows = question(chunk, keys, counts, parts)
-        whose = state[use][first].astype("<u4")
+        whose = words[state[use][first]]
         at = np.cumsum([0, *(len(b) // 8 for b in rows["keys"])])
         return rows.assign(states=[whose[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)])
 
-    pairs = stage(per_chunk(table, ask_pairs, QUESTION + ", states binary"), "pairs", rows=1)
+    pairs = with_answers(table, word_counts, ask_pairs, QUESTION + ", states binary")
 
     def answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
         keys, sums, places = summed(frame)
-        state = np.zeros(len(keys), np.int64)
+        state = np.zeros(len(keys), np.uint64)
         for p, b in zip(places, frame["states"], strict=True):
-            state[p] = np.frombuffer(b, "<u4")
+            state[p] = np.frombuffer(b, np.uint64)
         arc = sums >= LEAST
         own, inverse = np.unique(state[arc], return_inverse=True)
         mass = np.bincount(inverse, weights=sums[arc] - DISCOUNT, minlength=len(own))
         answers = pd.DataFrame({"kind": 0, "chunk": frame["chunk"], "part": frame["part"], "key": 0, "mass": 0.0, "blob": [sums[p].astype("<u4").tobytes() for p in places]})
-        return pd.concat([answers, pd.DataFrame({"kind": 1, "chunk": 0, "part": 0, "key": own, "mass": mass, "blob": None})])
+        at = split_by_part(own, parts)
+        part = np.repeat(np.arange(parts), np.diff(at))
+        return pd.concat([answers, pd.DataFrame({"kind": 1, "chunk": 0, "part": part, "key": own.view(np.int64), "mass": mass, "blob": None})])
 
     pair_counts = stage(pairs.groupBy("part").applyInPandas(answer_pairs, "kind int, chunk long, part long, key long, mass double, blob binary"), "pair-counts")
-    mass = np.zeros(len(order))
-    kept = pair_counts.where("kind = 1").groupBy("key").agg(F.sum("mass").alias("mass")).toPandas()  # one row per state
-    mass[kept["key"].to_numpy().astype(np.int64)] = kept["mass"]
-    left = spark.sparkContext.broadcast(1 - mass / np.maximum(1, common["value"].to_numpy()[order]))
+    masses = pair_counts.where("kind = 1").groupBy("part", "key").agg(F.sum("mass").alias("mass"))
 
-    def read(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
-        def values(kind: int) -> np.ndarray:
-            own = answers[answers["kind"] == kind].sort_values("part")
-            return np.frombuffer(b"".join(own["blob"]), "<u4").astype(np.float64)
+    def answer_states(asking: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.assign(key=known["key"].to_numpy().astype(np.int64).view(np.uint64)).sort_values("key")
+        keys, mass = np.append(known["key"].to_numpy(np.uint64), np.uint64(0)), np.append(known["mass"].to_numpy(np.float64), 0.0)
+        blobs = []
+        for b in asking["keys"]:
+            own = np.frombuffer(b, np.uint64)
+            at = np.searchsorted(keys[:-1], own)
+            blobs.append(np.where((at < len(keys) - 1) & (keys[at] == own), mass[at], 0.0).astype("<f8").tobytes())
+        return pd.DataFrame({"chunk": asking["chunk"], "kind": 2, "part": asking["part"], "blob": blobs})
 
+    state_mass = asked.select("part", "chunk", "keys").groupBy("part").cogroup(masses.groupBy("part")).applyInPandas(answer_states, "chunk long, kind int, part long, blob binary")
+
+    def read(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
         tok, owner = tokens(texts)
-        _, inverse = np.unique(tok, return_inverse=True)
-        c = values(0)[inverse]
+        words, inverse = np.unique(tok, return_inverse=True)
+        counts = values(answers, 0)
+        c = counts[inverse]
         base = np.log10((c + 1) / (total + vocabulary + 1))
         known = np.maximum(c - root_discount, 0) / max(1, total)
         unknown = root_discount * vocabulary / total if total else 1.0
         root = np.where(c > 0, known, unknown)
-        hashes, counts = core.value
-        state, pair = core_pairs(tok, owner, hashes)
-        p = root.copy()
-        inside = state >= 0
-        weight = np.ones(len(tok))
-        weight[inside] = left.value[state[inside]]
-        p *= weight  # the failure arc, then the root's arc
+        state, pair = arcs(tok, owner, words, inverse, counts)
+        left = 1 - values(answers, 2, "<f8") / np.maximum(1, counts)
+        p = root * left[state]  # the failure arc, then the root's arc
         use = pair != 0
         _, where = np.unique(pair[use], return_inverse=True)
-        n = values(1)[where]
+        n = values(answers, 1)[where]
         arc = n >= LEAST
         rows = np.flatnonzero(use)[arc]
         p[rows] += (n[arc] - DISCOUNT) / counts[state[rows]]
         docs_n = len(texts)
         return pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "held_out": held_out(ids), "n_tokens": np.bincount(owner, minlength=docs_n), "n_known": np.bincount(owner, weights=c > 0, minlength=docs_n).astype(np.int64), "train_tokens": total, "base_score": np.bincount(owner, weights=base, minlength=docs_n), "score": np.bincount(owner, weights=np.log10(p), minlength=docs_n)})
 
-    answers = replied.where("kind = 0").select("chunk", F.lit(0).alias("kind"), "part", "blob").unionByName(pair_counts.where("kind = 0").select("chunk", F.lit(1).alias("kind"), "part", "blob"))
+    answers = word_counts.unionByName(pair_counts.where("kind = 0").select("chunk", F.lit(1).alias("kind"), "part", "blob")).unionByName(state_mass)
     return with_answers(table, answers, read, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
