@@ -15,7 +15,9 @@ ANSWER = "prediction boolean, evidence_quote string, rationale string"
 
 
 def body_for(variant: str, body: Column, depth: int | None = None) -> Column:
-    """The body that a variant's prompt shows, capped."""
+    """The body that a variant's prompt shows, capped; variants whose segments or version block are not built are refused."""
+    if variant in ("new_with_marked_quoted", "v2_elided_tagged"):
+        raise ValueError(f"prompt variant {variant} is not built")
     if "elided" in variant:
         shown = elide_quoted(body, 999 if depth is None else depth)
     elif variant == "new_only":

@@ -38,3 +38,13 @@ def test_answers(spark):
     texts = ['{"prediction": true, "evidence_quote": null, "rationale": "r"}', '```json\n{"prediction": false, "rationale": "r"}\n```', '{"prediction": true, "rationale": "r"', '{"prediction": true, "rationale": "r', "no", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", scoring.parse_answer(F.col("t")).alias("a"))
     assert [r.a and r.a.prediction for r in sorted(df.collect())] == [True, False, True, True, None, None]
+
+
+def test_unbuilt_variants_are_refused():
+    import pytest
+
+    from mailloom.operators.scoring import body_for
+
+    for variant in ("new_with_marked_quoted", "v2_elided_tagged"):
+        with pytest.raises(ValueError):
+            body_for(variant, None)
