@@ -11,7 +11,6 @@ need not repeat the keys, and a hot key is one entry in each chunk at most.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.staging import arrow_rows, shared_folder, trim
+from mailloom.llm.staging import stage_bucketed, trim
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4 << 20, codec: str = "snappy") -> DataFrame:
@@ -38,14 +37,8 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
         if ids:
             yield pd.DataFrame({"chunk": [int(pid) * (1 << 32) + made], "ids": [ids], "texts": [texts]})
 
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("pid"))
-    name = f"mailloom_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = rows.mapInPandas(run, "chunk long, ids array<long>, texts array<string>")
-    with arrow_rows(spark, 1000):
-        table.write.bucketBy(parts, "chunk").option("path", f"{shared_folder(spark)}/{name}").option("compression", codec).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return stage_bucketed(rows.mapInPandas(run, "chunk long, ids array<long>, texts array<string>"), "chunk", codec)
 
 
 def parts_for(table: DataFrame, per_part: int = 16 << 20) -> int:

@@ -16,8 +16,8 @@ from mailloom.llm.staging import drop_staged, hot_lookup, stage
 SMALL = 200_000
 
 
-def _lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join with a table of unique keys: broadcast if it is small, else apart for hot keys."""
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of unique numbers as keys: broadcast if it has at most ``SMALL`` rows (10 MB), else apart for hot keys."""
     if table.count() <= SMALL:
         return rows.join(F.broadcast(table), key, "left")
     weights = rows.groupBy(key).agg(F.count("*").alias("__weight"))
@@ -42,14 +42,14 @@ def components(links: DataFrame) -> DataFrame:
         right = hot_lookup(left, joined.select(F.col("node").alias("b"), F.col("rep").alias("rb"), "degree"), "b", "degree", total)
         fewer = right.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         following = stage(fewer, "links")
-        drop_staged(edges.sparkSession, edges)
+        drop_staged(edges)
         edges = following
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[0]
     for later in maps[1:]:
-        found = _lookup(out, later.select(F.col("node").alias("rep"), F.col("rep").alias("next")), "rep")
+        found = lookup(out, later.select(F.col("node").alias("rep"), F.col("rep").alias("next")), "rep")
         out = found.select("node", F.coalesce("next", "rep").alias("rep"))
     out = stage(out, "reps") if len(maps) > 1 else out
     least = out.groupBy("rep").agg(F.min("node").alias("component"))
-    return _lookup(out, least, "rep").select("node", "component")
+    return lookup(out, least, "rep").select("node", "component")

@@ -6,12 +6,20 @@ population count of the XOR of two sketches estimates their difference, and is
 most precise where similarities are high. Sketches of a bucket's members are
 compared in tiles; what passes is confirmed on the full shingle sets.
 
-Documents with equal sets are one class from the start. At first a bucket does
-not emit its pairs but a few edge-disjoint spanning forests of the pairs that pass,
-best first; confirmed ones join documents to parts. Then buckets emit every pair
-that passes and whose ends are in different parts. Sets of under ten shingles have no
-bands; they meet through exact keys of the set without one or two of its members,
-which every link between such sets has in common.
+Documents with equal sets are one class from the start. Links are found in two steps.
+
+1. A tile of a bucket emits a best spanning forest of the pairs whose sketches
+   pass, never its pairs. The forests' edges are confirmed, and confirmed links join
+   documents to parts. In most groups that joins everything.
+2. Forests join documents to candidate groups, and so do buckets of several tiles;
+   every pair that shares a bucket and passes the sketch lies in one group. Groups
+   that still have several parts are cut into tiles, a few megabytes of sketches
+   and sets each. A block is two tiles; it compares all its pairs that lie in
+   different parts by sketch and confirms what passes on the sets it holds. Blocks
+   are spread over tasks, and emit at most one link for each document.
+
+Sets of under ten shingles have no bands; they meet through exact keys of the set
+without one or two of its members, which every link between such sets has in common.
 """
 
 from __future__ import annotations
@@ -24,15 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.components import components
-from mailloom.llm.staging import drop_staged, hot_lookup, stage
+from mailloom.llm.components import components, lookup
+from mailloom.llm.staging import drop_staged, hot_lookup, mark, settled, stage, trim
 from mailloom.llm.textbytes import buffers, lowered, mix64, span_hashes, words_by_text
 
 BINS, BANDS, ROWS = 256, 42, 6
 SKETCH_BITS = 512
 SMALL_SET = 9
 TILE = 1024
-FORESTS = 4
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+BROADCAST_IDS = 500_000
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -167,40 +176,37 @@ def estimate(sketch: np.ndarray, m: np.ndarray, other: np.ndarray, m2: np.ndarra
     return np.clip((m + m2 - apart) / 2, 0, None) / np.maximum(np.maximum(m, m2), 1)
 
 
-def forests(score: np.ndarray, least: float, count: int) -> list[tuple[int, int]]:
-    """Edges of ``count`` edge-disjoint best spanning forests over scores of ``least`` or more."""
-    n, edges = len(score), []
-    score = score.copy()
-    np.fill_diagonal(score, -1)
-    for _ in range(count):
-        best, via, out = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
-        made = []
-        for _ in range(n):
-            i = int(np.argmax(np.where(out, best, -2.0)))
-            if best[i] < least:
-                i = int(np.argmax(out))
-            else:
-                made.append((int(via[i]), i))
-            out[i] = False
-            better = out & (score[i] > best)
-            best[better], via[better] = score[i][better], i
-        if not made:
-            break
-        edges += made
-        for i, j in made:
-            score[i, j] = score[j, i] = -1
-    return edges
+def forest(score: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a best spanning forest over scores of ``least`` or more."""
+    n, made = len(score), []
+    best, via, out = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.argmax(np.where(out, best, -2.0)))
+        if best[i] < least:
+            i = int(np.argmax(out))
+        else:
+            made.append((int(via[i]), i))
+        out[i] = False
+        better = out & (score[i] > best)
+        best[better], via[better] = score[i][better], i
+    return made
+
+
+def alike(n: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(n, other) >= threshold * np.maximum(n, other) - 1e-9
 
 
 def compare(frame: pd.DataFrame, threshold: float, slack: float) -> list[tuple[int, int]]:
-    """Candidate edges among the members of one tile (row numbers)."""
+    """A best spanning forest of the pairs of one tile that pass (row numbers)."""
     sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
     m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
-    score = np.empty((len(frame), len(frame)))
+    score = np.empty((len(frame), len(frame)), np.float32)
     for i in range(0, len(frame), 64):
         score[i : i + 64] = estimate(sk[i : i + 64, None], m[i : i + 64, None], sk[None], m[None])
-    ratio = np.minimum(n[:, None], n) / np.maximum(n[:, None], n)
-    return forests(np.where(ratio >= threshold, score, -1), threshold - slack, FORESTS)
+        score[i : i + 64][~alike(n[i : i + 64, None], n[None], threshold)] = -1
+    np.fill_diagonal(score, -1)
+    return forest(score, threshold - slack)
 
 
 def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFrame:
@@ -219,7 +225,7 @@ def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFram
                 sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
                 m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
                 ok = estimate(sk[two], m[two], sk[two + 1], m[two + 1]) >= threshold - slack
-                two = two[ok & (np.minimum(n[two], n[two + 1]) / np.maximum(n[two], n[two + 1]) >= threshold)]
+                two = two[ok & alike(n[two], n[two + 1], threshold)]
                 out.append(pd.DataFrame({"a": ids[two], "b": ids[two + 1]}))
             for s, k in zip(edge.tolist(), size.tolist(), strict=True):
                 if k > 2 or (k == 2 and many[s]):
@@ -245,21 +251,23 @@ def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFram
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, id, part, ...) with ``chunk``: at most TILE rows of a key, its parts one after the other."""
+    """``rows`` (key, part, id, n, ...) with ``chunk``: at most BLOCK rows of a key and BLOCK_SHINGLES of their ``n`` (or one row), its parts one after the other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, size = None, 0
+        last, size, weight = None, 0, 0
         for frame in frames:
             if not len(frame):
                 continue
-            key = frame["key"].to_numpy()
+            key, n = frame["key"].to_numpy(), frame["n"].to_numpy()
             edge = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
             count = np.diff(edge, append=len(key))
-            place = _within(count)
+            ahead = np.cumsum(n) - n
+            place, load = _within(count), ahead - np.repeat(ahead[edge], count)
             if key[0] == last:
                 place[: count[0]] += size
-            last, size = key[-1], int(place[-1]) + 1
-            yield frame.drop(columns="pid").assign(chunk=frame["pid"].to_numpy(np.int64) * (1 << 32) + place // TILE)
+                load[: count[0]] += weight
+            last, size, weight = key[-1], int(place[-1]) + 1, int(load[-1] + n[-1])
+            yield frame.drop(columns="pid").assign(chunk=frame["pid"].to_numpy(np.int64) * (1 << 32) + place // BLOCK + load // BLOCK_SHINGLES)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "part", "id"]
@@ -277,25 +285,40 @@ def blocks(tiles: DataFrame) -> DataFrame:
     return first.unionByName(pairs.where("i < j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("side")))
 
 
-def open_pairs(members: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(a, b): all pairs of a block (key, i, j) that pass the sketch and whose ``part`` differs."""
-
-    def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids, part, side = frame["id"].to_numpy(), frame["part"].to_numpy(), frame["side"].to_numpy()
-        sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
-        m, n = frame["m"].to_numpy(np.float64), frame["n"].to_numpy(np.float64)
-        cut = int((side == 0).sum())  # rows are sorted by side
-        within = cut == len(frame)
-        for i in range(0, cut, 64):
-            rows = np.arange(i, min(i + 64, cut))
-            start = i if within else cut
-            ok = (part[rows, None] != part[start:]) & (np.minimum(n[rows, None], n[start:]) >= threshold * np.maximum(n[rows, None], n[start:]) - 1e-9)
-            a, b = np.nonzero(ok)
-            a, b = a + i, b + start
-            a, b = a[a < b], b[a < b]
-            near = estimate(sk[a], m[a], sk[b], m[b]) >= threshold - slack
-            a, b = ids[a[near]], ids[b[near]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def block_links(frame: pd.DataFrame, threshold: float, slack: float) -> list[tuple[int, int]]:
+    """Confirmed links (row numbers) that join the parts of one block, sorted by side, as far as any pair of it does."""
+    part = np.unique(frame["part"].to_numpy(), return_inverse=True)[1]
+    sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+    m, n = frame["m"].to_numpy(np.float64), frame["shingles"].str.len().to_numpy(np.int64) // 8
+    shingle = np.unique(np.frombuffer(b"".join(frame["shingles"]), np.int64), return_inverse=True)[1]
+    first = np.cumsum(n) - n
+    hit, share, found = np.zeros(shingle.max() + 1, bool), int(round(threshold * 100)), []
+    cut = int((frame["side"] == 0).sum())
+    within = cut == len(frame)
+    for a in range(cut):
+        b = np.arange(a + 1 if within else cut, len(frame))
+        b = b[(part[b] != part[a]) & alike(n[b], n[a], threshold)]
+        b = b[estimate(sk[a], m[a], sk[b], m[b]) >= threshold - slack]
+        if not len(b):
+            continue
+        own = shingle[first[a] : first[a] + n[a]]
+        hit[own] = True
+        both = np.add.reduceat(hit[shingle], first, dtype=np.int64)[b] if len(b) > 8 else np.array([hit[shingle[first[x] : first[x] + n[x]]].sum() for x in b])
+        hit[own] = False
+        b = b[both * 100 >= share * (n[a] + n[b] - both)]
+        for p, at in zip(*np.unique(part[b], return_index=True), strict=True):
+            found.append((a, int(b[at])))
+            part[part == p] = part[a]
+    return found
+
+
+def links_of_blocks(members: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """(a, b): confirmed links between different parts in each block (key, i, j)."""
+
+    def flush(frame: pd.DataFrame) -> pd.DataFrame:
+        made = np.array(block_links(frame, threshold, slack), np.int64).reshape(-1, 2)
+        ids = frame["id"].to_numpy()
+        return pd.DataFrame({"a": ids[made[:, 0]], "b": ids[made[:, 1]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -306,13 +329,14 @@ def open_pairs(members: DataFrame, threshold: float, slack: float) -> DataFrame:
                 continue
             edge = np.flatnonzero(np.any([np.diff(joined[c].to_numpy(), prepend=joined[c].to_numpy()[:1] - (c == "key")) != 0 for c in ("key", "i", "j")], axis=0))
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                yield from flush(joined.iloc[s:e])
+                yield flush(joined.iloc[s:e])
             kept = [joined.iloc[edge[-1] :]]
         if kept and len(kept[0]):
-            yield from flush(kept[0])
+            yield flush(kept[0])
+        trim()
 
     ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return ordered.select("key", "i", "j", "side", "id", "part", "n", "m", "sketch").mapInPandas(run, "a long, b long")
+    return ordered.select("key", "i", "j", "side", "id", "part", "n", "m", "sketch", "shingles").mapInPandas(run, "a long, b long")
 
 
 def confirmed(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, edges: DataFrame) -> DataFrame:
@@ -321,20 +345,39 @@ def confirmed(docs: DataFrame, id_col: str, text_col: str, words: int, threshold
     pairs = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     linked = stage(pairs.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * int(round(threshold * 100))).select("a", "b"), "confirmed")
-    drop_staged(docs.sparkSession, sets)
+    drop_staged(sets)
     return linked
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted documents."""
+def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame, packed: bool = False) -> DataFrame:
+    """(id, shingles) of the wanted documents, as an array or as bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "shingles": [u.view(np.int64) for u in shingle_sets(frame["text"].tolist(), words)]})
+            sets = [u.tobytes() if packed else u.view(np.int64) for u in shingle_sets(frame["text"].tolist(), words)]
+            yield pd.DataFrame({"id": frame["id"], "shingles": sets})
 
-    wanted = F.broadcast(wanted) if wanted.count() <= 2_000_000 else wanted  # ids only: 16 MB; else texts are shuffled
+    if wanted.count() <= BROADCAST_IDS:  # numbers: 20 MB as a hash table; else texts are shuffled
+        wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    return rows.mapInPandas(run, "id long, shingles array<long>")
+    return rows.mapInPandas(run, "id long, shingles " + ("binary" if packed else "array<long>"))
+
+
+def open_links(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, slack: float, classes: DataFrame, parts: DataFrame, joint: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between parts of one candidate group; ``joint`` (a, b) joins documents to groups."""
+    own = parts.select("node", F.col("component").alias("part"))
+    a = lookup(joint, own.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a")
+    both = lookup(a, own.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    groups = stage(components(both), "groups")
+    if not groups.take(1):
+        return both.limit(0)
+    rows = lookup(classes.select(F.col("class_id").alias("node"), "n", "m", "sketch"), own, "node").withColumn("part", F.coalesce("part", "node"))
+    rows = lookup(rows, groups.select(F.col("node").alias("part"), F.col("component").alias("key")), "part").where("key is not null").dropDuplicates(["node"])
+    tiles = stage(tiled(rows.select("key", "part", F.col("node").alias("id"), "n", "m", "sketch")), "tiles")
+    sets = stage(full_sets(docs, id_col, text_col, words, tiles.select("id").distinct(), packed=True).dropDuplicates(["id"]), "sets")
+    pairs = stage(blocks(tiles), "blocks")
+    members = tiles.join(sets, "id").join(F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs, ["key", "chunk"])
+    return stage(links_of_blocks(members, threshold, slack), "block-links", rows=BLOCK)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, slack: float = 0.14) -> DataFrame:
@@ -343,38 +386,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when their sets' intersection is at least ``threshold``
     of their union. ``component_id`` is the smallest id reachable; ``kept`` marks
     it. A null or blank text has an empty set and links with nothing. Rows that
-    share an id are one document for links. A null id has a null component and
-    is kept. An empty table gives an empty result.
+    share an id are one document for links; where their texts differ, sets are
+    confirmed on one of them. A null id has a null component and is kept. Other
+    columns of ``docs`` are not looked at. A long text needs about 60 bytes of memory
+    for each of its bytes. An empty table gives an empty result.
     """
+    since = mark()
     sigs = stage(signatures(docs, id_col, text_col, words, threshold), "signatures")
     total = sigs.count()
     filled = sigs.where("n > 0 and id is not null")
     classes = filled.groupBy("set_key").agg(F.min(F.struct("id", "n", "m", "sketch", "keys")).alias("r"), F.count("*").alias("members"))
     classes = stage(classes.select("set_key", "members", F.col("r.id").alias("class_id"), "r.n", "r.m", "r.sketch", "r.keys"), "classes")
-    shared = shared_keys(classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("key")))
-    shared = stage(shared, "shared-keys")
+    shared = stage(shared_keys(classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("key"))), "shared-keys")
     sketches = classes.select(F.col("class_id").alias("id"), "n", "m", "sketch")
     found = stage(bucket_edges(shared.join(sketches, "id"), threshold, slack), "buckets")
     edges = stage(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     linked = confirmed(docs, id_col, text_col, words, threshold, edges)
-    joined = stage(components(linked), "parts")
-    # a forest takes an edge of every end that has one left: buckets of up to FORESTS + 1 members have emitted all their pairs
-    part = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "many", "id", F.coalesce("component", "id").alias("part"))
-    part = stage(part, "bucket-parts")
-    wanted = part.groupBy("key").agg(F.count("*").alias("size"), F.max("many").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    wanted = wanted.where((F.col("lo") < F.col("hi")) & (F.col("many") | (F.col("size") > FORESTS + 1))).select("key")
-    tiles = stage(tiled(part.join(wanted, "key", "left_semi").select("key", "id", "part").join(sketches, "id")), "tiles")
-    rest = open_pairs(tiles.join(blocks(tiles), ["key", "chunk"]), threshold, slack)
-    rest = stage(rest.distinct().join(edges, ["a", "b"], "left_anti"), "open-pairs")
-    linked = linked.unionByName(confirmed(docs, id_col, text_col, words, threshold, rest))
-    same_id = classes.select("class_id", F.col("class_id").alias("to"))
-    parts = components(linked.select("a", "b"))
-    labelled = same_id.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("component_id")).distinct()
-    keyed = stage(classes.select("set_key", "members", "class_id").join(labelled, "class_id").select("set_key", "members", "component_id"), "labelled")
+    parts = stage(components(linked), "parts")
+    large = shared.where("many")
+    stars = lookup(large, large.groupBy("key").agg(F.min("id").alias("a")), "key").where("a <> id").select("a", F.col("id").alias("b"))
+    more = open_links(docs, id_col, text_col, words, threshold, slack, classes, parts, edges.unionByName(stars.distinct()))
+    first = lookup(classes.select("set_key", "members", F.col("class_id").alias("node")), parts, "node").withColumn("component", F.coalesce("component", "node"))
+    ends = lookup(lookup(more, parts.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a"), parts.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b")
+    joined = components(ends.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+    last = lookup(first, joined.select(F.col("node").alias("component"), F.col("component").alias("component_id")), "component")
+    keyed = stage(last.select("set_key", "members", F.coalesce("component_id", "component").alias("component_id")), "labelled")
     out = hot_lookup(sigs.select("id", "n", "set_key"), keyed, "set_key", "members", max(1, total))
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
+    component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.coalesce("component_id", "id"))
     out = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return settled(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), "near-duplicates", since)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

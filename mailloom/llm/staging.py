@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_staged: list[str] = []
+_staged: list[tuple[str, str | None]] = []  # (folder, table in the catalogue)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,26 +57,54 @@ def stage(df: DataFrame, label: str, rows: int = 1000, codec: str = "snappy") ->
     path = f"{shared_folder(spark)}/mailloom-{label}-{uuid.uuid4().hex}"
     with arrow_rows(spark, rows):
         df.write.parquet(path, compression=codec)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged.append((path, None))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_staged(spark: SparkSession, df: DataFrame) -> None:
+def stage_bucketed(df: DataFrame, key: str, codec: str, rows: int = 1000) -> DataFrame:
+    """``stage`` as a table bucketed by ``key``, which later joins on the key need not move again."""
+    spark = df.sparkSession
+    name = f"mailloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with arrow_rows(spark, rows):
+        df.write.bucketBy(parts, key).option("path", path).option("compression", codec).format("parquet").saveAsTable(name)
+    _staged.append((path, name))
+    return spark.table(name)
+
+
+def mark() -> int:
+    """How many tables are staged; see ``settled``."""
+    return len(_staged)
+
+
+def settled(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``df`` staged, and what was staged after ``since`` deleted: an operator's last step."""
+    out = stage(df, label)
+    for path, name in _staged[since:-1]:
+        _delete(df.sparkSession, path, name)
+    del _staged[since:-1]
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
     """Delete one staged table whose last reader has finished."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        name = path.rsplit("/", 1)[1]
-        for known in [p for p in _staged if p.endswith(name)]:
-            _delete(spark, known)
-            _staged.remove(known)
+    for entry in [e for e in _staged if e[0] == df.staged_at]:
+        _delete(df.sparkSession, *entry)
+        _staged.remove(entry)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table staged by this process; results read from them are gone then."""
     while _staged:
-        _delete(spark, _staged.pop())
+        _delete(spark, *_staged.pop())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str, name: str | None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"chunk": frame["chunk"], "part": frame["part"], "n": [len(p) for p in places], "blob": [np.packbits(sums[p] > 1).tobytes() for p in places]})
 
     replied = stage(asked.groupBy("part").applyInPandas(answer, "chunk long, part long, n long, blob binary"), "repeated")
-    drop_staged(docs.sparkSession, asked)
+    drop_staged(asked)
 
     def emit(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
         text, place, h = all_anchors(texts)
