@@ -13,10 +13,8 @@ no partition holds a whole group of equal documents.
 from __future__ import annotations
 
 import os
-import struct
-import sys
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailloom.llm.staging import stage, trim
+from mailloom.llm.staging import drop_staged, stage, trim
 
 END = 2
 DIMS, BITS = 3, 10
 VECTOR = 256
-CACHE_WORDS = 300_000
-_MARKS = ".,;:!?"
-
-_encoders: dict[str, tuple] = {}
+CACHE_WORDS = 400_000
+SPLITS_AS = (
+    "Sequence(normalizers=[NFC(), Replace(pattern=Regex(\"\\s+\"), content=\" \"), Lowercase()])",
+    "Sequence(pretokenizers=[Split(pattern=Regex(\"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+\"), behavior=Removed, invert=True), "
+    "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])",
+)  # what a vocabulary file must say for words to be looked up one by one
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+_encoders: dict[str, Words] = {}
 _rng = np.random.default_rng(41)
 _PROJECT = _rng.standard_normal((VECTOR, DIMS))
 _SLOT = _rng.integers(0, VECTOR, 1 << 16)
@@ -46,11 +50,7 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
-_BYTE_CHARS = _byte_chars()
-
-
-def _pack_ids(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}H", *ids)
+_AS_BYTES = dict(enumerate(_byte_chars()))
 
 
 def default_tokenizer() -> str:
@@ -60,60 +60,80 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _simple(word: str) -> bool:
-    """Whether lower case is letter by letter and nothing composes: below U+0250, but for U+0130."""
-    return word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
-
+class Words(dict):
+    """The ids of words as little-endian words of ``width`` bytes, filled as words are met.
 
-def _parts(word: str) -> tuple[str, ...]:
-    """Pieces that the tokenizer treats apart: a Latin word in lower case, and one mark behind it.
-
-    A word with a bar stays as it is: special tokens hold one and have a case.
+    A tokenizer that drops white space, and whose tokens never span it, gives a
+    text the ids of its words. At most ``CACHE_WORDS`` words are kept, and as many
+    again of the generation before; a word met in both moves to the new one. For a
+    tokenizer that splits otherwise texts are encoded whole.
     """
-    if "|" in word or not _simple(word):
-        return (word,)
-    word = word.lower()
-    return (word[:-1], word[-1]) if word[-1] in _MARKS and word[:-1].isalpha() else (word,)
-
-
-def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
-    """Ids of each text as little-endian 16-bit words.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text
-    are those of its words; words met before come from a bounded cache. Texts
-    with U+001C to U+001F, white space in Python only, are encoded whole.
-    """
-    if tokenizer not in _encoders:
+    def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _encoders[tokenizer] = (Tokenizer.from_file(tokenizer), {})
-    encoder, known = _encoders[tokenizer]
-    split = [(text or "").split() for text in texts]
-    odd = [i for i, text in enumerate(texts) if text and any(c in text for c in "\x1c\x1d\x1e\x1f")]
-    for i in odd:
-        split[i] = []
-    words = set().union(*split)
-    if len(known) > CACHE_WORDS:  # what these texts use stays, the common words with it
-        known = {w: known[w] for w in words.intersection(known)}
-        _encoders[tokenizer] = (encoder, known)
-    new = {w: _parts(w) for w in words.difference(known)}
-    asked = list({x for parts in new.values() for x in parts if x not in known})
-    rest = []
-    for word in asked:
-        plain = word if _simple(word) else encoder.normalizer.normalize_str(word)
-        if plain.isalpha() or len(plain) == 1 and plain in _MARKS:  # one run of the tokenizer's own pattern: its model alone is enough
-            mapped = plain if plain.isascii() else "".join(map(_BYTE_CHARS.__getitem__, plain.encode()))
-            known[word] = _pack_ids([t.id for t in encoder.model.tokenize(mapped)])
+        self.encoder, self.before = Tokenizer.from_file(path), {}
+        self.by_word = (str(self.encoder.normalizer), str(self.encoder.pre_tokenizer)) == SPLITS_AS
+        self.width = 2 if self.encoder.get_vocab_size() <= 1 << 16 else 4
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def run_ids(self, run: str) -> bytes:
+        """Ids of one run of letters, one digit or one run of marks, in lower case: the model alone decides."""
+        plain = run if run.isascii() else run.encode().decode("latin-1").translate(_AS_BYTES)
+        return self.packed([t.id for t in self.encoder.model.tokenize(plain)])
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.word_ids(word)
+        self[word] = found
+        return found
+
+    def word_ids(self, word: str) -> bytes:
+        if "|" in word:  # special tokens hold a bar and have a case
+            return self.packed(self.encoder.encode(word, add_special_tokens=False).ids)
+        if word.isascii():
+            low = word.lower()
+            stem = low.rstrip(_MARKS)
+            if not stem.isalpha():
+                pieces = _PIECES.findall(low)
+                return self.run_ids(low) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
+        elif max(word) < "\u0250" and "\u0130" not in word:  # lower case is letter by letter and nothing composes
+            low = word.lower()
+            stem = low.rstrip(_MARKS)
+            if not stem.isalpha():
+                return self.packed(self.encoder.encode(word, add_special_tokens=False).ids)
         else:
-            rest.append(word)
-    encode = getattr(encoder, "encode_batch_fast", encoder.encode_batch)
-    known.update(zip(rest, [_pack_ids(e.ids) for e in encode(rest, add_special_tokens=False)], strict=True))
-    known.update({w: b"".join([known[x] for x in parts]) for w, parts in new.items() if parts != (w,)})
-    out = [b"".join(map(known.__getitem__, own)) for own in split]
-    for i in odd:
-        out[i] = _pack_ids(encoder.encode(texts[i], add_special_tokens=False).ids)
-    return out
+            return self.packed(self.encoder.encode(word, add_special_tokens=False).ids)
+        if stem == word:
+            return self.run_ids(stem)
+        return self[stem] + self[low[len(stem) :]] if len(stem) < len(low) else self[stem]
+
+    def text_ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space in Python only
+            return self.packed(self.encoder.encode(text, add_special_tokens=False).ids)
+        if len(self) > CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def words_of(tokenizer: str) -> Words:
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Words(tokenizer)
+    return _encoders[tokenizer]
+
+
+def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
+    """Ids of each text as little-endian words: of 16 bits, or of 32 for a vocabulary of over 65,536 tokens."""
+    words = words_of(tokenizer)
+    return [words.text_ids(t) for t in texts]
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -147,7 +167,7 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
 
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents by their hashed and projected token vectors; no token gives key of the origin."""
-    v = np.stack([np.bincount(_SLOT[i], weights=_SIGN[i], minlength=VECTOR) for i in ids]) if ids else np.zeros((0, VECTOR))
+    v = np.stack([np.bincount(_SLOT[i & 0xFFFF], weights=_SIGN[i & 0xFFFF], minlength=VECTOR) for i in ids]) if ids else np.zeros((0, VECTOR))
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     z = v @ _PROJECT
     unit = 0.5 + 0.5 * z / np.sqrt(1 + z * z)
@@ -155,16 +175,20 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Pieces: (id, start, length, doc_tokens, sequence_id, offset, curve_key, ids_crc32, ids), ``ids`` as little-endian 16-bit words.
+    """Pieces: (id, start, length, doc_tokens, sequence_id, offset, curve_key, ids_crc32, ids), ``ids`` as little-endian words (``token_ids``).
 
     Each document's ids end with an end-of-text id; each id lies in exactly one
     piece. A null or blank text has that one id. Rows that share an id are placed
     one after the other. ``ids_crc32`` is of the ids as little-endian unsigned
-    32-bit words; ``with_ids=False`` leaves out ``ids``. An empty table gives an
-    empty result.
+    32-bit words; ``with_ids=False`` leaves out ``ids``. Other columns of ``docs``
+    are not looked at. Documents of one curve key lie by id, so ties have a fixed
+    order. A long text is one value: its ids take a third of its bytes or so, and
+    it spans as many sequences as it needs. An empty table gives an empty result.
     """
     tokenizer = tokenizer or default_tokenizer()
-    end = np.array([END], "<u2").tobytes()
+    width = words_of(tokenizer).width
+    kind = f"<u{width}"
+    end = np.array([END], kind).tobytes()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -172,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
                 part = frame.iloc[at : at + 1000]
                 ids = [b + end for b in token_ids(part["text"].tolist(), tokenizer)]
                 trim()
-                yield pd.DataFrame({"id": part["id"], "curve_key": curve_keys([np.frombuffer(b[:-2], "<u2") for b in ids]), "n": [len(b) // 2 for b in ids], "ids": ids})
+                yield pd.DataFrame({"id": part["id"], "curve_key": curve_keys([np.frombuffer(b[:-width], kind) for b in ids]), "n": [len(b) // width for b in ids], "ids": ids})
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = 0
@@ -191,8 +215,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
             low = np.maximum(at[row], seq * seq_len)
             high = np.minimum((at + n)[row], (seq + 1) * seq_len)
             start, ids = low - at[row], frame["ids"].to_numpy()
-            own = [ids[r][2 * s : 2 * e] for r, s, e in zip(row, start, start + high - low, strict=True)]
-            crc = np.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in own], np.int64)
+            own = [ids[r][width * s : width * e] for r, s, e in zip(row, start, start + high - low, strict=True)]
+            crc = np.array([zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in own], np.int64)
             out = pd.DataFrame({"id": frame["id"].to_numpy()[row], "start": start, "length": high - low, "doc_tokens": n[row], "sequence_id": seq, "offset": low - seq * seq_len, "curve_key": frame["curve_key"].to_numpy()[row], "ids_crc32": crc})
             yield out.assign(ids=own) if with_ids else out
 
@@ -201,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(parts, "curve_key", "id").sortWithinPartitions("curve_key", "id", "n", "ids").withColumn("part", F.spark_partition_id())
     placed = stage(ordered.mapInPandas(place, "id long, curve_key long, n long, ids binary, part int, local long"), "placed")
+    drop_staged(tokens)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     heads = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("head"))
     return placed.join(F.broadcast(heads), "part").select("id", "curve_key", "n", "ids", (F.col("local") + F.col("head")).alias("at")).mapInPandas(
