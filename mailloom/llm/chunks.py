@@ -3,8 +3,8 @@
 A chunk is one row of some megabytes of whole texts. The chunk table is bucketed
 by chunk number, so that answers are joined to it without moving the texts again.
 
-A chunk asks about its distinct 64-bit keys. Keys are cut by their leading bits
-into parts; the rows of one part meet in one group, which sums the numbers that
+A chunk asks about its distinct keys, 56 bits of a hash, which are sent in order as
+differences. Keys are cut by their leading bits into parts; the rows of one part meet in one group, which sums the numbers that
 chunks have sent and answers each chunk in the order of its question. An answer
 need not repeat the keys, and a hot key is one entry in each chunk at most.
 """
@@ -41,56 +41,77 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
     return stage_bucketed(rows.mapInPandas(run, "chunk long, ids array<long>, texts array<string>"), "chunk", codec)
 
 
-def parts_for(table: DataFrame, per_part: int = 16 << 20) -> int:
-    """A power of two: one part of keys for each ``per_part`` bytes of text."""
-    size = table.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
+def parts_for(size: int, per_part: int) -> int:
+    """A power of two: one part of keys for each ``per_part`` of ``size``, 8 at least."""
     return 1 << max(3, (size // per_part).bit_length())
 
 
-def split_by_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the parts in sorted keys."""
-    if parts == 1:
-        return np.array([0, len(keys)])
-    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - (parts.bit_length() - 1))
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def text_bytes(table: DataFrame) -> int:
+    """Bytes of all texts of a chunk table."""
+    return table.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
 
 
-def question(chunk: int, keys: np.ndarray, numbers: np.ndarray, parts: int) -> pd.DataFrame:
-    """Rows (part, chunk, keys, numbers) of one chunk's sorted distinct keys with a number for each."""
-    at = split_by_part(keys, parts)
+KEY_BITS = 56
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as the planes of their bytes, without the planes that are zero throughout."""
+    planes = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return bytes([planes]) + len(x).to_bytes(4, "little") + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    """The numbers of ``packed``."""
+    planes, n = b[0], int.from_bytes(b[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :planes] = np.frombuffer(b, np.uint8, offset=5).reshape(planes, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Keys of KEY_BITS bits from hashes of 64."""
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
+def question(chunk: int, keys: np.ndarray, numbers: np.ndarray, parts: int, kind: int = 0) -> pd.DataFrame:
+    """Rows (kind, part, chunk, keys, numbers) of one chunk's sorted distinct ``short`` keys with a number for each."""
+    width = KEY_BITS - (parts.bit_length() - 1)
+    edges = np.arange(parts, dtype=np.uint64) << np.uint64(width)
+    at = np.append(np.searchsorted(keys, edges), len(keys))
     full = np.flatnonzero(np.diff(at))
-    numbers = numbers.astype("<u4")
-    return pd.DataFrame({"part": full, "chunk": chunk, "keys": [keys[at[i] : at[i + 1]].tobytes() for i in full], "numbers": [numbers[at[i] : at[i + 1]].tobytes() for i in full]})
+    blobs = [packed(np.diff(keys[at[i] : at[i + 1]], prepend=edges[i])) for i in full]
+    return pd.DataFrame({"kind": kind, "part": full, "chunk": chunk, "keys": blobs, "numbers": [packed(numbers[at[i] : at[i + 1]].astype(np.uint64)) for i in full]})
 
 
-QUESTION = "part long, chunk long, keys binary, numbers binary"
+QUESTION = "kind int, part long, chunk long, keys binary, numbers binary"
 
 
 def summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct keys, sums, places of each row's keys) of one part."""
-    each = [np.frombuffer(b, np.uint64) for b in frame["keys"]]
+    """(keys less the part's first, sums, places of each row's keys) of one part."""
+    each = [np.cumsum(unpacked(b), dtype=np.uint64) for b in frame["keys"]]
     keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    sums = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b, "<u4") for b in frame["numbers"]]), minlength=len(keys)).astype(np.int64)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, inverse, np.concatenate([unpacked(b) for b in frame["numbers"]]).astype(np.int64))
     return keys, sums, np.split(inverse, np.cumsum([len(x) for x in each])[:-1])
 
 
-def per_chunk(table: DataFrame, run: Callable[[int, list, list], pd.DataFrame], schema: str) -> DataFrame:
-    """One frame of rows for each chunk."""
+def per_chunk(table: DataFrame, run: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``run(*row)``, a frame of rows, for each chunk."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for chunk, ids, texts in zip(frame["chunk"], frame["ids"], frame["texts"], strict=True):
-                yield run(int(chunk), ids, list(texts))
+            for row in frame.itertuples(index=False, name=None):
+                yield run(*row)
             trim()
 
     return table.mapInPandas(each, schema)
 
 
-def with_answers(table: DataFrame, answers: DataFrame, run: Callable[[int, list, list, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """One frame of rows for each chunk and its answers."""
+def with_answers(table: DataFrame, answers: DataFrame, run: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``run(*row, answers)``, a frame of rows, for each chunk and its answers."""
 
     def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [run(int(c), i, list(t), right) for c, i, t in zip(left["chunk"], left["ids"], left["texts"], strict=True)]
+        out = [run(*row, right) for row in left.itertuples(index=False, name=None)]
         trim()
         return pd.concat(out) if out else pd.DataFrame({x.strip().split()[0]: [] for x in schema.split(",")})
 

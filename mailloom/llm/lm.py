@@ -1,24 +1,28 @@
 """Scoring by a weighted backoff automaton of smoothed n-grams.
 
-States are the root and one for each training word, entered by reading that word.
-A state's arcs are the words seen at least ``LEAST`` times after it; what has no arc follows the failure arc to the root and pays its
-weight. The root has an arc for every training word and one for unknown words.
-A text is read once from left to right: it starts in the state of the document
-boundary, each token takes an arc (or the failure arc and then the root's), adds
+States are the root, one for each training word, and one for each pair of words
+that training holds ``STATE_LEAST`` times or more; a state is the longest context read
+so far that has one. A state's arcs are the words that follow it in training. What
+has no arc follows the failure arc to the state of the context without its first
+word and pays its weight. The root has an arc for every training word and one for
+unknown words. A text is read once from left to right, starting in the state of the
+document's boundary: each token takes an arc (after failure arcs, if need be), adds
 its log-probability and sets the next state.
 
-Arcs are smoothed by absolute discounting: an arc has (c - D) / c(state) plus the
-failure weight times the root's probability, and the failure weight is the mass
-that the arcs leave; each state's probabilities sum to one over the words and
-the unknown word.
+Counts are smoothed by Dirichlet priors: a state of count c gives a word
+(n + K * q) / (c + K), n the count of its arc and q the probability of the word in
+the failure state; so the failure weight is K / (c + K), and the probabilities of a
+state sum to one over the training words and the unknown word. The root discounts
+counts and gives what that leaves to the unknown word.
 
-Counts cover all training documents. A chunk of documents fetches the counts of
-just its own words and pairs (``chunks``), and the mass of the arcs of its own
-words' states, so memory is a chunk's, not the corpus's.
+Counts cover all training documents and every n-gram. A chunk of documents keeps
+its tokens as numbers of its own words, and fetches just the counts of its words,
+pairs and triples (``chunks``), so memory is a chunk's, not the corpus's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -26,12 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, split_by_part, summed, with_answers
-from mailloom.llm.staging import stage
+from mailloom.llm.chunks import QUESTION, packed, parts_for, per_chunk, question, short, summed, unpacked, with_answers
+from mailloom.llm.staging import mark, settled, stage, stage_bucketed
 from mailloom.llm.textbytes import buffers, lowered, mix64, span_hashes, words_by_text
 
-LEAST = 2
-DISCOUNT = 0.75
+STATE_LEAST = 2
+PAIR_PRIOR, TRIPLE_PRIOR = 32.0, 4.0
+CHUNK_BYTES = 12 << 20
+PART_TOKENS = 3 << 20
 END = np.uint64(0x0E0F0E0F12345677)
 HELD = 2
 
@@ -52,18 +58,80 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def arcs(tok: np.ndarray, owner: np.ndarray, keys: np.ndarray, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the state it is read in (a place in ``keys``), and the key of (state, token) or 0 if there can be no arc.
+def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, n, ids, sizes, words, at): tokens of runs of whole documents, bucketed by chunk.
 
-    ``keys[place]`` are the tokens; a pair is not seen more often than either of its words (``counts``).
+    ``words`` are a chunk's distinct tokens as ``short`` keys, in order; ``at`` are the places there of all
+    its tokens, ``sizes`` the numbers of tokens of its documents.
     """
-    if not len(tok):
-        return place, np.zeros(0, np.uint64)
-    boundary = np.searchsorted(keys, END)
-    state = np.concatenate([[boundary], place[:-1]])
-    state[np.flatnonzero(np.diff(owner, prepend=-1))] = boundary
-    pair = mix64(keys[state] * np.uint64(0x9E3779B97F4A7C15) + tok) | np.uint64(1)
-    return state, np.where((counts[state] >= LEAST) & (counts[place] >= LEAST), pair, np.uint64(0))
+
+    def row(chunk: int, ids: list, texts: list[str]) -> pd.DataFrame:
+        tok, owner = tokens(texts)
+        words, at = np.unique(short(tok), return_inverse=True)
+        sizes = np.bincount(owner, minlength=len(texts))
+        blobs = {"sizes": [packed(sizes)], "words": [packed(np.diff(words, prepend=np.uint64(0)))], "at": [packed(at)]}
+        return pd.DataFrame({"chunk": [chunk], "n": [len(tok)], "ids": [ids], **blobs})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, texts, size, made, pid = [], [], 0, 0, 0
+        for frame in frames:
+            for i, t, pid in zip(frame["id"].astype(object), frame["text"], frame["pid"], strict=True):
+                ids.append(None if pd.isna(i) else int(i))
+                texts.append(t or "")
+                size += len(texts[-1]) + 16
+                if size >= CHUNK_BYTES:
+                    yield row(int(pid) * (1 << 32) + made, ids, texts)
+                    ids, texts, size, made = [], [], 0, made + 1
+        if ids:
+            yield row(int(pid) * (1 << 32) + made, ids, texts)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("pid"))
+    return stage_bucketed(rows.mapInPandas(run, "chunk long, n long, ids array<long>, sizes binary, words binary, at binary"), "chunk", "zstd")
+
+
+class Tokens:
+    """One row of the token table, with the keys of its pairs and triples."""
+
+    def __init__(self, ids: list, sizes: bytes, words: bytes, at: bytes) -> None:
+        self.sizes = unpacked(sizes).astype(np.int64)
+        self.words = np.cumsum(unpacked(words), dtype=np.uint64)
+        self.at = unpacked(at).astype(np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.training = np.repeat(~held_out(ids), self.sizes)
+        boundary = np.searchsorted(self.words, short(np.array([END], np.uint64))).astype(np.int32)
+        self.before = np.concatenate([boundary[:1], self.at[:-1]])  # the word before each token
+        self.before[self.starts] = boundary
+        left = mix64(self.words + np.uint64(0x9E3779B97F4A7C15))
+        self.pairs = mix64(left[self.before] + self.words[self.at])  # 64 bits
+
+    def triples(self, some: np.ndarray) -> np.ndarray:
+        """Keys of (the pair before, token) at the given places, none the first of its document."""
+        return short(mix64(mix64(self.pairs[some - 1] + np.uint64(0xA24BAED4963EE407)) + self.words[self.at[some]]))
+
+    def inner(self) -> np.ndarray:
+        """Whether a token is not the first of its document."""
+        out = np.ones(len(self.at), bool)
+        out[self.starts] = False
+        return out
+
+
+def _answered(answers: pd.DataFrame, kind: int) -> np.ndarray:
+    own = answers[answers["kind"] == kind].sort_values("part")
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(b).astype(np.int64) for b in own["blob"])])
+
+
+def _sum_parts(asked: DataFrame) -> DataFrame:
+    """(kind, chunk, part, value, blob): the sums of each question; rows of kind -1 to -4 hold the words' total and how many occur, once, twice."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        _, sums, places = summed(frame)
+        answers = pd.DataFrame({"kind": frame["kind"], "chunk": frame["chunk"], "part": frame["part"], "value": 0, "blob": [packed(sums[p]) for p in places]})
+        if frame["kind"].iloc[0]:
+            return answers
+        facts = {"kind": [-1, -2, -3, -4], "value": [sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum()]}
+        return pd.concat([answers, pd.DataFrame({**facts, "chunk": 0, "part": 0, "blob": None})])
+
+    return asked.groupBy("kind", "part").applyInPandas(run, "kind int, chunk long, part long, value long, blob binary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,98 +139,61 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     ``score`` is the automaton's log10 probability of the text, ``base_score`` that
     of add-one smoothed words. A null or blank text is the end alone. Without
-    training documents every token is unknown. An empty table gives an empty result.
+    training documents every token is unknown. Rows are scored one by one, also
+    those that share an id, and each counts in training. A null id is in training.
+    Other columns of ``docs`` are not looked at. A text is read whole; a long one
+    makes a chunk of its own and needs about 60 bytes for each of its bytes. An
+    empty table gives an empty result.
     """
-    table = chunk_table(docs, id_col, text_col)
-    parts = parts_for(table)
+    since = mark()
+    table = token_table(docs, id_col, text_col)
+    parts = parts_for(table.agg(F.sum("n")).first()[0] or 0, PART_TOKENS)
+
+    def ask_words_and_pairs(chunk: int, n: int, ids: list, *blobs: bytes) -> pd.DataFrame:
+        t = Tokens(ids, *blobs)
+        words = np.bincount(t.at, weights=t.training, minlength=len(t.words))
+        keys, inverse = np.unique(short(t.pairs), return_inverse=True)
+        pairs = np.bincount(inverse, weights=t.training, minlength=len(keys))
+        return pd.concat([question(chunk, t.words, words, parts), question(chunk, keys, pairs, parts, kind=1)])
+
+    counted = stage(_sum_parts(per_chunk(table, ask_words_and_pairs, QUESTION)), "counts", codec="zstd")
+    facts = {r["kind"]: r["n"] for r in counted.where("kind < 0").groupBy("kind").agg(F.sum("value").alias("n")).collect()}
+    total, vocabulary, once, twice = (facts.get(-k, 0) for k in (1, 2, 3, 4))
+    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+
+    def open_places(t: Tokens, pair_counts: np.ndarray) -> np.ndarray:
+        """Tokens read in the state of a pair."""
+        return np.flatnonzero(t.inner() & (np.concatenate([[0], pair_counts[:-1]]) >= STATE_LEAST))
+
+    def pair_counts(t: Tokens, answers: pd.DataFrame) -> np.ndarray:
+        return _answered(answers, 1)[np.unique(short(t.pairs), return_inverse=True)[1]]
+
+    def ask_triples(chunk: int, n: int, ids: list, *rest) -> pd.DataFrame:
+        t = Tokens(ids, *rest[:-1])
+        some = open_places(t, pair_counts(t, rest[-1]))
+        keys, inverse = np.unique(t.triples(some), return_inverse=True)
+        return question(chunk, keys, np.bincount(inverse, weights=t.training[some], minlength=len(keys)), parts, kind=2)
+
+    answers = counted.where("kind >= 0").select("kind", "chunk", "part", "blob")
+    triples = stage(_sum_parts(with_answers(table, answers.where("kind = 1"), ask_triples, QUESTION)), "triples", codec="zstd")
+
+    def read(chunk: int, n: int, ids: list, *rest) -> pd.DataFrame:
+        t = Tokens(ids, *rest[:-1])
+        words, pairs = _answered(rest[-1], 0), pair_counts(t, rest[-1])
+        c = words[t.at]
+        base = np.log10((c + 1) / (total + vocabulary + 1))
+        p = np.where(c > 0, np.maximum(c - discount, 0) / max(1, total), discount * vocabulary / total if total else 1.0)
+        p = (pairs + PAIR_PRIOR * p) / (words[t.before] + PAIR_PRIOR)
+        some = open_places(t, pairs)
+        arcs = _answered(rest[-1], 2)[np.unique(t.triples(some), return_inverse=True)[1]]
+        p[some] = (arcs + TRIPLE_PRIOR * p[some]) / (pairs[some - 1] + TRIPLE_PRIOR)
+        owner, docs_n = np.repeat(np.arange(len(t.sizes)), t.sizes), len(t.sizes)
+        sums = {k: np.bincount(owner, weights=v, minlength=docs_n) for k, v in (("n_known", c > 0), ("base_score", base), ("score", np.log10(p)))}
+        return pd.DataFrame({"id": pd.array(list(ids), dtype="Int64"), "held_out": held_out(ids), "n_tokens": t.sizes, "train_tokens": total, **sums}).astype({"n_known": np.int64})[SCORES]
 
-    def ask_words(chunk: int, ids: list, texts: list) -> pd.DataFrame:
-        tok, owner = tokens(texts)
-        train = ~held_out(ids)[owner]
-        keys, inverse = np.unique(tok, return_inverse=True)
-        return question(chunk, keys, np.bincount(inverse, weights=train, minlength=len(keys)), parts)
+    replies = answers.unionByName(triples.select("kind", "chunk", "part", "blob"))
+    out = with_answers(table, replies, read, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return settled(out, "lm-scores", since)
 
-    asked = stage(per_chunk(table, ask_words, QUESTION), "words", rows=1)
 
-    def answer_words(frame: pd.DataFrame) -> pd.DataFrame:
-        _, sums, places = summed(frame)
-        answers = pd.DataFrame({"kind": 0, "chunk": frame["chunk"], "part": frame["part"], "value": 0, "blob": [sums[p].astype("<u4").tobytes() for p in places]})
-        none = {"chunk": 0, "part": 0, "blob": None}
-        facts = pd.DataFrame({"kind": [1, 2, 3, 4], "value": [sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum()], **none})
-        return pd.concat([answers, facts])
-
-    replied = stage(asked.groupBy("part").applyInPandas(answer_words, "kind int, chunk long, part long, value long, blob binary"), "word-counts")
-    facts = {r["kind"]: r["n"] for r in replied.where("kind between 1 and 4").groupBy("kind").agg(F.sum("value").alias("n")).collect()}
-    total, vocabulary = facts.get(1, 0), facts.get(2, 0)
-    root_discount = min(0.95, max(0.05, facts.get(3, 0) / max(1, facts.get(3, 0) + 2 * facts.get(4, 0))))
-    word_counts = replied.where("kind = 0").select("chunk", F.lit(0).alias("kind"), "part", "blob")
-
-    def values(answers: pd.DataFrame, kind: int, dtype: str = "<u4") -> np.ndarray:
-        own = answers[answers["kind"] == kind].sort_values("part")
-        return np.frombuffer(b"".join(own["blob"]), dtype).astype(np.float64)
-
-    def ask_pairs(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
-        tok, owner = tokens(texts)
-        words, place = np.unique(tok, return_inverse=True)
-        state, pair = arcs(tok, owner, words, place, values(answers, 0))
-        use = pair != 0
-        keys, first, inverse = np.unique(pair[use], return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, weights=~held_out(ids)[owner][use], minlength=len(keys))
-        rows = question(chunk, keys, counts, parts)
-        whose = words[state[use][first]]
-        at = np.cumsum([0, *(len(b) // 8 for b in rows["keys"])])
-        return rows.assign(states=[whose[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)])
-
-    pairs = with_answers(table, word_counts, ask_pairs, QUESTION + ", states binary")
-
-    def answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, sums, places = summed(frame)
-        state = np.zeros(len(keys), np.uint64)
-        for p, b in zip(places, frame["states"], strict=True):
-            state[p] = np.frombuffer(b, np.uint64)
-        arc = sums >= LEAST
-        own, inverse = np.unique(state[arc], return_inverse=True)
-        mass = np.bincount(inverse, weights=sums[arc] - DISCOUNT, minlength=len(own))
-        answers = pd.DataFrame({"kind": 0, "chunk": frame["chunk"], "part": frame["part"], "key": 0, "mass": 0.0, "blob": [sums[p].astype("<u4").tobytes() for p in places]})
-        at = split_by_part(own, parts)
-        part = np.repeat(np.arange(parts), np.diff(at))
-        return pd.concat([answers, pd.DataFrame({"kind": 1, "chunk": 0, "part": part, "key": own.view(np.int64), "mass": mass, "blob": None})])
-
-    pair_counts = stage(pairs.groupBy("part").applyInPandas(answer_pairs, "kind int, chunk long, part long, key long, mass double, blob binary"), "pair-counts")
-    masses = pair_counts.where("kind = 1").groupBy("part", "key").agg(F.sum("mass").alias("mass"))
-
-    def answer_states(asking: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.assign(key=known["key"].to_numpy().astype(np.int64).view(np.uint64)).sort_values("key")
-        keys, mass = np.append(known["key"].to_numpy(np.uint64), np.uint64(0)), np.append(known["mass"].to_numpy(np.float64), 0.0)
-        blobs = []
-        for b in asking["keys"]:
-            own = np.frombuffer(b, np.uint64)
-            at = np.searchsorted(keys[:-1], own)
-            blobs.append(np.where((at < len(keys) - 1) & (keys[at] == own), mass[at], 0.0).astype("<f8").tobytes())
-        return pd.DataFrame({"chunk": asking["chunk"], "kind": 2, "part": asking["part"], "blob": blobs})
-
-    state_mass = asked.select("part", "chunk", "keys").groupBy("part").cogroup(masses.groupBy("part")).applyInPandas(answer_states, "chunk long, kind int, part long, blob binary")
-
-    def read(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
-        tok, owner = tokens(texts)
-        words, inverse = np.unique(tok, return_inverse=True)
-        counts = values(answers, 0)
-        c = counts[inverse]
-        base = np.log10((c + 1) / (total + vocabulary + 1))
-        known = np.maximum(c - root_discount, 0) / max(1, total)
-        unknown = root_discount * vocabulary / total if total else 1.0
-        root = np.where(c > 0, known, unknown)
-        state, pair = arcs(tok, owner, words, inverse, counts)
-        left = 1 - values(answers, 2, "<f8") / np.maximum(1, counts)
-        p = root * left[state]  # the failure arc, then the root's arc
-        use = pair != 0
-        _, where = np.unique(pair[use], return_inverse=True)
-        n = values(answers, 1)[where]
-        arc = n >= LEAST
-        rows = np.flatnonzero(use)[arc]
-        p[rows] += (n[arc] - DISCOUNT) / counts[state[rows]]
-        docs_n = len(texts)
-        return pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "held_out": held_out(ids), "n_tokens": np.bincount(owner, minlength=docs_n), "n_known": np.bincount(owner, weights=c > 0, minlength=docs_n).astype(np.int64), "train_tokens": total, "base_score": np.bincount(owner, weights=base, minlength=docs_n), "score": np.bincount(owner, weights=np.log10(p), minlength=docs_n)})
-
-    answers = word_counts.unionByName(pair_counts.where("kind = 0").select("chunk", F.lit(1).alias("kind"), "part", "blob")).unionByName(state_mass)
-    return with_answers(table, answers, read, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+SCORES = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

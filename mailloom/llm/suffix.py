@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, summed, with_answers
-from mailloom.llm.staging import drop_staged, stage, trim
+from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, short, summed, text_bytes, with_answers
+from mailloom.llm.staging import drop_staged, mark, settled, stage, trim
 from mailloom.llm.textbytes import buffers, mix64, powers, prefix
 
 LENGTH = 100
@@ -147,8 +147,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id come in a fixed order of their own. Null ids come last. An empty
     table gives an empty result. Memory: 60 bytes for each byte of the longest text.
     """
+    since = mark()
     table = chunk_table(docs, id_col, text_col, chunk_bytes=2 << 20, codec="zstd")
-    parts = parts_for(table)
+    parts = parts_for(text_bytes(table), 16 << 20)
 
     def all_anchors(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place in the text, hash) of a chunk's anchors."""
@@ -163,7 +164,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(chunk: int, ids: list, texts: list) -> pd.DataFrame:
         _, _, h = all_anchors(texts)
-        keys, counts = np.unique(h, return_counts=True)
+        keys, counts = np.unique(short(h), return_counts=True)
         return question(chunk, keys, counts, parts)
 
     asked = stage(per_chunk(table, ask, QUESTION), "anchors", rows=1)
@@ -179,7 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         text, place, h = all_anchors(texts)
         own = answers.sort_values("part")
         flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(own["blob"], own["n"], strict=True)]
-        _, inverse = np.unique(h, return_inverse=True)
+        _, inverse = np.unique(short(h), return_inverse=True)
         again = np.concatenate(flags)[inverse] if len(h) else np.zeros(0, bool)
         text, place = text[again], place[again]
         order = np.array([(1 << 62) if i is None or i != i else int(i) for i in ids], np.int64)
@@ -261,4 +262,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((len(b), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.ravel(), kept.hexdigest()))
         return pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "n_bytes": [o[0] for o in out], "n_removed": [o[1] for o in out], "n_spans": [o[2] for o in out], "spans": [o[3] for o in out], "kept_sha256": [o[4] for o in out]})
 
-    return with_answers(table, masks.unionByName(local), finish, "id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string")
+    out = with_answers(table, masks.unionByName(local), finish, "id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string")
+    return settled(out, "kept-spans", since)

@@ -88,30 +88,3 @@ def test_suffix_against_brute_force(spark):
     got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).orderBy("id").collect()
     assert [(r.n_removed, r.kept_sha256) for r in got] == expected
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_lm_keeps_rare_states_in_a_large_table(spark):
-    from collections import Counter
-    from math import log10
-
-    ids = [i for i in range(1, 30) if not lm.held_out([i])[0]][:4]
-    texts = {ids[0]: "alpha beta gamma alpha beta delta", ids[1]: "alpha beta gamma alpha", ids[2]: " ".join(f"fill{i % 7}" for i in range(600_000))}
-    words, pairs = Counter(), Counter()
-    for t in texts.values():
-        run = [*t.split(), None]
-        words.update(run)
-        pairs.update(zip([None, *run[:-1]], run))
-    total, once, twice = sum(words.values()), *(sum(v == k for v in words.values()) for k in (1, 2))
-    d = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-
-    def expected(text):
-        out, state = 0.0, None
-        for w in [*text.split(), None]:
-            mass = sum(n - lm.DISCOUNT for (a, _), n in pairs.items() if a == state and n >= 2)
-            p = (1 - mass / max(1, words[state])) * (max(words[w] - d, 0) / total if words[w] else d * len(words) / total)
-            out += log10(p + ((pairs[state, w] - lm.DISCOUNT) / words[state] if pairs[state, w] >= 2 else 0))
-            state = w
-        return out
-
-    got = {r.id: r.score for r in lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)).collect()}
-    assert all(abs(got[i] - expected(texts[i])) < 1e-6 * abs(got[i]) for i in texts)
