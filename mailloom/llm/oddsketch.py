@@ -294,7 +294,7 @@ def block_links(frame: pd.DataFrame, threshold: float, slack: float) -> list[tup
     first = np.cumsum(n) - n
     hit, share, found = np.zeros(shingle.max() + 1, bool), int(round(threshold * 100)), []
     cut = int((frame["side"] == 0).sum())
-    within = cut == len(frame)
+    within = frame["i"].iloc[0] == frame["j"].iloc[0]
     for a in range(cut):
         b = np.arange(a + 1 if within else cut, len(frame))
         b = b[(part[b] != part[a]) & alike(n[b], n[a], threshold)]
