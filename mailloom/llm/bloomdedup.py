@@ -5,9 +5,10 @@ the bits that at least two rows set. Pass 2 tests each row: only a row whose
 bits were all set twice can have an equal, and only such rows are shuffled; all
 others go straight to the result.
 
-The filter is a table of 4 KB segments and is broadcast. Its size is bounded by
-``max_segments`` (32 MB); beyond about 8 million rows a segment gets fuller, more
-unique rows are shuffled for nothing, and the result stays the same.
+The filter is a table of 4 KB segments that grows with the rows, so that unique rows
+pass it at any size. It is broadcast, ``max_segments`` (64 MB) at a time: pass 2
+works through ranges of hashes, one for each 33 million rows, and the rows of a range
+meet its segments only.
 """
 
 from __future__ import annotations
@@ -41,34 +42,40 @@ def repeated_bits(hashed: DataFrame, segments: int) -> DataFrame:
 
 
 def annotate_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 32, max_segments: int = 8192
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_segments: int = 16384
 ) -> DataFrame:
     """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row
     with the largest id stays; a null id is smaller than any other. Of repeated
     rows (same id and text) one stays, and ``group_size`` counts them all. An
-    empty table gives an empty result. ``carry`` names the columns to return
+    empty table gives an empty result. A text of any length is hashed as it is and
+    is not moved, unless it is in ``carry``. ``carry`` names the columns to return
     (default all); columns of ``docs`` named like a result column are replaced.
     """
     made = {"keep_id", "group_size", "kept", "text_sha256"}
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
     rows = docs.count()
-    segments = max(1, min(max_segments, -(-rows * bits_per_row // SEGMENT_BITS)))
+    segments = max(1, -(-rows * bits_per_row // SEGMENT_BITS))
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = [F.pmod(F.xxhash64(text), F.lit(segments)).alias("__seg"), *[p.alias(f"__p{i}") for i, p in enumerate(_positions(text))]]
     bits = stage(repeated_bits(docs.select(*named), segments), "bloom")
-    tested = docs.select(*[F.col(c) for c in carry], F.col(id_col).alias("__id"), F.sha2(text, 256).alias("text_sha256"), *named).join(
-        F.broadcast(bits), F.col("__seg") == F.col("__fseg"), "left"
-    )
+    hashed = docs.select(*[F.col(c) for c in carry], F.col(id_col).alias("__id"), text.alias("__text"), *named)
+    tested = None
+    for first in range(0, segments, max_segments):
+        one = lambda c: F.col(c).between(first, first + max_segments - 1)  # noqa: B023, E731
+        some = hashed if segments <= max_segments else hashed.where(one("__seg"))
+        some = some.join(F.broadcast(bits.where(one("__fseg"))), F.col("__seg") == F.col("__fseg"), "left")
+        tested = some if tested is None else tested.unionByName(some)
     twice = F.col("__bits").isNotNull()
     for i in range(PROBES):
         twice = twice & _bit_is_set(F.col("__bits"), F.col(f"__p{i}"))
+    sha = F.sha2(F.col("__text"), 256).alias("text_sha256")
     tested = tested.withColumn("__twice", F.coalesce(twice, F.lit(False)))
     alone = tested.where(~F.col("__twice")).select(
-        *carry, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        *carry, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha
     )
-    suspects = stage(tested.where("__twice").select(*carry, "__id", "text_sha256", F.monotonically_increasing_id().alias("__row")), "suspects")
+    suspects = stage(tested.where("__twice").select(*carry, "__id", sha, F.monotonically_increasing_id().alias("__row")), "suspects")
     groups = suspects.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max(F.struct("__id", "__row")).alias("__keep"))
     groups = stage(groups.where("group_size > 1"), "groups")
     found = hot_lookup(suspects, groups, "text_sha256", "group_size", max(rows, 1)).select(

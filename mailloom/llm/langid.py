@@ -155,11 +155,17 @@ def pooled(net: ByteNet, texts: list[bytes]) -> np.ndarray:
 def training_sample(docs: DataFrame, per_lang: int, windows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, part): windows of 192 characters of at most ``per_lang`` texts with a letter in each language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.coalesce(crc_mod(id_col, 4), F.lit(0)) != 2))
-    pick = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col, text_col)
-    chosen = known.select(id_col, text_col, lang_col).withColumn("__r", F.row_number().over(pick)).where(F.col("__r") <= per_lang)
+    text_hash = F.xxhash64(text_col)
+    marks = known.select(F.col(lang_col).alias("__lang"), F.col(id_col).alias("__id"), text_hash.alias("__h"))
+    order = [F.xxhash64("__id", "__h"), "__id", "__h"]  # equal rows have one rank
+    near = Window.partitionBy("__lang", F.pmod(F.xxhash64("__id", "__h"), F.lit(64))).orderBy(*order)
+    best = marks.withColumn("__r", F.dense_rank().over(near)).where(F.col("__r") <= per_lang).dropDuplicates(["__lang", "__id", "__h"])
+    best = best.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy(*order))).where(F.col("__r") <= per_lang).drop("__r")
+    same = (F.col(lang_col) == F.col("__lang")) & F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__h"))
+    chosen = known.select(id_col, text_col, lang_col).join(F.broadcast(best), same)  # per_lang rows of each language
     part = chosen.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(windows))))
     at = F.pmod(F.xxhash64(id_col, "__k"), F.greatest(F.lit(1), F.length(text_col) - 192)) + 1
-    return part.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), at.cast("int"), F.lit(192)).alias("part")).orderBy("lang", "part")
+    return part.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), at.cast("int"), F.lit(192)).alias("part"), id_col, text_hash.alias("__h"), "__k").dropDuplicates(["lang", id_col, "__h", "__k"]).select("lang", "part").orderBy("lang", "part")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, windows: int = 4, steps: int = 400) -> DataFrame:
@@ -168,9 +174,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from documents with a language whose crc32(id as text) mod 4 is not 2;
     the rest are held out. ``score`` is the mean probability of the language
     predicted. A null text, one without a letter, or any text when nothing could
-    be learned, is ``und`` with score 0. A null id is not held out. An empty
-    table gives an empty result. A pass needs about 50 bytes of memory for each
-    byte of the longest text.
+    be learned, is ``und`` with score 0. A null id is not held out. Repeated rows
+    count once in the sample and get equal results; of languages with one
+    probability the first by name is predicted. Other columns are not looked at. An
+    empty table gives an empty result. A pass needs about 50 bytes of memory for
+    each byte of the longest text.
     """
     seen = training_sample(docs, per_lang, windows, id_col, text_col, lang_col).toPandas()
     net = train([p.encode("utf-8", "surrogatepass") for p in seen["part"]], seen["lang"].tolist(), steps)
