@@ -89,5 +89,6 @@ def annotate_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, columns unchanged."""
-    return annotate_duplicates(docs, id_col, text_col).where("kept").select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, columns unchanged, whatever their names."""
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__doc_text"))
+    return annotate_duplicates(whole, "__doc_id", "__doc_text", carry=["__doc"]).where("kept").select("__doc.*")

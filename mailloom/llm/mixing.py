@@ -130,7 +130,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 17, **opt
     Rows that share an id share its mean.
     """
     counts = taken_words(docs, id_col=id_col, seed=seed, **options)
-    times = counts.groupBy("id").agg((F.sum("taken") / F.sum("size")).alias("__x"))
+    times = counts.groupBy("id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__x"))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(F.col("__x").isNull(), F.lit(1)).otherwise(F.floor(F.col("__x") + unit)).cast("int")
     joined = docs.join(times.withColumnRenamed("id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__copies", copies)

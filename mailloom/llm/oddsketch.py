@@ -418,6 +418,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that are not their component's first, columns unchanged."""
+    """``docs`` without the documents that are not their component's first, columns unchanged.
+
+    Rows are told apart by id, so rows that share one stay or go together; a null id stays.
+    """
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

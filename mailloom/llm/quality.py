@@ -158,6 +158,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **columns: s
     return fit(rows, grades, 3)
 
 
+GRADES = "score double, expected_grade double, p_not_toxic double, p_good double"
+
+
+def _graded(docs: DataFrame, model: OrdinalModel, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a struct of GRADES under ``name``."""
+    weights = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH numbers: 1 MB at any size of the corpus
+
+    @F.pandas_udf(GRADES)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            score = np.array([weights.value.score(t) for t in part])
+            tail = weights.value.tails(score) if len(part) else np.zeros((0, 2))
+            yield pd.DataFrame({"score": score, "expected_grade": tail.sum(axis=1), "p_not_toxic": tail[:, 0], "p_good": tail[:, 1]})
+
+    return docs.withColumn(name, run(F.col(text_col)))
+
+
 def grade_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cut: float = 0.45) -> DataFrame:
     """``docs`` with ``score``, ``expected_grade`` (0 to 2), ``p_not_toxic``, ``p_good`` and ``accepted``.
 
@@ -167,17 +184,12 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text"
     results, and an empty table an empty one. A text is read whole; a pass takes
     about 20 bytes for each byte of the longest text.
     """
-    made = "score double, expected_grade double, p_not_toxic double, p_good double"
-    names = [x.split()[0] for x in made.split(", ")]
+    names = [x.split()[0] for x in GRADES.split(", ")]
     kept = [c for c in docs.columns if c not in (*names, "accepted")]
-    weights = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH numbers: 1 MB at any size of the corpus
+    out = _graded(docs, model, text_col, "__graded").select(*kept, *[F.col(f"__graded.{n}").alias(n) for n in names])
+    return out.withColumn("accepted", F.col("p_good") >= cut)
 
-    @F.pandas_udf(made)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in texts:
-            score = np.array([weights.value.score(t) for t in part])
-            tail = weights.value.tails(score) if len(part) else np.zeros((0, 2))
-            yield pd.DataFrame({"score": score, "expected_grade": tail.sum(axis=1), "p_not_toxic": tail[:, 0], "p_good": tail[:, 1]})
 
-    out = docs.select(*kept).withColumn("__graded", run(F.col(text_col)))
-    return out.select(*kept, *[F.col(f"__graded.{n}").alias(n) for n in names]).withColumn("accepted", F.col("p_good") >= cut)
+def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cut: float = 0.45) -> DataFrame:
+    """The accepted documents, with the columns of ``docs`` as they are, whatever their names."""
+    return _graded(docs, model, text_col, "__graded").where(F.col("__graded.p_good") >= cut).drop("__graded")
