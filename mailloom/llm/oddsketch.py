@@ -251,29 +251,20 @@ def bucket_edges(members: DataFrame, threshold: float, slack: float) -> DataFram
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, part, id, n, ...) with ``chunk``: at most BLOCK rows of a key and BLOCK_SHINGLES of their ``n`` (or one row), its parts one after the other."""
+    """``rows`` (key, part, id, n, ...) with ``chunk``, a tile of the key.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, size, weight = None, 0, 0
-        for frame in frames:
-            if not len(frame):
-                continue
-            key, n = frame["key"].to_numpy(), frame["n"].to_numpy()
-            edge = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-            count = np.diff(edge, append=len(key))
-            ahead = np.cumsum(n) - n
-            place, load = _within(count), ahead - np.repeat(ahead[edge], count)
-            if key[0] == last:
-                place[: count[0]] += size
-                load[: count[0]] += weight
-            last, size, weight = key[-1], int(place[-1]) + 1, int(load[-1] + n[-1])
-            yield frame.drop(columns="pid").assign(chunk=frame["pid"].to_numpy(np.int64) * (1 << 32) + place // BLOCK + load // BLOCK_SHINGLES)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "part", "id"]
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = ", ".join(f"{c} {t}" for c, t in [*rows.dtypes, ("chunk", "long")])
-    return ordered.withColumn("pid", F.spark_partition_id()).mapInPandas(run, schema)
+    A tile is full at BLOCK rows or BLOCK_SHINGLES of their ``n``. A part that half fills one
+    has tiles of its own, and its rows are dealt to them by a hash; the other parts of a key
+    share tiles, each part as a whole. On average tiles are half full, in any partitioning.
+    """
+    load = F.sum(F.col("n") / BLOCK_SHINGLES + 1 / BLOCK)
+    parts = rows.groupBy("key", "part").agg(load.alias("load")).withColumn("own", F.col("load") > 0.5)
+    mixed = parts.where("not own").groupBy("key").agg(F.sum("load").alias("rest"))
+    sized = parts.join(mixed, "key", "left").withColumn("tiles", F.ceil(2 * F.when(F.col("own"), F.col("load")).otherwise(F.col("rest"))))
+    sized = sized.select(F.xxhash64("key", "part").alias("__part"), "own", "tiles")
+    dealt = lookup(rows.withColumn("__part", F.xxhash64("key", "part")), sized, "__part")
+    tile = F.when(F.col("own"), F.xxhash64("part", F.pmod(F.xxhash64("id"), "tiles"))).otherwise(F.xxhash64(F.lit("mixed"), F.pmod(F.xxhash64("part"), "tiles")))
+    return dealt.withColumn("chunk", tile).select(*rows.columns, "chunk")
 
 
 def blocks(tiles: DataFrame) -> DataFrame:

@@ -168,6 +168,7 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents by their hashed and projected token vectors; no token gives key of the origin."""
     v = np.stack([np.bincount(_SLOT[i & 0xFFFF], weights=_SIGN[i & 0xFFFF], minlength=VECTOR) for i in ids]) if ids else np.zeros((0, VECTOR))
+    v = v.astype(np.float64)  # counts of nothing but empty texts are whole numbers
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     z = v @ _PROJECT
     unit = 0.5 + 0.5 * z / np.sqrt(1 + z * z)

@@ -85,12 +85,19 @@ def test_bucket_of_many_unlike_sets(spark):
 
 def test_blocks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(oddsketch, "BLOCK", 16)
-    rows = [(7, i, 0 if i < 90 else i, 3) for i in range(100)] + [(8, 1, 1, 3)]
+    rows = [(7, i, 0 if i < 900 else i, 3) for i in range(1000)] + [(8, 1, 1, 3)]
     tiles = oddsketch.tiled(spark.createDataFrame(rows, "key long, id long, part long, n long")).cache()
-    met = tiles.join(oddsketch.blocks(tiles), ["key", "chunk"]).groupBy("key", "i", "j").agg({"*": "count"}).collect()
-    assert met and max(r["count(1)"] for r in met) <= 32 and len(met) < 28
-    monkeypatch.setattr(oddsketch, "BLOCK_SHINGLES", 10)
-    assert max(r["count"] for r in oddsketch.tiled(spark.createDataFrame(rows, "key long, id long, part long, n long")).groupBy("key", "chunk").count().collect()) <= 4
+    assert tiles.count() == len(rows)
+    size = {(r.key, r.chunk): r["count"] for r in tiles.groupBy("key", "chunk").count().collect()}
+    assert max(size.values()) <= 2 * 16 and 60 < len(size) <= 130
+    blocks = oddsketch.blocks(tiles).collect()
+    pairs = {(r.key, r.i, r.j) for r in blocks}
+    whole = {r.chunk for r in tiles.where("key = 7").groupBy("chunk").agg({"part": "max"}).collect() if r["max(part)"] == 0}
+    assert not [p for p in pairs if p[1] in whole and p[2] in whole] and len(blocks) == 2 * len(pairs) - sum(i == j for _, i, j in pairs)
+    mixed = {c for (k, c) in size if k == 7} - whole
+    assert {(7, min(x, y), max(x, y)) for x in mixed for y in mixed | whole} >= pairs > {(7, min(x, y), max(x, y)) for x in mixed for y in whole}
+    monkeypatch.setattr(oddsketch, "BLOCK_SHINGLES", 30)
+    assert max(r["count"] for r in oddsketch.tiled(tiles.drop("chunk")).groupBy("key", "chunk").count().collect()) < 16
 
 
 def test_small_sets_and_odd_rows(spark):

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from mailloom.llm import bloomdedup, langid, lattice, lm, mixing, oddsketch, packing, sharding, suffix
+from mailloom.llm import bloomdedup, langid, lm, oddsketch, packing, suffix
 
 LONG = " ".join(f"word{i}" for i in range(60))
 ROWS = [(1, LONG, "en", "a", 5), (2, LONG, "en", "a", 5), (3, None, None, None, 0), (4, "", "en", "b", 0), (5, LONG + " more", "en", "b", 1), (6, "12 !!", "fr", "b", 1), (7, "Ünïcode text", "fr", None, 1)]
@@ -34,24 +34,6 @@ def test_suffix(docs):
     assert r[2].n_removed == len(LONG) and r[1].n_removed == 0 and r[5].n_removed == len(LONG) and r[3].n_bytes == 0
 
 
-def test_mixing(docs):
-    r = mixing.taken_words(docs).collect()
-    assert len(r) == 7 and all(x.taken <= 3 * x.size for x in r) and abs(sum(x.taken for x in r) - sum(x.size for x in r)) < 20
-
-
-def test_sharding(docs):
-    r = sharding.external_shuffle(docs, shards=2).collect()
-    assert len(r) == 7 and all(x.grown_shard in (x.shard, 2) for x in r)
-    for s in (0, 1):
-        assert sorted(x.slot for x in r if x.shard == s) == list(range(sum(x.shard == s for x in r)))
-
-
-def test_packing(docs):
-    r = packing.pack(docs, seq_len=64).collect()
-    assert {x.id for x in r} == set(range(1, 8)) and max(x.offset + x.length for x in r) <= 64
-    assert all(sum(x.length for x in r if x.id == i) == next(x.doc_tokens for x in r if x.id == i) for i in range(1, 8))
-
-
 def test_language_and_lm(docs):
     r = {x.id: x for x in langid.identify(docs, steps=20).collect()}
     assert r[3].lang_pred == r[6].lang_pred == "und" and all(0 <= x.score <= 1 for x in r.values())
@@ -59,12 +41,6 @@ def test_language_and_lm(docs):
     assert s[3].n_tokens == 1 and s[1].n_tokens == 61 and s[1].score < 0
 
 
-def test_embeddings(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, 0.0]), (7, [float("nan"), 1.0])]
-    r = {x.id: (x.n_links, x.component_id) for x in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert r == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 7: (0, 7)}
-
-
 def test_tokens_of_rare_characters():
     from tokenizers import Tokenizer
 
