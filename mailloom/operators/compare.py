@@ -60,3 +60,28 @@ def flips(a: DataFrame, b: DataFrame) -> DataFrame:
 def best_run(scores: DataFrame, key: str, value: str = "f1") -> DataFrame:
     """The key of the greatest value; null and 0 count as -1, ties go to the smallest key."""
     return scores.agg(F.max_by(key, F.struct(F.coalesce(F.nullif(F.col(value), F.lit(0.0)), F.lit(-1.0)), -F.col(key))).alias(key))
+
+
+def common_votes(votes: DataFrame, runs: int) -> DataFrame:
+    """The votes on ids that every run has."""
+    return votes.join(complete_votes(votes, runs).select("id"), "id", "left_semi")
+
+
+def flips_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, from_positive) of the ids whose prediction changed."""
+    j = a.select("id", F.col("prediction").alias("a")).join(b.select("id", F.col("prediction").alias("b")), "id")
+    return j.where("a <> b").select("id", F.col("a").alias("from_positive"))
+
+
+def decision(scores: DataFrame, good: float, fair: float, least_precision: float) -> DataFrame:
+    """``scores`` with ``branch``: adopt, refine, imprecise or reject; an undefined f1 or precision is rejected."""
+    f1, p = F.coalesce(F.nanvl("f1", F.lit(None)), F.lit(-1.0)), F.coalesce(F.nanvl("precision", F.lit(None)), F.lit(-1.0))
+    branch = F.when((f1 >= good) & (p >= least_precision), "adopt").when((f1 >= fair) & (p >= least_precision), "refine").when(f1 >= fair, "imprecise").otherwise("reject")
+    return scores.withColumn("branch", branch)
+
+
+def rate_flags(preds: DataFrame, most_positive: float, by: list[str]) -> DataFrame:
+    """Share of positives of each group in per cent, and whether it is over what the hypothesis allows."""
+    out = preds.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("prediction").alias("n_pos"))
+    pct = F.try_divide(F.col("n_pos") * 100.0, "n")
+    return out.withColumn("pct_positive", pct).withColumn("falsified", F.coalesce(pct > most_positive, F.lit(False)))

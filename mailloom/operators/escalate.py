@@ -29,14 +29,15 @@ def is_borderline(subject: Column) -> Column:
     return out
 
 
-def combine(cheap: DataFrame, frontier: DataFrame, members: DataFrame, only_negative: bool = True) -> DataFrame:
-    """Cheap predictions, replaced by the frontier's for ``members`` (pool, id); one row per pool and id.
+def combine(cheap: DataFrame, frontier: DataFrame, members: DataFrame, names: list[str], only_negative: bool = True) -> DataFrame:
+    """Cheap predictions, replaced by the frontier's for ``members`` (pool, id); one row per pool of ``names`` and id.
 
     ``only_negative``: escalate cheap negatives only, else any member that the frontier has.
     """
-    names = members.select("pool").distinct()
-    base = cheap.select("id", F.col("prediction").alias("cheap")).crossJoin(F.broadcast(names))  # as many copies as pools
-    joined = base.join(frontier.select("id", F.col("prediction").alias("front")), "id", "left").join(members.select("pool", "id", F.lit(True).alias("member")), ["pool", "id"], "left")
+    front = frontier.select("id", F.col("prediction").alias("front"))
+    base = cheap.select("id", F.col("prediction").alias("cheap")).join(front, "id", "left")
+    base = base.withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
+    joined = base.join(members.select("pool", "id", F.lit(True).alias("member")), ["pool", "id"], "left")
     up = F.coalesce("member", F.lit(False)) & F.col("front").isNotNull()
     up = up & ~F.col("cheap") if only_negative else up
     return joined.select("pool", "id", F.when(up, F.col("front")).otherwise(F.col("cheap")).alias("prediction"), up.alias("escalated"))
@@ -46,20 +47,40 @@ def pool_sweep(cheap: DataFrame, frontier: DataFrame, corpus: DataFrame, labels:
     """Each pool's size, share of calls and scores. ``corpus``: id, subject, body."""
     negative = cheap.where(~F.col("prediction")).select("id").join(corpus, "id", "left")
     flags = pools(F.col("subject"), F.col("body"))
-    rows = negative.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("pool"), F.coalesce(v, F.lit(False)).alias("inside")) for k, v in flags.items()])).alias("m"))
-    members = rows.select(F.col("m.pool").alias("pool"), "id", F.col("m.inside").alias("inside"))
+    each = F.array(*[F.struct(F.lit(k).alias("pool"), F.coalesce(v, F.lit(False)).alias("inside")) for k, v in flags.items()])
+    rows = negative.select("id", F.explode(each).alias("m")).select(F.col("m.pool").alias("pool"), "id", F.col("m.inside").alias("inside"))
     total = cheap.agg(F.count("*").alias("corpus_size"))
-    sizes = members.groupBy("pool").agg(F.count_if("inside").alias("pool_size")).crossJoin(F.broadcast(total))
-    inside = members.where("inside").select("pool", "id")
-    names = members.select("pool").distinct()
-    joined = cheap.select("id", F.col("prediction").alias("cheap")).crossJoin(F.broadcast(names)).join(frontier.select("id", F.col("prediction").alias("front")), "id", "left")
-    joined = joined.join(inside.withColumn("member", F.lit(True)), ["pool", "id"], "left")
-    prediction = F.when(~F.col("cheap") & F.coalesce("member", F.lit(False)) & F.col("front").isNotNull(), F.col("front")).otherwise(F.col("cheap"))
-    cells = confusion(joined.select("pool", "id", prediction.alias("prediction")), labels, ["pool"])
+    sizes = rows.groupBy("pool").agg(F.count_if("inside").alias("pool_size")).crossJoin(F.broadcast(total))
+    cells = confusion(combine(cheap, frontier, rows.where("inside"), list(flags)), labels, ["pool"])
     return sizes.join(precision_recall(cells), "pool").withColumn("pct_calls", F.col("pool_size") * 100.0 / F.col("corpus_size"))
 
 
+def pool_overlap(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Size of the pool, and how many of it are labelled, positive and negative."""
+    joined = members.select("id").distinct().join(labels.select("id", "label"), "id", "left")
+    return joined.agg(F.countDistinct("id").alias("pool_size"), F.count("label").alias("labeled"), F.count_if(F.col("label") == "positive").alias("positive"), F.count_if(F.col("label") == "negative").alias("negative"))
+
+
+def three_scores(cheap: DataFrame, frontier: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of the cheap tier, the frontier tier and the two combined over one pool, any member that the frontier has escalated."""
+    both = combine(cheap, frontier, members.select(F.lit("combined").alias("tier"), "id").withColumnRenamed("tier", "pool"), ["combined"], only_negative=False)
+    tiers = cheap.select(F.lit("cheap").alias("tier"), "id", "prediction").unionByName(frontier.select(F.lit("frontier").alias("tier"), "id", "prediction"))
+    return precision_recall(confusion(tiers.unionByName(both.select(F.col("pool").alias("tier"), "id", "prediction")), labels, ["tier"]))
+
+
+def smallest_good_pool(sweep: DataFrame, least_f1: float = 0.90, within: float = 0.05) -> DataFrame:
+    """The smallest pool whose f1 is high enough and close enough to that of escalating everything."""
+    full = sweep.where("pool = 'P_full'").select(F.col("f1").alias("__full"))
+    good = sweep.crossJoin(F.broadcast(full)).where((F.col("f1") >= least_f1) & (F.col("f1") >= F.col("__full") - within))
+    return good.drop("__full").orderBy("pool_size", "pool").limit(1)
+
+
+def moved(before: DataFrame, after: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, kind, label) of the positives gained (new) and lost."""
+    j = before.select("id", F.col("prediction").alias("a")).join(after.select("id", F.col("prediction").alias("b")), "id").where("a <> b")
+    return j.join(labels.select("id", "label"), "id", "left").select("id", F.when(F.col("b"), "new").otherwise("lost").alias("kind"), "label")
+
+
 def movement(before: DataFrame, after: DataFrame, labels: DataFrame) -> DataFrame:
     """Positives gained and lost, and how many of them are labelled."""
-    j = before.select("id", F.col("prediction").alias("a")).join(after.select("id", F.col("prediction").alias("b")), "id").where("a <> b").join(labels.select("id", "label"), "id", "left")
-    return j.groupBy(F.when(F.col("b"), "new").otherwise("lost").alias("kind")).agg(F.count("*").alias("total"), F.count("label").alias("labeled"), F.count_if(F.col("label").isNull()).alias("unlabeled"))
+    return moved(before, after, labels).groupBy("kind").agg(F.count("*").alias("total"), F.count("label").alias("labeled"), F.count_if(F.col("label").isNull()).alias("unlabeled"))

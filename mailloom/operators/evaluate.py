@@ -97,3 +97,16 @@ def spread(df: DataFrame, value: str) -> DataFrame:
     """n, min, max, mean, range and sample deviation (0 below two values) of the values that are not null."""
     v = F.col(value)
     return df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), (F.max(v) - F.min(v)).alias("range"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
+
+
+def cell_items(preds: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, cell) of labelled ids: tp, fp, fn or tn."""
+    rated = labels.where(F.col("label").isin("positive", "negative"))
+    pos = F.col("label") == "positive"
+    cell = F.when(pos & F.col("prediction"), "tp").when(F.col("prediction"), "fp").when(pos, "fn").otherwise("tn")
+    return preds.join(rated, "id").select("id", cell.alias("cell"))
+
+
+def without(labels: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Labels whose id is not used in a prompt's examples."""
+    return labels.join(excluded.select("id"), "id", "left_anti")

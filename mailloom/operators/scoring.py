@@ -1,4 +1,4 @@
-"""Prompts, pluggable scorers and the reading of their answers."""
+"""Pluggable scorers, the reading of their answers, prediction rows and reports on calls."""
 
 from __future__ import annotations
 
@@ -8,38 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.functions.text import elide_quoted, extract_at_depth, strip
+from mailloom.functions.metrics import nearest_ranks
+from mailloom.functions.text import strip
 
-BODY_CAP = 60_000
-ANSWER = "prediction boolean, evidence_quote string, rationale string"
-
-
-def body_for(variant: str, body: Column, depth: int | None = None) -> Column:
-    """The body that a variant's prompt shows, capped; variants whose segments or version block are not built are refused."""
-    if variant in ("new_with_marked_quoted", "v2_elided_tagged"):
-        raise ValueError(f"prompt variant {variant} is not built")
-    if "elided" in variant:
-        shown = elide_quoted(body, 999 if depth is None else depth)
-    elif variant == "new_only":
-        shown = extract_at_depth(body, 0)
-    else:
-        shown = body if depth is None else extract_at_depth(body, depth)
-    return F.substring(shown, 1, BODY_CAP)
-
-
-def build_prompt(messages: DataFrame, variant: str, system: str, depth: int | None = None) -> DataFrame:
-    """(id, prompt_variant, prompt_hash, system, user) of ``messages`` (id, from_raw, date, subject, body)."""
-    none = lambda c: F.coalesce(F.col(c), F.lit(""))
-    user = F.concat(F.lit("From: "), none("from_raw"), F.lit("\nDate: "), none("date"), F.lit("\nSubject: "), none("subject"), F.lit("\n\n"), body_for(variant, none("body"), depth))
-    return messages.select("id", F.lit(variant).alias("prompt_variant"), F.substring(F.sha2(F.concat_ws("\0", F.lit(system), F.lit(variant)), 256), 1, 16).alias("prompt_hash"), F.lit(system).alias("system"), user.alias("user"))
+ANSWER = "is_schedule_change_announcement boolean, evidence_quote string, rationale string"
+TOKENS = "array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>"
+RESPONSE = f"content string, tokens {TOKENS}, prompt_tokens long, completion_tokens long, error string"
 
 
 def parse_answer(content: Column) -> Column:
     """Struct of an answer's JSON: code fences are stripped, a missing brace or quote is repaired; null if it is no object."""
     s = strip(content)
     s = F.when(s.startswith("```"), F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n", ""), r"\s*```$", "")).otherwise(s)
-    whole = r'^\{\s*("[^"\\]*(?:\\.[^"\\]*)*"\s*:\s*("[^"\\]*(?:\\.[^"\\]*)*"|true|false|null|-?[0-9.eE+-]+)\s*(,\s*(?=")|(?=\})))*\}\s*$'
-    read = lambda t: F.when(t.rlike(whole), F.from_json(t, ANSWER))
+    value = r'("[^"]*"|true|false|null|-?[0-9.eE+-]+)'
+    whole = r'^\{\s*("[^"]*"\s*:\s*' + value + r'\s*(,\s*(?=")|(?=\})))*\}\s*$'
+    bare = lambda t: F.regexp_replace(t, r"(?s)\\.", "")  # noqa: E731  without escapes a string ends at its next quote
+    read = lambda t: F.when(bare(t).rlike(whole), F.from_json(t, ANSWER))
     return F.coalesce(read(s), read(F.concat(s, F.lit("}"))), read(F.concat(s, F.lit('"}'))))
 
 
@@ -58,28 +42,65 @@ def p_positive(tokens: Column, prediction: Column) -> Column:
     return F.coalesce(p, F.when(prediction, 0.999).otherwise(0.001))
 
 
-def run_scorer(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str, str], str], concurrency: int = 32, limit: int = 0) -> DataFrame:
-    """(id, content, error) of prompts that are not done, one call per id; errors are rows, not in the log, and come again."""
+def run_scorer(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str, str], dict], concurrency: int = 32, limit: int = 0) -> DataFrame:
+    """(id, RESPONSE) of prompts that are not done, one call per id; an error is a row.
+
+    ``scorer`` takes system and user text and returns the fields of RESPONSE that it knows.
+    """
     todo = prompts.dropDuplicates(["id"])
     todo = todo if done is None else todo.join(done, "id", "left_anti")
     todo = todo.orderBy("id").limit(limit) if limit else todo
+    names = [f.split()[0] for f in ("content", "tokens", "prompt_tokens", "completion_tokens", "error")]
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for i, system, user in zip(frame["id"], frame["system"], frame["user"], strict=True):
                 try:
-                    rows.append((i, scorer(system, user), None))
+                    said = scorer(system, user)
                 except Exception as e:  # noqa: BLE001  an endpoint's failure is data here
-                    rows.append((i, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["id", "content", "error"])
+                    said = {"error": str(e)[:200]}
+                rows.append((i, *(said.get(n) for n in names)))
+            yield pd.DataFrame(rows, columns=["id", *names]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+
+    return todo.repartition(concurrency).select("id", "system", "user").mapInPandas(call, f"id string, {RESPONSE}")
 
-    return todo.repartition(concurrency).select("id", "system", "user").mapInPandas(call, "id string, content string, error string")
 
+def predictions(responses: DataFrame, prompts: DataFrame, model: str, depth: int | None = None) -> DataFrame:
+    """Prediction rows of readable responses, with ``p_source``: logprob, or fallback where no boolean token was seen."""
+    read = responses.withColumn("__a", parse_answer(F.col("content"))).where("__a.is_schedule_change_announcement is not null")
+    said = F.col("__a.is_schedule_change_announcement")
+    seen = F.coalesce(F.exists("tokens", lambda t: strip(t["token"]).isin("true", "false")), F.lit(False))
+    out = read.join(prompts.select("id", "prompt_hash", "prompt_variant"), "id")
+    return out.select(
+        "id", said.alias("prediction"), p_positive(F.col("tokens"), said).alias("p_positive"), "__a.evidence_quote", F.coalesce("__a.rationale", F.lit("")).alias("rationale"),
+        F.lit(model).alias("model_id"), "prompt_hash", "prompt_variant", F.lit(depth).cast("int").alias("quote_depth"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("predicted_at"), F.when(seen, "logprob").otherwise("fallback").alias("p_source"),
+    )
 
-def latency_report(results: DataFrame) -> DataFrame:
-    """Calls, mean, median, nearest-rank p95 and maximum of ``elapsed_s`` of the ok rows."""
-    from mailloom.functions.metrics import nearest_rank
 
+def classify(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str, str], dict], model: str, write: Callable[[DataFrame], DataFrame], depth: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(prediction rows, counts by outcome: ok, error, unreadable); only prediction rows belong into the log.
+
+    The scorer is paid for, so ``write`` stores its responses once (and returns the stored rows) before they are read.
+    """
+    stored = write(run_scorer(prompts, done, scorer, **options))
+    kind = F.when(F.col("error").isNotNull(), "error").when(parse_answer(F.col("content"))["is_schedule_change_announcement"].isNull(), "unreadable").otherwise("ok")
+    return predictions(stored, prompts, model, depth), stored.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def latency_report(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Calls, mean, median, nearest-rank p95 and maximum of ``elapsed_s`` of the ok rows (``ok``, ``elapsed_s``)."""
+    by = by or []
     ok = results.where("ok")
-    return ok.agg(F.count("*").alias("n"), F.avg("elapsed_s").alias("mean"), F.expr("percentile(elapsed_s, 0.5)").alias("median"), nearest_rank(F.collect_list("elapsed_s"), 0.95).alias("p95"), F.max("elapsed_s").alias("max"))
+    stats = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg("elapsed_s").alias("mean"), F.max("elapsed_s").alias("longest"))
+    ranks = nearest_ranks(ok, by, "elapsed_s", {"p95": 0.95})
+    low, high = (nearest_ranks(ok, by, "elapsed_s", {name: 0.5}, whole=f) for name, f in (("low", F.floor), ("high", F.ceil)))
+    for other in (ranks, low, high):
+        stats = stats.join(other, by) if by else stats.crossJoin(other)  # one row each
+    return stats.withColumn("median", (F.col("low") + F.col("high")) / 2).drop("low", "high")
+
+
+def errors_by_message(results: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent errors; of equally frequent ones the first by text."""
+    return results.where("not ok").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(top)

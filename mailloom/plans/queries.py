@@ -15,6 +15,7 @@ from mailloom.functions import metrics as M
 from mailloom.functions import subjects as S
 from mailloom.functions import text as X
 from mailloom.operators import compare, escalate, evaluate, sampling, scoring, versions
+from mailloom.sources import files
 from mailloom.sources.mail import month_spine
 
 RUNS = (0, 137, 401)
@@ -117,16 +118,24 @@ def prf_zero(spark, d):
     return evaluate.precision_recall(confusion_counts(spark, d)).withColumn("f1", M.rounded(F.col("f1")))
 
 
-@query(RUN_SQL + ", b AS (SELECT least(floor(p * 10)::int, 9) AS bin, count(*) AS n, count_if(label = 'positive')::bigint AS k FROM runs JOIN lab USING (id) WHERE run = 1 AND label <> 'unsure' GROUP BY 1) SELECT r.range::int AS bin, r.range / 10.0 AS lower, (r.range + 1) / 10.0 AS upper, coalesce(n, 0) AS n, floor(k * 10000 / n + 0.5) / 10000.0 AS frac_positive FROM range(10) r LEFT JOIN b ON r.range = b.bin")
+@query(
+    RUN_SQL
+    + """, b AS (SELECT least(floor(p * 10)::int, 9) AS bin, count(*) AS n, avg(p) AS mean_p, count_if(label = 'positive')::bigint AS k
+ FROM runs JOIN lab USING (id) WHERE run = 1 AND label <> 'unsure' GROUP BY 1)
+SELECT r.range::int AS bin, r.range / 10.0 AS lower, (r.range + 1) / 10.0 AS upper, coalesce(n, 0) AS n,
+ floor(mean_p * 10000 + 0.5) / 10000.0 AS mean_p, floor(k * 10000 / n + 0.5) / 10000.0 AS frac_positive FROM range(10) r LEFT JOIN b ON r.range = b.bin"""
+)
 def reliability_bins(spark, d):
     out = evaluate.reliability(run(spark, d, 1), labels(spark, d))
-    return out.select("bin", "lower", "upper", "n", M.rounded(F.col("frac_positive")).alias("frac_positive"))
+    return out.select("bin", "lower", "upper", "n", M.rounded(F.col("mean_p")).alias("mean_p"), M.rounded(F.col("frac_positive")).alias("frac_positive"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id + 1000000000 AS id FROM labels WHERE doc_id % 11 = 0")
 def orphan_labels(spark, d):
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return evaluate.orphan_labels(labels(spark, d), own)
+    """Every eleventh label is also given to an id that no prediction has."""
+    own = labels(spark, d)
+    foreign = own.where("id % 11 = 0").withColumn("id", F.col("id") + 1_000_000_000)
+    return evaluate.orphan_labels(run(spark, d, 0), own.unionByName(foreign).unionByName(foreign))
 
 
 @query(RUN_SQL + "SELECT id, label FROM lab WHERE id IN (SELECT id FROM runs WHERE run = 0 AND NOT pred)")
@@ -134,11 +143,15 @@ def labeled_negatives_semi(spark, d):
     return labels(spark, d).join(run(spark, d, 0).where("not prediction"), "id", "left_semi").select("id", "label")
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS ym, count(*) AS n_in, count_if(event_type <> 'error')::bigint AS kept, count_if(event_type = 'error')::bigint AS dropped FROM events GROUP BY 1")
+@query("""WITH s AS (SELECT strftime(unnest(generate_series(date '1991-11-01', date '1998-12-01', interval 1 month)), '%Y-%m') AS ym),
+o AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, o_orderpriority IN ('1-URGENT', '2-HIGH') AS bot FROM orders)
+SELECT coalesce(ym, 'total') AS ym, count(bot) AS n_in, coalesce(count_if(NOT bot), 0)::bigint AS kept, coalesce(count_if(bot), 0)::bigint AS dropped FROM s LEFT JOIN o USING (ym) GROUP BY ROLLUP (ym)""")
 def bot_filter_monthly(spark, d):
-    sender = F.when(F.col("event_type") == "error", S.BOT_SENDER).otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@example.org")))
-    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("ym"), S.is_bot(sender).alias("bot"))
-    return e.groupBy("ym").agg(F.count("*").alias("n_in"), F.count_if(~F.col("bot")).alias("kept"), F.count_if("bot").alias("dropped"))
+    """Orders as mails of a month; two priorities stand for bots, one by address and one by domain."""
+    kind = F.col("o_orderpriority")
+    sender = F.when(kind == "1-URGENT", S.BOT_SENDER.upper()).when(kind == "2-HIGH", "ci" + S.BOT_DOMAIN).otherwise("jira@apache.org.example")
+    mails = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("ym"), sender.alias("sender"))
+    return files.filter_months(mails, month_spine(spark, "1991-11", "1998-12"), S.is_bot(F.col("sender")))
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -166,9 +179,12 @@ def vote_histogram(spark, d):
     return compare.vote_histogram(runs(spark, d), len(RUNS))
 
 
-@query(VOTES_SQL + "SELECT id, n_pos FROM v WHERE n_pos BETWEEN 1 AND 2")
+@query(VOTES_SQL + "SELECT id, n_pos, p0, row_number() OVER (ORDER BY p0 DESC, id) AS place FROM v WHERE n_pos BETWEEN 1 AND 2")
 def unstable_items(spark, d):
-    return compare.unstable(runs(spark, d), len(RUNS))
+    """By falling probability in the first run."""
+    p0 = run(spark, d, 0).select("id", F.col("p_positive").alias("p0"))
+    out = compare.unstable(runs(spark, d), len(RUNS)).join(p0, "id")
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p0"), "id")).cast("long"))
 
 
 @query(VOTES_SQL + "SELECT least(floor(p0 * 10)::int, 9) AS bin, count(*) AS total, count_if(n_pos = 0)::bigint AS stable_neg, count_if(n_pos = 3)::bigint AS stable_pos, count_if(n_pos BETWEEN 1 AND 2)::bigint AS unstable FROM v GROUP BY 1")
@@ -212,18 +228,58 @@ def p_distribution_buckets(spark, d):
     return run(spark, d, 0).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(
-    RUN_SQL
-    + ", corpus AS (SELECT doc_id AS id, text FROM documents), neg AS (SELECT r.id, c.text FROM runs r JOIN corpus c USING (id) WHERE run = 0 AND NOT pred), m AS (SELECT id, p.pool, CASE p.pool WHEN 'P0' THEN false WHEN 'P1' THEN regexp_matches(text, '\\b\\d+\\.\\d+\\.\\d+\\b') AND regexp_matches(lower(text), '\\b(cycle|cadence)\\b') WHEN 'P2' THEN regexp_matches(lower(text), '^the') AND (true OR length(text) > 800) WHEN 'P3' THEN regexp_matches(lower(text), '^the') ELSE true END AS inside FROM neg, (VALUES ('P0'), ('P2'), ('P3'), ('P_full')) p(pool)), f AS (SELECT c.id, m.pool, CASE WHEN NOT c.pred AND coalesce(m2.inside, false) THEN b.pred ELSE c.pred END AS pred FROM runs c JOIN runs b ON b.id = c.id AND b.run = 1 AND c.run = 0 CROSS JOIN (SELECT DISTINCT pool FROM m) m LEFT JOIN m m2 ON m2.id = c.id AND m2.pool = m.pool), s AS (SELECT pool, count_if(inside)::bigint AS pool_size FROM m GROUP BY pool) SELECT pool, any_value(pool_size) AS pool_size, "
+SUBJECTS = ["[VOTE] Release {v}", "Re: [VOTE] Release {v}", "Proposal: {v}", "Re: proposal {v}", "[VOTE PASSED] Release {v}", "[DISCUSS] plans", "fwd: Proposal again", "notes of the week"]
+CORPUS_SQL = (
+    RUN_SQL.rstrip()
+    + """, corpus AS (SELECT doc_id AS id, replace(list_extract(["""
+    + ", ".join(f"'{s}'" for s in SUBJECTS)
+    + """], doc_id % 8 + 1), '{v}', '2.' || doc_id % 4) AS subject,
+ coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' We postpone 2.1.' || doc_id % 9 || ' now' WHEN 1 THEN ' a re-roll of 3.0' WHEN 2 THEN ' 1.2.3 only' ELSE '' END AS body FROM documents)
+"""
+)
+SWEEP_SQL = (
+    CORPUS_SQL
+    + r""", neg AS (SELECT id, subject, body, contains(replace(replace(replace(upper(subject), '[VOTE PASSED]', ''), '[VOTE CLOSED]', ''), '[VOTE FAILED]', ''), '[VOTE]') AS literal,
+ regexp_matches(subject, '(?i)\[VOTE\b') OR regexp_matches(subject, '(?i)^proposal') AS marked, NOT regexp_matches(lower(subject), '^(re:|fwd:)') AS root
+ FROM runs JOIN corpus USING (id) WHERE run = 0 AND NOT pred),
+m AS (SELECT id, pool, CASE pool WHEN 'P0' THEN false
+ WHEN 'P1' THEN regexp_matches(body, '\b\d+\.\d+\.\d+\b') AND NOT literal AND regexp_matches(body,
+  '(?i)\b(re-?roll|take it down|takedown|postpone|shorten|cadence|LTS|cycle|i propose|proposal:|let''s do a|move(d)? to)\b')
+ WHEN 'P2' THEN marked AND (root OR length(body) > 800) WHEN 'P3' THEN marked ELSE true END AS inside
+ FROM neg, (VALUES ('P0'), ('P1'), ('P2'), ('P3'), ('P_full')) p(pool)),
+s AS (SELECT pool, count_if(inside)::bigint AS pool_size FROM m GROUP BY pool),
+f AS (SELECT c.id, s.pool, CASE WHEN NOT c.pred AND coalesce(m.inside, false) THEN b.pred ELSE c.pred END AS pred
+ FROM runs c JOIN runs b ON b.id = c.id AND b.run = 1 AND c.run = 0 CROSS JOIN s LEFT JOIN m ON m.id = c.id AND m.pool = s.pool),
+c AS (SELECT pool, """
     + CELLS
-    + " FROM f JOIN lab USING (id) JOIN s USING (pool) WHERE label <> 'unsure' GROUP BY pool"
+    + """ FROM f JOIN lab USING (id) WHERE label <> 'unsure' GROUP BY pool),
+sweep AS (SELECT pool, pool_size, tp, fp, fn, tn, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+ CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+ pool_size * 100.0 / (SELECT count(*) FROM documents) AS pct_calls FROM c JOIN s USING (pool))
+"""
 )
+
+
+def rates(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: M.rounded(F.col(c)) for c in names})
+
+
+def four(*names: str) -> str:
+    return ", ".join(f"floor({c} * 10000 + 0.5) / 10000.0 AS {c}" for c in names)
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """A mail for each document, with a subject of eight kinds and in part a release sentence behind its text."""
+    i = F.col("doc_id")
+    subject = F.replace(F.get(F.array(*[F.lit(s) for s in SUBJECTS]), (i % 8).cast("int")), F.lit("{v}"), F.concat(F.lit("2."), i % 4))
+    more = F.when(i % 5 == 0, F.concat(F.lit(" We postpone 2.1."), i % 9, F.lit(" now"))).when(i % 5 == 1, " a re-roll of 3.0").when(i % 5 == 2, " 1.2.3 only").otherwise("")
+    return table(spark, d, "documents").select(i.alias("id"), subject.alias("subject"), F.concat(F.coalesce("text", F.lit("")), more).alias("body"))
+
+
+@query(SWEEP_SQL + f"SELECT pool, pool_size, tp, fp, fn, tn, {four('precision', 'recall', 'f1', 'pct_calls')} FROM sweep")
 def escalation_pool_sweep(spark, d):
-    body = F.concat(F.lit("proposal "), F.col("text"))
-    subject = F.when(F.lower("text").rlike("^the"), "Proposal x").otherwise("Re: y")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), subject.alias("subject"), F.expr("substring(text, 1)").alias("body"))
-    out = escalate.pool_sweep(run(spark, d, 0), run(spark, d, 1), docs, labels(spark, d))
-    return out.where("pool <> 'P1'").select("pool", "pool_size", "tp", "fp", "fn", "tn")
+    out = escalate.pool_sweep(run(spark, d, 0), run(spark, d, 1), corpus(spark, d), labels(spark, d))
+    return rates(out.select("pool", "pool_size", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "pct_calls"), "precision", "recall", "f1", "pct_calls")
 
 
 @query(RUN_SQL + "SELECT CASE WHEN b.pred THEN 'new' ELSE 'lost' END AS kind, count(*) AS total, count(label) AS labeled, count_if(label IS NULL)::bigint AS unlabeled FROM runs a JOIN runs b ON a.id = b.id AND a.run = 0 AND b.run = 1 AND a.pred <> b.pred LEFT JOIN lab ON lab.id = a.id GROUP BY 1")
@@ -231,9 +287,15 @@ def movement(spark, d):
     return escalate.movement(run(spark, d, 0), run(spark, d, 1), labels(spark, d))
 
 
-@query("SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '\\b(\\d\\.\\d(?:\\.\\d{1,2})?(?:-[A-Za-z0-9]+)?)\\b', 1)) AS x, len(x) AS n FROM documents".replace(" AS x, len(x) AS n", "").replace("list_distinct(", "len(list_distinct(").replace(", 1))", ", 1))) AS n_versions"))
+@query(
+    CORPUS_SQL
+    + r""", x AS (SELECT id, regexp_extract_all(subject || chr(10) || body, '\b(\d\.\d(?:\.\d{1,2})?(?:-[A-Za-z0-9]+)?)\b', 1) AS l FROM corpus),
+u AS (SELECT id, unnest(l) AS v, generate_subscripts(l, 1) AS p FROM x), f AS (SELECT id, v, min(p) AS p FROM u GROUP BY 1, 2)
+SELECT id, coalesce(string_agg(v, ' ' ORDER BY p), '') AS versions FROM corpus LEFT JOIN f USING (id) GROUP BY id"""
+)
 def version_extract(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(X.versions(F.col("text"))).cast("long").alias("n_versions"))
+    """Versions of subject and body in the order in which they are first seen."""
+    return corpus(spark, d).select("id", F.array_join(X.versions(F.concat_ws("\n", "subject", "body")), " ").alias("versions"))
 
 
 @query("SELECT user_id, min(ts) AS first_mention_at, min(CASE WHEN event_type = 'signup' THEN ts END) AS announced_at, min(CASE WHEN event_type = 'purchase' THEN ts END) AS passed_at, min(CASE WHEN event_type = 'error' THEN ts END) AS closed_at FROM events GROUP BY user_id")
@@ -285,15 +347,18 @@ def month_volumes(spark, d):
     return month_spine(spark, "1992-01", "1998-12").join(by, "ym", "left").select("ym", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
 
-@query("SELECT event_type, count(*) AS n, max(value) AS longest, list_sort(list(value))[1 + round_even(0.95 * (count(*) - 1), 0)::int] AS p95 FROM events GROUP BY event_type")
+@query("""SELECT event_type, count(value) AS n, max(value) AS longest, floor(avg(value) * 10000 + 0.5) / 10000.0 AS mean, median(value) AS median,
+ list_sort(list(value))[1 + round_even(0.95 * (count(value) - 1), 0)::int] AS p95 FROM events WHERE event_type <> 'error' AND value IS NOT NULL GROUP BY event_type""")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("longest"), M.nearest_rank(F.collect_list("value"), 0.95).alias("p95"))
+    """Events as calls, of which errors failed."""
+    calls = table(spark, d, "events").select("event_type", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("elapsed_s")).where("elapsed_s is not null")
+    return rates(scoring.latency_report(calls, ["event_type"]), "mean")
 
 
-@query("SELECT doc_id AS id, 'synth-' || substring(sha256(source || chr(0) || coalesce(lang, '') || chr(0) || '' || chr(0) || substring(text, 1, 4096)), 1, 16) AS synth FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS id, 'synth-' || substring(sha256(coalesce(source, '') || chr(0) || coalesce(lang, '') || chr(0) || '' || chr(0) || substring(coalesce(text, ''), 1, 4096)), 1, 16) AS synth FROM documents")
 def synthetic_ids(spark, d):
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select(F.col("doc_id").alias("id"), X.synthetic_id(F.col("source"), F.coalesce("lang", F.lit("")), F.lit(""), F.col("text")).alias("synth"))
+    part = {c: F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang", "text")}
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.synthetic_id(part["source"], part["lang"], F.lit(""), part["text"]).alias("synth"))
 
 
 @query("""WITH l AS (SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) AS a, min(CASE WHEN event_type = 'purchase' THEN ts END) AS p, min(CASE WHEN event_type = 'error' THEN ts END) AS c FROM events GROUP BY user_id)
@@ -305,16 +370,27 @@ def version_block(spark, d):
     return versions.context_blocks(mails, versions.event_log(mails))
 
 
+ATTRIBUTED = "On Mon, Mar 3, 2014 at 9:00 AM, A. Writer <\nwriter@example.org> wrote:"
 # A line that starts with "On " above the attribution is taken for its beginning.
-CONTEXT_SQL = _extract_sql("true QUALIFY depth = 0 AND NOT (starts_with(trim(line), 'On ') AND coalesce(lead(depth) OVER (PARTITION BY id ORDER BY pos), 0) > 0)", "line").replace("md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE text || chr(10) END) AS digest FROM msg", "md5(coalesce(text, '')) AS own, coalesce(s.n, 0)::bigint AS segments, contains(body, chr(10) || '> ')::bigint AS attributions FROM msg LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT id, depth, lag(depth, 1, 0) OVER (PARTITION BY id ORDER BY pos) AS before FROM q) WHERE depth > 0 AND depth <> before GROUP BY id) s USING (id)")
+_OWN = _extract_sql("true QUALIFY depth = 0 AND NOT (starts_with(trim(line), 'On ') AND coalesce(lead(depth) OVER (PARTITION BY id ORDER BY pos), 0) > 0)", "line")
+CONTEXT_WITH = _OWN.rpartition(" SELECT msg.id")[0] + """, z AS (SELECT *, depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY id ORDER BY pos) AS fresh FROM q),
+z2 AS (SELECT *, sum(fresh::int) OVER (PARTITION BY id ORDER BY pos) AS run FROM z),
+seg AS (SELECT id, run, depth, rtrim(string_agg(line, chr(10) ORDER BY pos), chr(10) || chr(9) || ' ') AS text FROM z2 WHERE depth > 0 GROUP BY id, run, depth),
+ctx AS (SELECT msg.id, coalesce(any_value(t.text), '') AS own, string_agg('[depth ' || depth || ']' || chr(10) || seg.text, chr(10) || chr(10) ORDER BY run) AS quoted,
+ contains(any_value(body), chr(10) || '> ') AS attributed FROM msg LEFT JOIN t USING (id) LEFT JOIN seg USING (id) GROUP BY msg.id)
+"""
+
+
+def attributed(spark: SparkSession, d: str) -> DataFrame:
+    """The messages with a wrapped attribution above their quotes."""
+    return messages(spark, d).withColumn("body", F.regexp_replace("body", r"(?s)^(.*?)\n> ", "$1\n" + ATTRIBUTED + "\n> "))
 
 
-@query(CONTEXT_SQL)
+@query(CONTEXT_WITH + "SELECT id, md5(own) AS own, md5(coalesce(quoted, '')) AS quoted, CASE WHEN attributed THEN 'On Mon, Mar 3, 2014 at 9:00 AM, A. Writer < writer@example.org> wrote:' ELSE '' END AS attributions FROM ctx")
 def message_context(spark, d):
-    wrapped = "\nOn Mon, Mar 3, 2014 at 9:00 AM, A. Writer <\nwriter@example.org> wrote:\n> "
-    body = F.regexp_replace(F.col("body"), r"(?s)^(.*?)\n> ", "$1" + wrapped)
-    c = messages(spark, d).select("id", X.message_context(body).alias("c"))
-    return c.select("id", F.md5("c.new_content").alias("own"), F.size("c.quoted_segments").cast("long").alias("segments"), F.size("c.attribution_lines").cast("long").alias("attributions"))
+    c = attributed(spark, d).select("id", X.message_context("body").alias("c"))
+    segments = F.transform("c.quoted_segments", lambda s: F.concat(F.lit("[depth "), s["depth"].cast("string"), F.lit("]\n"), s["text"]))
+    return c.select("id", F.md5("c.new_content").alias("own"), F.md5(F.array_join(segments, "\n\n")).alias("quoted"), F.regexp_extract(F.array_join("c.attribution_lines", "|"), "On Mon, Mar.*$", 0).alias("attributions"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 15 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM orders")
@@ -323,13 +399,16 @@ def mail_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(X.mail_date(stamp), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
-@query("SELECT doc_id AS id, doc_id % 2 = 0 AS prediction, source AS evidence_quote, rtrim(substring(coalesce(text, ''), 1, 80)) AS rationale FROM documents WHERE source IS NOT NULL")
+@query("SELECT doc_id AS id, doc_id % 2 = 0 AS prediction, source AS evidence_quote, md5(coalesce(text, '')) AS rationale FROM documents")
 def answers_parsed(spark, d):
-    docs = table(spark, d, "documents").where("source is not null")
-    answer = F.to_json(F.struct((F.col("doc_id") % 2 == 0).alias("prediction"), F.col("source").alias("evidence_quote"), F.rtrim(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("rationale")))
-    kind = F.col("doc_id") % 4
-    said = F.when(kind == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(kind == 2, F.substring(answer, F.lit(1), F.length(answer) - 1)).when(kind == 3, F.substring(answer, F.lit(1), F.length(answer) - 2)).otherwise(answer)
-    return docs.select(F.col("doc_id").alias("id"), scoring.parse_answer(said).alias("a")).select("id", "a.*")
+    """Answers that hold whole texts: plain, fenced, without their brace, without quote and brace."""
+    docs = table(spark, d, "documents")
+    said = F.struct((F.col("doc_id") % 2 == 0).alias("is_schedule_change_announcement"), F.col("source").alias("evidence_quote"), F.coalesce("text", F.lit("")).alias("rationale"))
+    answer, kind = F.to_json(said), F.col("doc_id") % 4
+    short = lambda n: F.substring(answer, F.lit(1), F.length(answer) - n)
+    shown = F.when(kind == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(kind == 2, short(1)).when(kind == 3, short(2)).otherwise(answer)
+    read = docs.select(F.col("doc_id").alias("id"), scoring.parse_answer(shown).alias("a"))
+    return read.select("id", F.col("a.is_schedule_change_announcement").alias("prediction"), "a.evidence_quote", F.md5("a.rationale").alias("rationale"))
 
 
 @query(RUN_SQL + "SELECT run, id, floor((CASE WHEN p = 0 THEN CASE WHEN pred THEN .999 ELSE .001 END ELSE p END) * 10000 + 0.5) / 10000.0 AS p FROM runs")

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailloom.functions import text as X
-from mailloom.operators import scoring
 
 CONTEXTS = [
     (None, "", [], 0, None),
@@ -32,19 +31,3 @@ def test_mail_dates(spark):
     given = {"Mon, 3 Mar 2014 10:00:00 -0500 (EST)": "2014-03-03 15:00:00", "3 Mar 2014 10:00 GMT": "2014-03-03 10:00:00", "3 Mar 2014 10:00:00": "2014-03-03 10:00:00", "soon": None, "": None}
     df = spark.createDataFrame([(k,) for k in given], "d string").select("d", F.date_format(X.mail_date(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("t"))
     assert {r.d: r.t for r in df.collect()} == given
-
-
-def test_answers(spark):
-    texts = ['{"prediction": true, "evidence_quote": null, "rationale": "r"}', '```json\n{"prediction": false, "rationale": "r"}\n```', '{"prediction": true, "rationale": "r"', '{"prediction": true, "rationale": "r', "no", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", scoring.parse_answer(F.col("t")).alias("a"))
-    assert [r.a and r.a.prediction for r in sorted(df.collect())] == [True, False, True, True, None, None]
-
-
-def test_unbuilt_variants_are_refused():
-    import pytest
-
-    from mailloom.operators.scoring import body_for
-
-    for variant in ("new_with_marked_quoted", "v2_elided_tagged"):
-        with pytest.raises(ValueError):
-            body_for(variant, None)
