@@ -15,6 +15,10 @@ of a boundary differ within the anchor and no match crosses.
 Of equal suffixes with equal bytes on the left, a chunk sends its earliest only;
 the others repeat that one. A hot passage thus puts one suffix per chunk and
 context into its bucket, however often it occurs.
+
+An anchor of over ``hot`` occurrences, which may stand in as many contexts, has no
+bucket: its strings go apart, by their hashes. A chunk sends each string once, with its
+earliest place, and the earliest of all is a minimum that Spark sums up before it shuffles.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.chunks import QUESTION, chunk_table, parts_for, per_chunk, question, short, summed, text_bytes, with_answers
-from mailloom.llm.staging import drop_staged, mark, settled, stage, trim
+from mailloom.llm.staging import drop_staged, hot_lookup, mark, settled, stage, trim
 from mailloom.llm.textbytes import buffers, mix64, powers, prefix
 
 LENGTH = 100
@@ -138,14 +142,15 @@ def spans_of(size: int, windows: np.ndarray) -> np.ndarray:
     return np.stack([w[fresh], w[last] + LENGTH], axis=1)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept_sha256): one row per document.
 
     A byte is removed when a string of 100 bytes that covers it also starts
     earlier: in a document of smaller id, or further left in the same. ``spans``
     lists start and end of each removed run. A null text is empty. Rows that
-    share an id come in a fixed order of their own. Null ids come last. An empty
-    table gives an empty result. Memory: 60 bytes for each byte of the longest text.
+    share an id come in a fixed order of their own. Null ids come last. Other columns
+    of ``docs`` are not looked at. An empty table gives an empty result. Memory: 60
+    bytes for each byte of the longest text.
     """
     since = mark()
     table = chunk_table(docs, id_col, text_col, chunk_bytes=2 << 20, codec="zstd")
@@ -171,25 +176,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         _, sums, places = summed(frame)
-        return pd.DataFrame({"chunk": frame["chunk"], "part": frame["part"], "n": [len(p) for p in places], "blob": [np.packbits(sums[p] > 1).tobytes() for p in places]})
+        return pd.DataFrame({"chunk": frame["chunk"], "part": frame["part"], "n": [len(p) for p in places], "blob": [np.packbits(sums[p] > 1).tobytes() for p in places], "hot": [np.packbits(sums[p] > hot).tobytes() if (sums[p] > hot).any() else b"" for p in places]})
 
-    replied = stage(asked.groupBy("part").applyInPandas(answer, "chunk long, part long, n long, blob binary"), "repeated")
+    replied = stage(asked.groupBy("part").applyInPandas(answer, "chunk long, part long, n long, blob binary, hot binary"), "repeated")
     drop_staged(asked)
 
     def emit(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
         text, place, h = all_anchors(texts)
         own = answers.sort_values("part")
-        flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(own["blob"], own["n"], strict=True)]
+        bits = lambda b, n: np.unpackbits(np.frombuffer(b or bytes(n // 8 + 1), np.uint8), count=n).astype(bool)
         _, inverse = np.unique(short(h), return_inverse=True)
-        again = np.concatenate(flags)[inverse] if len(h) else np.zeros(0, bool)
-        text, place = text[again], place[again]
+        again, often = (np.concatenate([np.zeros(0, bool), *(bits(b, n) for b, n in zip(own[c], own["n"], strict=True))])[inverse] for c in ("blob", "hot"))
+        text, place, often = text[again], place[again], often[again]
         order = np.array([(1 << 62) if i is None or i != i else int(i) for i in ids], np.int64)
         go = np.lexsort((place, text, order[text])) if len(text) else np.zeros(0, np.int64)
         raw = {t: texts[t].encode("utf-8", "surrogatepass") for t in np.unique(text).tolist()}
         seen: dict[bytes, int] = {}
-        rows, copies = [], []
-        for t, p in zip(text[go].tolist(), place[go].tolist(), strict=True):
+        rows, copies, strings, windows, done = [], [], {}, [], set()
+        for t, p, many in zip(text[go].tolist(), place[go].tolist(), often[go].tolist(), strict=True):
             b = raw[t]
+            if many:
+                for w in range(max(0, p - LEFTS + 1), min(p, len(b) - LENGTH) + 1):
+                    if (t, w) not in done:
+                        done.add((t, w))
+                        digest = hashlib.blake2b(b[w : w + LENGTH], digest_size=16).digest()
+                        first = strings.get(digest)
+                        if first is None or (int(order[t]), t, w) < first:
+                            strings[digest], first = (int(order[t]), t, w), first
+                            if first is not None:
+                                windows.append(first[1:])
+                        else:
+                            windows.append((t, w))
+                continue
             right, left = b[p : p + LENGTH], b[max(0, p - LEFTS + 1) : p]
             context = hashlib.blake2b(right + b"|" + left, digest_size=12).digest() + bytes([len(left)])
             if context in seen:
@@ -198,8 +216,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 seen[context] = p
                 rows.append((right, left, int(order[t]), t, p))
         out = pd.DataFrame({"kind": 0, "right": [r[0] for r in rows], "left": [r[1] for r in rows], "lead": [int.from_bytes(r[0][:7], "big") for r in rows], "id": [r[2] for r in rows], "text": [r[3] for r in rows], "place": [r[4] for r in rows], "chunk": chunk})
-        local = pd.DataFrame({"kind": [1], "right": [np.array(copies, "<u4").tobytes()], "left": [b""], "lead": [0], "id": [0], "text": [0], "place": [0], "chunk": [chunk]})
-        return pd.concat([out, local], ignore_index=True)
+        local = pd.DataFrame({"kind": 1, "right": [np.array(copies, "<u4").tobytes()], "left": [np.array(windows, "<u4").tobytes()], "lead": 0, "id": 0, "text": 0, "place": 0, "chunk": chunk})
+        at = list(strings.values())
+        apart = pd.DataFrame({"kind": 2, "right": list(strings), "left": b"", "lead": 0, "id": [x[0] for x in at], "text": [x[1] for x in at], "place": [x[2] for x in at], "chunk": chunk})
+        return pd.concat([x for x in (out, local, apart) if len(x)], ignore_index=True)
 
     sent = stage(with_answers(table, replied, emit, "kind int, right binary, left binary, lead long, id long, text long, place long, chunk long"), "suffixes", codec="zstd")
 
@@ -234,12 +254,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = ["lead", F.substring("right", 1, GRAM)]
     bucketed = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     masks = bucketed.select("right", "left", "id", "text", "place", "chunk").mapInPandas(bucket, "chunk long, kind int, text long, place long, mask long, blob binary")
-    local = sent.where("kind = 1").select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("text"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("mask"), F.col("right").alias("blob"))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    local = sent.where("kind = 1").select("chunk", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("right").alias("blob")), F.struct(F.lit(2).alias("kind"), F.col("left").alias("blob")))).alias("l"))
+    local = local.select("chunk", "l.kind", zero.alias("text"), zero.alias("place"), zero.alias("mask"), "l.blob")
+    strings = sent.where("kind = 2").select(F.col("right").alias("string"), F.struct("id", "chunk", "text", "place").alias("at"))
+    least = strings.groupBy("string").agg(F.min("at").alias("least"), F.count("*").alias("chunks")).where("chunks > 1")
+    least = stage(least, "hot-strings")
+    later = hot_lookup(strings, least, "string", "chunks", max(1, strings.count()))
+    later = later.where("least is not null and at > least").select("at.chunk", F.lit(3).alias("kind"), "at.text", "at.place", zero.alias("mask"), none.alias("blob"))
 
     def finish(chunk: int, ids: list, texts: list, answers: pd.DataFrame) -> pd.DataFrame:
         own = answers[answers["kind"] == 0]
         text, place, mask = own["text"].to_numpy(), own["place"].to_numpy(), own["mask"].to_numpy().view(np.uint64)
-        copies = np.frombuffer(b"".join(b for b in answers["blob"] if b is not None), "<u4").astype(np.int64).reshape(-1, 2)
+        pairs = lambda kind: np.frombuffer(b"".join(answers["blob"][answers["kind"] == kind]), "<u4").astype(np.int64).reshape(-1, 2)
+        copies, windows = pairs(1), np.concatenate([pairs(2), answers.loc[answers["kind"] == 3, ["text", "place"]].to_numpy(np.int64)])
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         size = np.array([len(b) for b in raw], np.int64)
         k = np.arange(LEFTS)
@@ -247,8 +275,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         row, left = np.nonzero(full)
         bits = (mask[:, None] >> k.astype(np.uint64)) & np.uint64(1)
         row2, left2 = np.nonzero(bits)
-        owner = np.concatenate([copies[row, 0], text[row2]])
-        begin = np.concatenate([copies[row, 1] - left, place[row2] - left2])
+        owner = np.concatenate([copies[row, 0], text[row2], windows[:, 0]])
+        begin = np.concatenate([copies[row, 1] - left, place[row2] - left2, windows[:, 1]])
         by = np.argsort(owner, kind="stable")
         at = np.searchsorted(owner[by], np.arange(len(raw) + 1))
         out = []
@@ -262,5 +290,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((len(b), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.ravel(), kept.hexdigest()))
         return pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "n_bytes": [o[0] for o in out], "n_removed": [o[1] for o in out], "n_spans": [o[2] for o in out], "spans": [o[3] for o in out], "kept_sha256": [o[4] for o in out]})
 
-    out = with_answers(table, masks.unionByName(local), finish, "id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string")
+    out = with_answers(table, masks.unionByName(local).unionByName(later), finish, "id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string")
     return settled(out, "kept-spans", since)

@@ -50,7 +50,9 @@ def test_tokens_of_rare_characters():
     assert packing.token_ids(texts, path) == [np.array(e.ids, "<u2").tobytes() for e in plain]
 
 
-def test_suffix_against_brute_force(spark):
+@pytest.mark.parametrize("often", [20_000, 3])
+def test_suffix_against_brute_force(spark, often):
+    """Also with anchors that go apart, and chunks of a few texts."""
     hot = " ".join(f"hot{i}" for i in range(30))
     texts = [f"{i % 3} {hot} tail{i} {hot}" if i % 2 else f"{hot[: 100 + i]}" for i in range(40)]
     seen, expected = set(), []
@@ -61,6 +63,14 @@ def test_suffix_against_brute_force(spark):
                 covered.update(range(i, i + 100))
             seen.add(t[i : i + 100])
         expected.append((len(covered), hashlib.sha256("".join(c for i, c in enumerate(t) if i not in covered).encode()).hexdigest()))
-    got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).orderBy("id").collect()
+    got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), hot=often).orderBy("id").collect()
     assert [(r.n_removed, r.kept_sha256) for r in got] == expected
-    assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), hot=often).count() == 0
+
+
+def test_suffix_of_odd_rows(spark):
+    part = "".join(chr(97 + i % 23 * 7 % 26) for i in range(150))
+    rows = [(1, "é" * 60, "a"), (2, "é" * 60, "b"), (2, part, "c"), (2, part, "d"), (None, part, "e"), (3, None, "f"), (4, part * 2000, "g")]
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3)).collect()
+    got = sorted((r.id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in out)
+    assert got == [(0, 150, 150, 1), (1, 120, 118, 1), (2, 120, 120, 1), (2, 150, 0, 0), (2, 150, 150, 1), (3, 0, 0, 0), (4, 300_000, 300_000, 1)]
