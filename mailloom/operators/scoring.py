@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,3 +105,28 @@ def latency_report(results: DataFrame, by: list[str] | None = None) -> DataFrame
 def errors_by_message(results: DataFrame, top: int = 5) -> DataFrame:
     """The most frequent errors; of equally frequent ones the first by text."""
     return results.where("not ok").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(top)
+
+
+def replay(workload: DataFrame, call: Callable[[str], tuple[int, bytes]], concurrency: int = 32) -> DataFrame:
+    """A row for each request of a dumped workload (id, payload): how it went and how long it took.
+
+    ``call`` posts a payload and returns status and body; a status of 400 or more, or an exception, is a failed row.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, payload in zip(frame["id"], frame["payload"], strict=True):
+                began, status, body, error = time.monotonic(), None, b"", None
+                try:
+                    status, body = call(payload)
+                    error = None if status < 400 else f"HTTP {status}"
+                except Exception as e:  # noqa: BLE001  an endpoint's failure is data here
+                    error = str(e)[:200]
+                rows.append((i, error is None, status, time.monotonic() - began, len(body), body.decode("utf-8", "replace"), error))
+            out = pd.DataFrame(rows, columns=["id", "ok", "status", "elapsed_s", "response_bytes", "body", "error"])
+            yield out.astype({"status": "Int32"})
+
+    calls = workload.repartition(concurrency).select("id", "payload").mapInPandas(each, "id string, ok boolean, status int, elapsed_s double, response_bytes long, body string, error string")
+    used = F.from_json("body", "usage struct<prompt_tokens:long,completion_tokens:long>")["usage"]
+    return calls.select("id", "ok", "status", "elapsed_s", "response_bytes", used["prompt_tokens"].alias("prompt_tokens"), used["completion_tokens"].alias("completion_tokens"), "error")

@@ -129,3 +129,15 @@ def test_latency_and_errors(spark):
     r = scoring.latency_report(calls.where("elapsed_s is not null")).first()
     assert (r.n, r.longest, r.p95, r.median, r["mean"]) == (100, 100.0, 95.0, 50.5, 50.5)
     assert [(r.error, r.n) for r in scoring.errors_by_message(calls).collect()] == [("b", 3), ("a", 2), ("c", 1), ("d", 1), ("e", 1)]
+
+
+def test_replay(spark):
+    def call(payload):
+        if payload == "lost":
+            raise ConnectionError("reset")
+        return (503, b"busy") if payload == "busy" else (200, b'{"usage": {"prompt_tokens": 7, "completion_tokens": 2}}')
+
+    rows = spark.createDataFrame([("a", "fine"), ("b", "busy"), ("c", "lost")], "id string, payload string")
+    got = {r.id: r for r in scoring.replay(rows, call, 2).collect()}
+    assert [(got[i].ok, got[i].status, got[i].prompt_tokens, got[i].error) for i in "abc"] == [(True, 200, 7, None), (False, 503, None, "HTTP 503"), (False, None, None, "reset")]
+    assert all(r.elapsed_s >= 0 for r in got.values()) and got["b"].response_bytes == 4
