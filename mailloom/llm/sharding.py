@@ -6,6 +6,10 @@ the shard's buckets. Pass 2 sorts each bucket by id, shuffles it by Fisher-Yates
 with a generator seeded by the bucket, and numbers it from the bucket's first slot.
 The order of a shard is thus a uniform permutation of its rows, and rerunning or
 losing an executor gives the same one.
+
+Equal texts are not kept together: under the law of the id a row's shard follows from
+its id and the number of shards alone, so the rows of a group of equal texts are dealt
+one by one and spread over shards and slots like any others.
 """
 
 from __future__ import annotations

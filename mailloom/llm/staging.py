@@ -2,7 +2,12 @@
 
 An intermediate result that is read more than once, or that ends a round of an
 iteration, is written as Parquet below the folder that the cluster names in
-``spark.checkpoint.dir``; a lost executor then costs a re-read and nothing else.
+``spark.checkpoint.dir``; a lost executor then costs a re-read and nothing else. An
+operator ends with ``settled``, which stages its result and deletes what it staged before.
+
+Rows reach Python in batches of at most 64 MB (Spark's own bound on Arrow batches) and,
+while a table is staged, of at most ``rows`` rows. The latter is a setting of the session:
+operators that run at the same time in one session share it.
 """
 
 from __future__ import annotations
