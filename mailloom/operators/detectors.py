@@ -67,3 +67,16 @@ def calibrated(preds: DataFrame, labels: DataFrame) -> DataFrame:
     known = preds.join(rated, "id").select("p_positive", (F.col("label") == "positive").cast("double").alias("__y"))
     model = IsotonicRegression(featuresCol="__p", labelCol="__y", predictionCol="p_calibrated").fit(features.transform(known))
     return model.transform(features.transform(preds)).drop("__p")
+
+
+def stale(rows: DataFrame, who: str, order: list[str], ts: str, assumed: Column, used: Column, days: int) -> DataFrame:
+    """Rows that use an assumption whose last statement by their party is over ``days`` days old, with its time (``stated_at``)."""
+    w = Window.partitionBy(who).orderBy(*order).rowsBetween(*BEFORE)
+    out = rows.withColumn("stated_at", F.last(F.when(assumed, F.col(ts)), ignorenulls=True).over(w))
+    return out.where(used & (F.col("stated_at") < F.timestamp_add("DAY", F.lit(-days), F.col(ts))))
+
+
+def downstream(messages: DataFrame, thread: str, order: str, size: Column) -> DataFrame:
+    """``messages`` with ``impact``: the sum of ``size`` over the messages behind them in their thread."""
+    w = Window.partitionBy(thread).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    return messages.withColumn("impact", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))

@@ -116,3 +116,21 @@ def time_bounded_split(spark, d):
 def isotonic_calibration(spark, d):
     """Calibrated probabilities of a run; iterative, so without SQL."""
     return rates(D.calibrated(run(spark, d, 1), labels(spark, d)).select("id", "p_positive", "p_calibrated"), "p_calibrated")
+
+
+@query("""SELECT user_id, event_id, stated AS stated_at FROM (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN ts END IGNORE NULLS) OVER
+ (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stated FROM events) WHERE event_type = 'purchase' AND stated < ts - INTERVAL 5 DAY""")
+def stale_assumption(spark, d):
+    """Purchases whose last signup of the user is over five days back."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = F.col("event_type")
+    out = D.stale(events, "user_id", ["ts", "event_id"], "ts", kind == "signup", kind == "purchase", 5)
+    return out.select("user_id", "event_id", F.col("stated_at").cast("timestamp_ntz").alias("stated_at"))
+
+
+@query("""SELECT conv_id, turn, impact FROM (SELECT conv_id, turn, coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::bigint AS impact FROM conversations)
+ORDER BY impact DESC, conv_id, turn LIMIT 20""")
+def linchpin_identification(spark, d):
+    """The twenty turns that most text follows."""
+    turns = D.downstream(table(spark, d, "conversations"), "conv_id", "turn", F.length(F.coalesce("text", F.lit(""))))
+    return turns.orderBy(F.desc("impact"), "conv_id", "turn").limit(20).select("conv_id", "turn", "impact")
