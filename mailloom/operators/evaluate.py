@@ -35,32 +35,44 @@ def precision_recall(cells: DataFrame, undefined: str = "zero") -> DataFrame:
 
 
 def scorecard(preds: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per group: counts, precision, extrapolated misses, recall with bounds, f1 and Brier score.
+
+    Predictions and labels are read once each: several rows of an id become one before they are joined.
+    """
     by = by or ["__all"]
     preds = preds.withColumn("__all", F.lit(0)) if by == ["__all"] else preds
-    p = last_wins(preds, [*by, "id"]).select(*by, "id", "prediction", "p_positive")
-    raw = labels.select("id", "label", "sample_role")
-    own = last_wins(labels, ["id"]).select("id", F.col("label").alias("own_label"))
+    last = F.max_by(F.struct("prediction", "p_positive"), "ordinal")
+    p = preds.groupBy(*by, "id").agg(last.alias("last"), F.count("*").alias("repeats")).select(*by, "id", "repeats", "last.*")
+    role, is_pos = F.coalesce("sample_role", F.lit("")), F.col("label") == "positive"
+    sampled = (role == "random_sample") & F.col("label").isin("positive", "negative")
+    each = labels.groupBy("id").agg(
+        F.max_by("label", "ordinal").alias("own_label"),
+        F.count("*").alias("label_rows"),
+        F.count_if(role.startswith("pool") & is_pos).alias("pool_positive"),
+        F.count_if(sampled).alias("sampled"),
+        F.count_if(sampled & is_pos).alias("sampled_positive"),
+    )
     rated, pos = F.col("own_label").isin("positive", "negative"), F.col("own_label") == "positive"
     said = F.col("prediction")
-    main = p.join(own, "id", "left").groupBy(*by).agg(
+    missed = lambda c: F.coalesce(F.sum(F.when(~said, F.col(c))), F.lit(0))
+    main = p.join(each, "id", "left").groupBy(*by).agg(
+        F.sum("repeats").alias("predictions_total"),
+        F.coalesce(F.sum("label_rows"), F.lit(0)).alias("labels_total"),
         F.count_if(said).alias("model_positive"),
         F.count_if(~said).alias("model_negative"),
         F.count_if(said & pos).alias("tp"),
         F.count_if(said & rated & ~pos).alias("fp"),
-        F.count_if(~said & F.col("own_label").isNotNull()).alias("labeled_negative"),
+        F.count_if(~said & F.col("label_rows").isNotNull()).alias("labeled_negative"),
         F.count_if(~said & rated).alias("legacy_n"),
         F.count_if(~said & pos).alias("legacy_k"),
+        missed("pool_positive").alias("pool_fn"),
+        missed("sampled").alias("random_n"),
+        missed("sampled_positive").alias("random_k"),
         F.avg(F.when(rated, F.pow(F.col("p_positive") - pos.cast("int"), 2))).alias("brier"),
         F.count_if(rated & F.col("p_positive").isNotNull()).alias("brier_n"),
     )
-    role, is_pos = F.col("sample_role"), F.col("label") == "positive"
-    sampled = (role == "random_sample") & ~said & F.col("label").isin("positive", "negative")
-    strata = p.join(raw, "id").groupBy(*by).agg(
-        F.count("*").alias("labels_total"), F.count_if(role.startswith("pool") & ~said & is_pos).alias("pool_fn"), F.count_if(sampled).alias("random_n"), F.count_if(sampled & is_pos).alias("random_k")
-    )
-    pooled = raw.agg(F.coalesce(F.max(role.startswith("pool")), F.lit(False)).alias("pool_role"))
-    rows = preds.groupBy(*by).agg(F.count("*").alias("predictions_total"))
-    out = main.join(rows, by).join(strata, by, "left").crossJoin(F.broadcast(pooled)).na.fill(0, ["labels_total", "pool_fn", "random_n", "random_k"])
+    pooled = labels.agg(F.coalesce(F.max(role.startswith("pool")), F.lit(False)).alias("pool_role"))
+    out = main.crossJoin(F.broadcast(pooled))  # one row
     legacy = ~F.col("pool_role") & (F.col("random_n") == 0)
     out = out.withColumn("sample_n", F.when(legacy, F.col("legacy_n")).otherwise(F.col("random_n"))).withColumn("sample_k", F.when(legacy, F.col("legacy_k")).otherwise(F.col("random_k")))
     low, high = wilson(F.col("sample_k"), F.col("sample_n"))
