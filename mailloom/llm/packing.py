@@ -27,7 +27,7 @@ from mailloom.llm.staging import drop_staged, stage, trim
 END = 2
 DIMS, BITS = 3, 10
 VECTOR = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPLITS_AS = (
     "Sequence(normalizers=[NFC(), Replace(pattern=Regex(\"\\s+\"), content=\" \"), Lowercase()])",
     "Sequence(pretokenizers=[Split(pattern=Regex(\"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+\"), behavior=Removed, invert=True), "
@@ -206,20 +206,24 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
             yield frame.assign(local=at + np.cumsum(n) - n)
             at += int(n.sum())
 
+    def pieces_of(frame: pd.DataFrame) -> pd.DataFrame:
+        at, n = frame["at"].to_numpy(), frame["n"].to_numpy()
+        first = at // seq_len
+        pieces = (at + n - 1) // seq_len - first + 1
+        row = np.repeat(np.arange(len(frame)), pieces)
+        seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        low = np.maximum(at[row], seq * seq_len)
+        high = np.minimum((at + n)[row], (seq + 1) * seq_len)
+        start, ids = low - at[row], frame["ids"].to_numpy()
+        own = [ids[r][width * s : width * e] for r, s, e in zip(row, start, start + high - low, strict=True)]
+        crc = np.array([zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in own], np.int64)
+        out = pd.DataFrame({"id": frame["id"].to_numpy()[row], "start": start, "length": high - low, "doc_tokens": n[row], "sequence_id": seq, "offset": low - seq * seq_len, "curve_key": frame["curve_key"].to_numpy()[row], "ids_crc32": crc})
+        return out.assign(ids=own) if with_ids else out
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            at, n = frame["at"].to_numpy(), frame["n"].to_numpy()
-            first = at // seq_len
-            pieces = (at + n - 1) // seq_len - first + 1
-            row = np.repeat(np.arange(len(frame)), pieces)
-            seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            low = np.maximum(at[row], seq * seq_len)
-            high = np.minimum((at + n)[row], (seq + 1) * seq_len)
-            start, ids = low - at[row], frame["ids"].to_numpy()
-            own = [ids[r][width * s : width * e] for r, s, e in zip(row, start, start + high - low, strict=True)]
-            crc = np.array([zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in own], np.int64)
-            out = pd.DataFrame({"id": frame["id"].to_numpy()[row], "start": start, "length": high - low, "doc_tokens": n[row], "sequence_id": seq, "offset": low - seq * seq_len, "curve_key": frame["curve_key"].to_numpy()[row], "ids_crc32": crc})
-            yield out.assign(ids=own) if with_ids else out
+            for i in range(0, len(frame), 1000):
+                yield pieces_of(frame.iloc[i : i + 1000])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tokens = stage(rows.mapInPandas(encode, "id long, curve_key long, n long, ids binary"), "tokens")

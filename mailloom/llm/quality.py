@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 17
 SHAPES = 1 << 10
 _CUT = re.compile(r"[^\W\d_]+")
-_CACHE = 500_000
+_CACHE = 200_000  # words; a Python worker that is used again keeps them
 _features: dict[str, tuple[int, int]] = {}
 
 
