@@ -68,7 +68,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A null text has size 0 and is never taken; null is a source of its own, the
     last. Documents without words get a row and no piece. Repeated rows count
-    each. An empty table gives empty results.
+    each. Documents that tie in their seeded hash lie by id, then by size. Texts are
+    counted whole and never moved, so a long one is one number. Other columns of
+    ``docs`` are not looked at. An empty table gives empty results.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), F.monotonically_increasing_id().alias("__row")), "sized")
