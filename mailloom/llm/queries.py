@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with production parameters."""
+"""The operators as queries over the given tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import bloomdedup, langid, lattice, lm, mixing, oddsketch, packing, quality, sharding, suffix
+from mailloom.llm import bloomdedup, interplay, langid, lattice, lm, mixing, oddsketch, oracles, packing, passages, quality, repair, sharding, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomdedup.annotate_duplicates(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -89,8 +103,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_decontamination": op11_decontamination,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op11_decontamination": oracles.OP11, "op12_filter_audit": oracles.OP12, "op13_conversation_repair": oracles.OP13}
