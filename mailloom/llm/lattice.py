@@ -3,9 +3,8 @@
 Each table projects unit vectors to eight dimensions and decodes them to the
 nearest point of the E8 lattice; that point is the vector's cell. Neighbouring
 cells are probed: the cells that the vector reaches when it is moved a little
-along random directions. Beyond ``LARGE`` vectors a cell is a pair of lattice points
-of two projections, in more tables: cells of one point would then hold ever more
-vectors that are not alike, and the recall of both shapes is the same.
+along random directions. A cell is a pair of lattice points of two projections, at every size of the
+table: cells of one point would hold ever more vectors that are not alike.
 
 Vectors that meet in a cell are compared by their cosine in double precision. A
 cell of over ``TILE`` vectors is cut in tiles, and each two of its tiles are a block
@@ -30,7 +29,6 @@ from mailloom.llm.textbytes import mix64
 PROBES = 6
 STEP = 0.45
 TILE = 512
-LARGE = 1 << 21
 PAIRS = 1 << 18
 
 
@@ -52,11 +50,7 @@ def e8(x: np.ndarray) -> np.ndarray:
 
 
 Shape = tuple[int, int, float]
-
-
-def shape_for(vectors: int) -> Shape:
-    """(lattice points of a cell, tables, scale of the projections)."""
-    return (1, 10, 1.1) if vectors <= LARGE else (2, 12, 0.8)
+SHAPE: Shape = (2, 12, 0.8)  # lattice points of a cell, tables, scale of the projections
 
 
 def cells(unit: np.ndarray, shape: Shape, seed: int = 3) -> np.ndarray:
@@ -195,8 +189,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     A vector that is null, empty, zero, or holds a null or a component that is
     not finite links with nothing. Equal vectors have cosine 1; each counts the
     others. Vectors of different lengths never link. Rows that share an id are
-    vectors of one node, whose links are added up. A null id has a null component and is kept. Other columns of
+    vectors of one node: the links of its different vectors are added up, and its
+    component is that of all of them. A null id has a null component and is kept. Other columns of
     ``vectors`` are not looked at. An empty table gives an empty result.
+
+    Equal vectors are one class, whose number is its own and not an id's, since ids may repeat.
     """
     since = mark()
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
@@ -206,10 +203,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     exact = F.to_json(F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))))
     rows = stage(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v"), F.when(good, F.sha2(exact, 256)).alias("vkey")), "vectors")
     total = rows.count()
-    shape = shape_for(total)
+    shape = SHAPE
     linked = rows.where("vkey is not null and id is not null")
-    classes = linked.groupBy("vkey").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.first("v").alias("v"))
-    classes = stage(classes.withColumn("dim", F.size("v")), "vector-classes")
+    classes = linked.groupBy("vkey").agg(F.min("id").alias("least"), F.count("*").alias("members"), F.first("v").alias("v"))
+    classes = stage(classes.withColumns({"dim": F.size("v"), "class_id": F.monotonically_increasing_id()}), "vector-classes")  # written once, so the numbers stay
+    members_of = stage(hot_lookup(linked.select("id", "vkey"), classes.select("vkey", "class_id", "members"), "vkey", "members", max(1, total)).select("id", "class_id"), "class-members")
+    own = members_of.distinct()
+    several = stage(own.groupBy("id").agg(F.min("class_id").alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("id", "hub"), "ids-of-several")
+    shared = stage(own.join(several, "id"), "shared-ids")
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -232,10 +233,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     members = small.select(*columns).unionByName(large.select(*columns)).join(classes.select("class_id", "members", "v"), "class_id")
     found = stage(links_of_cells(members, threshold, shape), "vector-links", rows=4 * TILE)
     counts = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))
-    parts = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "class_id")
-    labelled = lookup(classes.select("vkey", "members", "class_id"), parts, "class_id").join(counts, "class_id", "left")
-    labelled = labelled.select("vkey", "members", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    joined = found.where("n = 0").select("a", "b").union(shared.where("hub <> class_id").select("hub", "class_id"))
+    parts = components(joined).withColumnRenamed("node", "class_id")
+    labelled = lookup(classes.select("members", "class_id", "least"), parts, "class_id").join(counts, "class_id", "left")
+    labelled = labelled.select("class_id", "members", "least", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
     labelled = stage(labelled, "labelled")
-    out = hot_lookup(linked.select("id", "vkey"), labelled, "vkey", "members", max(1, total)).select("id", "n_links", "component_id")
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stage(lookup(labelled, smallest, "component").select("class_id", "members", "n_links", "component_id"), "named")
+    out = hot_lookup(members_of, named, "class_id", "members", max(1, total)).select("id", "n_links", "component_id")
+    sums = shared.join(named, "class_id").groupBy("id").agg(F.sum("n_links").alias("all_links"))
+    if not several.isEmpty():
+        out = lookup(out, sums, "id").select("id", F.coalesce("all_links", "n_links").alias("n_links"), "component_id")
     alone = rows.where("vkey is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return settled(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), "vector-duplicates", since)
