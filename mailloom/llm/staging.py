@@ -94,6 +94,13 @@ def settled(df: DataFrame, label: str, since: int) -> DataFrame:
     return out
 
 
+def drop_since(spark: SparkSession, since: int) -> None:
+    """Delete what was staged after ``since``, once nothing reads it any more."""
+    for path, name in _staged[since:]:
+        _delete(spark, path, name)
+    del _staged[since:]
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete one staged table whose last reader has finished."""
     for entry in [e for e in _staged if e[0] == df.staged_at]:
