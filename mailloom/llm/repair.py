@@ -70,6 +70,12 @@ class Survivors:
 
     def __init__(self, emit: Callable[[Edit], None], costs: Costs):
         self.emit, self.costs = emit, costs
+        i, d = costs.insert, costs.delete
+        #: What [state][other] costs at most to go on from ``state`` as from ``other``: its inserts, or a deletion of the system's turn.
+        self.switch = {
+            NOTHING: {SYSTEM: 0, USER: i, ASSISTANT: 0}, SYSTEM: {NOTHING: max(d, 2 * i), USER: i, ASSISTANT: 2 * i},
+            USER: {NOTHING: i + d, SYSTEM: i, ASSISTANT: i}, ASSISTANT: {NOTHING: d, SYSTEM: 0, USER: i},
+        }
         self.root = Edit(None, "")
         self.best: dict[int, tuple[int, Edit]] = {}
         self._enter(self.best, NOTHING, 0, self.root)
@@ -122,6 +128,10 @@ class Survivors:
             self._leave(node)
         self.best = into
         self._insert(into)
+        for state, (cost, node) in [*into.items()]:
+            if any(c + self.switch[other][state] < cost for other, (c, _) in into.items() if other != state):
+                del into[state]
+                self._leave(node)
         self._settle()
 
     def _settle(self) -> None:
