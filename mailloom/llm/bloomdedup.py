@@ -41,9 +41,10 @@ def repeated_bits(hashed: DataFrame, segments: int) -> DataFrame:
     )
 
 
-def annotate_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_segments: int = 16384
-) -> DataFrame:
+RESULT = ("keep_id", "group_size", "kept", "text_sha256")
+
+
+def annotate_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options: int) -> DataFrame:
     """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row
@@ -51,10 +52,15 @@ def annotate_duplicates(
     rows (same id and text) one stays, and ``group_size`` counts them all. An
     empty table gives an empty result. A text of any length is hashed as it is and
     is not moved, unless it is in ``carry``. ``carry`` names the columns to return
-    (default all); columns of ``docs`` named like a result column are replaced.
+    (default all); columns of ``docs`` named like a result column are replaced, others may have any name.
     """
-    made = {"keep_id", "group_size", "kept", "text_sha256"}
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
+    whole = docs.select(F.struct(*carry).alias("__doc") if carry else F.lit(None).alias("__doc"), F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__doc_text"))
+    return _annotated(whole, "__doc_id", "__doc_text", ["__doc"], **options).select(*[F.col("__doc")[c].alias(c) for c in carry], *RESULT)
+
+
+def _annotated(docs: DataFrame, id_col: str, text_col: str, carry: list[str], bits_per_row: int = 16, max_segments: int = 16384) -> DataFrame:
+    """``annotate_duplicates`` of columns with names of its own."""
     rows = docs.count()
     segments = max(1, -(-rows * bits_per_row // SEGMENT_BITS))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -91,4 +97,4 @@ def annotate_duplicates(
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns unchanged, whatever their names."""
     whole = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__doc_text"))
-    return annotate_duplicates(whole, "__doc_id", "__doc_text", carry=["__doc"]).where("kept").select("__doc.*")
+    return _annotated(whole, "__doc_id", "__doc_text", ["__doc"]).where("kept").select("__doc.*")

@@ -134,6 +134,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 17, **opt
     counts = taken_words(docs, id_col=id_col, seed=seed, **options)
     times = counts.groupBy("id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__x"))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.when(F.col("__x").isNull(), F.lit(1)).otherwise(F.floor(F.col("__x") + unit)).cast("int")
-    joined = docs.join(times.withColumnRenamed("id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__copies", copies)
-    return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = F.when(F.col("__x").isNull(), F.lit(1)).otherwise(F.floor(F.col("__x") + F.col("unit"))).cast("int")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), unit.alias("unit"))  # one struct, so that no name can clash
+    joined = whole.join(times, F.col("own").eqNullSafe(F.col("id")), "left").withColumn("copies", copies)
+    return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -416,4 +416,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"))  # one struct, so that no name can clash
+    return whole.join(gone, F.col("own") == F.col("__gone"), "left_anti").select("row.*")

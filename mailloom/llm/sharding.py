@@ -47,9 +47,12 @@ def external_shuffle(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     A null id is an id like another; rows of one id share its shard, not its
     bucket. A null text counts as empty. Identical rows may swap slots between
     runs. A single row larger than ``bucket_bytes`` makes a larger bucket. An
-    empty table gives an empty result. Columns named like a result are replaced.
+    empty table gives an empty result. Columns named like a result are replaced, others may have any name.
     """
-    payload = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
+    names = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
+    payload = [f"c{i}" for i in range(len(names))]  # names of its own inside, so that none can clash
+    docs = docs.select(*[F.col(c).alias(p) for c, p in zip(names, payload, strict=True)])
+    id_col, text_col = payload[names.index(id_col)], payload[names.index(text_col)]
     sized = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64
     total = docs.agg(F.coalesce(F.sum(sized), F.lit(0))).first()[0]
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
@@ -73,7 +76,7 @@ def external_shuffle(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     mixed = marked.groupBy("shard", "__bucket").applyInPandas(shuffle, schema)
     starts = starts.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b2"), "__start")
     joined = mixed.join(F.broadcast(starts) if shards * per_shard <= 200_000 else starts, (F.col("shard") == F.col("__s")) & (F.col("__b") == F.col("__b2")))
-    return joined.select(*payload, "shard", "grown_shard", (F.col("__start") + F.col("__pos")).alias("slot"))
+    return joined.select(*[F.col(p).alias(c) for c, p in zip(names, payload, strict=True)], "shard", "grown_shard", (F.col("__start") + F.col("__pos")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

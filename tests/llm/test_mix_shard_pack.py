@@ -150,3 +150,12 @@ def test_exact_dedup_by_ranges(spark):
         assert sum(r.kept for r in out) == len(groups)
     left = bloomdedup.drop_duplicates(docs)
     assert left.columns == docs.columns and sorted(r.kept for r in left.collect()).count(0) < 10 and left.count() == len(groups)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that the operators use inside come back as they were."""
+    names = ["__id", "__seg", "__x", "__copies", "__doc", "__bucket", "__pos", "__b", "__start", "c0", "c1", "row", "own", "shard_", "n"]
+    rows = [(i, f"text {i // 2}", *[f"{n} {i}" for n in names]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for out in (sharding.external_shuffle(docs, shards=2), bloomdedup.annotate_duplicates(docs)):
+        assert sorted(map(tuple, out.select(*docs.columns).collect())) == rows and set(docs.columns) < set(out.columns)

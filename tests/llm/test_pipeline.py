@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from mailloom.llm import packing, staging
 
-CLASHING = ["kept", "score", "accepted", "size", "taken", "id", "n", "key", "part", "component_id"]
+CLASHING = ["kept", "score", "accepted", "size", "taken", "id", "n", "key", "part", "component_id", "row", "own", "graded", "__graded", "__id", "__x", "__copies", "__gone", "__seg", "__doc", "__bucket", "__pos", "__b", "__start", "c0"]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
 
 
