@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailloom.operators.rounds import written
+
 
 def ratio(a: Column, b: Column, undefined: str = "null") -> Column:
     value = F.try_divide(a.cast("double"), b.cast("double"))
@@ -35,25 +39,34 @@ def probability_bin(p: Column, bins: int = 10) -> Column:
     return F.least(F.floor(p * bins).cast("int"), F.lit(bins - 1))
 
 
-def nearest_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, float], whole=F.bround) -> DataFrame:
-    """For each group and each p of ``ranks`` (name: p) the value at index whole(p * (n - 1)) of the sorted values.
+def nearest_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, float | tuple[float, Callable[[Column], Column]]], whole: Callable[[Column], Column] = F.bround) -> DataFrame:
+    """For each group and each p of ``ranks`` (name: p, or p and its own ``whole``) the value at index whole(p * (n - 1)) of the sorted values.
 
-    A mergeable sketch brackets the value to within 2 / 10,000 of the rows; only rows inside the
-    bracket are sorted, the others are counted, so no group's values are gathered.
+    A mergeable sketch brackets all ranks to within 2 / 10,000 of the rows in one pass; in a second one rows below
+    the brackets are counted and only those inside are grouped by value, so no group's values are gathered. Nulls do not count.
     """
-    out = None
-    for name, p in ranks.items():
-        near = F.percentile_approx(value, F.array(F.lit(max(0.0, p - 2e-4)), F.lit(min(1.0, p + 2e-4))), 10_000)
-        bounds = df.groupBy(*by).agg(F.count(value).alias("__n"), near.alias("__near"))
-        rank = whole(F.lit(p) * (F.col("__n") - 1)).cast("long")
-        bounds = bounds.select(*by, rank.alias("__rank"), F.col("__near")[0].alias("__low"), F.col("__near")[1].alias("__high"))
-        rows = df.where(F.col(value).isNotNull())
-        rows = rows.join(bounds, by) if by else rows.crossJoin(F.broadcast(bounds))  # one row
-        v = F.col(value)
-        below = rows.groupBy(*by).agg(F.count_if(v < F.col("__low")).alias("__below"))
-        inside = rows.where(v.between(F.col("__low"), F.col("__high"))).groupBy(*by, "__rank", value).agg(F.count("*").alias("__k"))
-        inside = inside.join(below, by) if by else inside.crossJoin(F.broadcast(below))
-        ahead = F.sum("__k").over(Window.partitionBy(*by).orderBy(value))
-        found = inside.withColumn("__upto", ahead + F.col("__below")).where("__upto > __rank").groupBy(*by).agg(F.min(value).alias(name))
-        out = found if out is None else (out.join(found, by) if by else out.crossJoin(found))
-    return out
+    asked = {n: r if isinstance(r, tuple) else (r, whole) for n, r in ranks.items()}
+    edges = [x for p, _ in asked.values() for x in (max(0.0, p - 2e-4), min(1.0, p + 2e-4))]
+    v = F.col(value)
+    rows = df.where(v.isNotNull())
+    sketch = rows.groupBy(*by).agg(F.count(value).alias("__n"), F.percentile_approx(value, edges, 10_000).alias("__near"))
+    each = [F.struct(F.lit(name).alias("name"), f(F.lit(p) * (F.col("__n") - 1)).cast("long").alias("rank"), F.col("__near")[2 * i].alias("low"), F.col("__near")[2 * i + 1].alias("high")) for i, (name, (p, f)) in enumerate(asked.items())]
+    bounds = sketch.select(*by, F.array(*each).alias("__asked"))
+    rows = rows.join(bounds, by) if by else rows.crossJoin(F.broadcast(bounds))  # one row
+    # a row below a bracket is counted under a null value, one inside under its own, one above nowhere
+    told = F.filter("__asked", lambda b: v <= b["high"])
+    place = rows.select(*by, F.explode(told).alias("__b"), v.alias("__v")).select(*by, "__b.name", "__b.rank", F.when(F.col("__v") >= F.col("__b.low"), F.col("__v")).alias("__v"))
+    counts = place.groupBy(*by, "name", "rank", "__v").agg(F.count("*").alias("__k"))
+    ahead = F.sum("__k").over(Window.partitionBy(*by, "name").orderBy(F.asc_nulls_first("__v")))
+    found = counts.withColumn("__upto", ahead).where(F.col("__v").isNotNull() & (F.col("__upto") > F.col("rank"))).groupBy(*by, "name").agg(F.min("__v").alias("__v"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("__v"))).alias(n) for n in asked])
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its place from 1 in an order, without one task for all rows: places inside ranges, and how many rows lie in the ranges before."""
+    placed = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")  # the range's number and the place in it
+    part = F.shiftrightunsigned("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+    before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
+    out = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias(name))

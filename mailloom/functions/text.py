@@ -45,7 +45,8 @@ def lines(c: Column) -> Column:
 
 def quote_depth(line: Column) -> Column:
     """Number of leading ``>``, blanks between them ignored."""
-    return F.length(F.regexp_replace(F.regexp_extract(line, r"(?U)^(?:\s*>)*", 0), "[^>]", ""))
+    prefix = F.regexp_extract(line, r"(?U)^(?:\s*>)*", 0)
+    return F.length(prefix) - F.length(F.replace(prefix, F.lit(">"), F.lit("")))
 
 
 def is_attribution(line: Column) -> Column:
@@ -59,14 +60,10 @@ def is_blank(line: Column) -> Column:
     return strip(line) == ""
 
 
-def collapse_blanks(rows: Column) -> Column:
-    """Without leading blank lines; each run of blank lines becomes one empty line."""
-    kept = F.filter(rows, lambda x, i: ~is_blank(x) | ((i > 0) & ~is_blank(F.element_at(rows, F.greatest(i, F.lit(1))))))
-    return F.transform(kept, lambda x: F.when(is_blank(x), "").otherwise(x))
-
-
 def _body(rows: Column) -> Column:
-    text = rstrip(F.array_join(collapse_blanks(rows), "\n"))
+    """Lines as a text: no blank lines ahead or behind, each run of them in between one empty line, a line end if there is any text."""
+    text = rstrip(F.array_join(rows, "\n"))
+    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\A\s*\n", ""), r"(?U)\n\s*\n", "\n\n")
     return F.when(text == "", "").otherwise(F.concat(text, F.lit("\n")))
 
 
@@ -78,8 +75,9 @@ def extract_at_depth(body: Column, depth: int) -> Column:
 
 def elide_quoted(body: Column, depth: int = 999, marker: str = MARKER) -> Column:
     """Quoted lines up to ``depth`` replaced by a marker behind their prefix, deeper ones dropped."""
-    rows = F.filter(lines(body), lambda x: quote_depth(x) <= depth)
-    return _body(F.transform(rows, lambda x: F.when(quote_depth(x) > 0, F.concat(F.repeat(F.lit("> "), quote_depth(x)), F.lit(marker))).otherwise(x)))
+    told = F.transform(lines(body), lambda x: F.struct(quote_depth(x).alias("depth"), x.alias("line")))
+    shown = lambda x: F.when(x["depth"] > 0, F.concat(F.repeat(F.lit("> "), x["depth"]), F.lit(marker))).otherwise(x["line"])
+    return _body(F.transform(F.filter(told, lambda x: x["depth"] <= depth), shown))
 
 
 def versions(text: Column) -> Column:

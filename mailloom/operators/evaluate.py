@@ -19,6 +19,16 @@ def last_wins(df: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataF
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def trusted(preds: DataFrame, sources: tuple[str, ...] | None) -> DataFrame:
+    """``preds`` with p_positive only where its ``p_source`` is one of ``sources``: a fallback says nothing about calibration.
+
+    None, or a table without that column, leaves all of them.
+    """
+    if sources is None or "p_source" not in preds.columns:
+        return preds
+    return preds.withColumn("p_positive", F.when(F.col("p_source").isin(*sources), F.col("p_positive")))
+
+
 def confusion(preds: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn over labelled ids (labels joined on id; small, so broadcast by Catalyst when it fits)."""
     joined = preds.join(labels.where(F.col("label").isin("positive", "negative")), "id")
@@ -34,13 +44,17 @@ def precision_recall(cells: DataFrame, undefined: str = "zero") -> DataFrame:
     return cells.withColumn("precision", p).withColumn("recall", r).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def scorecard(preds: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per group: counts, precision, extrapolated misses, recall with bounds, f1 and Brier score.
+def scorecard(preds: DataFrame, labels: DataFrame, by: list[str] | None = None, sources: tuple[str, ...] | None = ("logprob",), corpus_size: int | None = None, random_sample_size: int | None = None) -> DataFrame:
+    """One row per group: counts, precision, extrapolated misses, recall with bounds, f1 and Brier score (over probabilities of ``sources``).
+
+    Sizes that are given are echoed, and where ``preds`` has them so are ``model_id`` and ``prompt_hash`` of the first prediction.
 
     Predictions and labels are read once each: several rows of an id become one before they are joined.
     """
     by = by or ["__all"]
-    preds = preds.withColumn("__all", F.lit(0)) if by == ["__all"] else preds
+    preds = trusted(preds.withColumn("__all", F.lit(0)) if by == ["__all"] else preds, sources)
+    echoed = [F.min_by(c, "ordinal").alias(c) for c in ("model_id", "prompt_hash") if c in preds.columns]
+    of_run = preds.groupBy(*by).agg(*echoed) if echoed else None
     last = F.max_by(F.struct("prediction", "p_positive"), "ordinal")
     p = preds.groupBy(*by, "id").agg(last.alias("last"), F.count("*").alias("repeats")).select(*by, "id", "repeats", "last.*")
     role, is_pos = F.coalesce("sample_role", F.lit("")), F.col("label") == "positive"
@@ -88,16 +102,19 @@ def scorecard(preds: DataFrame, labels: DataFrame, by: list[str] | None = None)
 
     out = out.withColumn("recall", recall("fn_rate", None)).withColumn("recall_lo", recall("fn_hi", 0.0)).withColumn("recall_hi", recall("fn_lo", 1.0))
     out = out.withColumn("f1", f1(F.col("precision"), F.col("recall"))).withColumn("pool_unlabeled", F.col("model_positive") - F.col("tp") - F.col("fp"))
-    return out.drop("__all", "legacy_n", "legacy_k", "random_n", "random_k", "pool_role")
+    out = out.drop("legacy_n", "legacy_k", "random_n", "random_k", "pool_role")
+    out = out if of_run is None else out.join(of_run, by)
+    given = {k: F.lit(v).cast("long") for k, v in (("corpus_size", corpus_size), ("random_sample_size", random_sample_size)) if v is not None}
+    return out.withColumns(given).drop("__all") if given else out.drop("__all")
 
 
 def orphan_labels(preds: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(preds, "id", "left_anti").select("id").distinct()
 
 
-def reliability(preds: DataFrame, labels: DataFrame, bins: int = 10) -> DataFrame:
-    """Every bin, empty ones with bounds and n only."""
-    joined = preds.join(labels.where(F.col("label").isin("positive", "negative")), "id").where("p_positive is not null")
+def reliability(preds: DataFrame, labels: DataFrame, bins: int = 10, sources: tuple[str, ...] | None = ("logprob",)) -> DataFrame:
+    """Every bin, empty ones with bounds and n only, over probabilities of ``sources``."""
+    joined = trusted(preds, sources).join(labels.where(F.col("label").isin("positive", "negative")), "id").where("p_positive is not null")
     table = joined.groupBy(probability_bin(F.col("p_positive"), bins).alias("bin")).agg(
         F.count("*").alias("n"), F.avg("p_positive").alias("mean_p"), F.avg((F.col("label") == "positive").cast("int")).alias("frac_positive")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailloom.functions.metrics import nearest_ranks
 from mailloom.functions.text import strip
+from mailloom.operators.evaluate import last_wins
 
 ANSWER = "is_schedule_change_announcement boolean, evidence_quote string, rationale string"
 TOKENS = "array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>"
@@ -21,7 +22,10 @@ def parse_answer(content: Column) -> Column:
     """Struct of an answer's JSON: code fences are stripped, a missing brace or quote is repaired; null if it is no object."""
     s = strip(content)
     s = F.when(s.startswith("```"), F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n", ""), r"\s*```$", "")).otherwise(s)
-    value = r'("[^"]*"|true|false|null|-?[0-9.eE+-]+)'
+    inside = r'[^\[\]{}"]|"[^"]*"'
+    for _ in range(4):  # lists and objects as values, nested up to four deep; from_json refuses malformed ones
+        inside = r'[^\[\]{}"]|"[^"]*"|[\[{](?:' + inside + r')*[\]}]'
+    value = r'("[^"]*"|true|false|null|-?[0-9.eE+-]+|[\[{](?:' + inside + r')*[\]}])'
     whole = r'^\{\s*("[^"]*"\s*:\s*' + value + r'\s*(,\s*(?=")|(?=\})))*\}\s*$'
     bare = lambda t: F.regexp_replace(t, r"(?s)\\.", "")  # noqa: E731  without escapes a string ends at its next quote
     read = lambda t: F.when(bare(t).rlike(whole), F.from_json(t, ANSWER))
@@ -43,12 +47,15 @@ def p_positive(tokens: Column, prediction: Column) -> Column:
     return F.coalesce(p, F.when(prediction, 0.999).otherwise(0.001))
 
 
-def run_scorer(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str, str], dict], concurrency: int = 32, limit: int = 0) -> DataFrame:
+def run_scorer(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str, str], dict], concurrency: int = 32, limit: int = 0, system: str | None = None) -> DataFrame:
     """(id, RESPONSE) of prompts that are not done, one call per id; an error is a row.
 
-    ``scorer`` takes system and user text and returns the fields of RESPONSE that it knows.
+    ``scorer`` takes system and user text and returns the fields of RESPONSE that it knows. Of several prompts
+    of an id the last by ``ordinal`` is scored, any if there is no such column. A ``system`` text that all prompts
+    share goes to the tasks once instead of with each row.
     """
-    todo = prompts.dropDuplicates(["id"])
+    todo = prompts.select("id", "user", *([] if system is not None else ["system"]), *[c for c in ("ordinal",) if c in prompts.columns])
+    todo = last_wins(todo, ["id"]) if "ordinal" in todo.columns else todo.dropDuplicates(["id"])
     todo = todo if done is None else todo.join(done, "id", "left_anti")
     todo = todo.orderBy("id").limit(limit) if limit else todo
     names = [f.split()[0] for f in ("content", "tokens", "prompt_tokens", "completion_tokens", "error")]
@@ -56,15 +63,15 @@ def run_scorer(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for i, system, user in zip(frame["id"], frame["system"], frame["user"], strict=True):
+            for i, told, user in zip(frame["id"], [system] * len(frame) if system is not None else frame["system"], frame["user"], strict=True):
                 try:
-                    said = scorer(system, user)
+                    said = scorer(told, user)
                 except Exception as e:  # noqa: BLE001  an endpoint's failure is data here
                     said = {"error": str(e)[:200]}
                 rows.append((i, *(said.get(n) for n in names)))
             yield pd.DataFrame(rows, columns=["id", *names]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
-    return todo.repartition(concurrency).select("id", "system", "user").mapInPandas(call, f"id string, {RESPONSE}")
+    return todo.drop("ordinal").repartition(concurrency).mapInPandas(call, f"id string, {RESPONSE}")
 
 
 def predictions(responses: DataFrame, prompts: DataFrame, model: str, depth: int | None = None) -> DataFrame:
@@ -90,16 +97,15 @@ def classify(prompts: DataFrame, done: DataFrame | None, scorer: Callable[[str,
     return predictions(stored, prompts, model, depth), stored.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def latency_report(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Calls, mean, median, nearest-rank p95 and maximum of ``elapsed_s`` of the ok rows (``ok``, ``elapsed_s``)."""
+def latency_report(results: DataFrame, by: list[str] | None = None, wall_s: float | None = None) -> DataFrame:
+    """Calls, mean, median, nearest-rank p50 to p99 and maximum of ``elapsed_s`` of the ok rows (``ok``, ``elapsed_s``), and ok calls a second of ``wall_s``."""
     by = by or []
     ok = results.where("ok")
+    ranks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "low": (0.5, F.floor), "high": (0.5, F.ceil)}
     stats = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg("elapsed_s").alias("mean"), F.max("elapsed_s").alias("longest"))
-    ranks = nearest_ranks(ok, by, "elapsed_s", {"p95": 0.95})
-    low, high = (nearest_ranks(ok, by, "elapsed_s", {name: 0.5}, whole=f) for name, f in (("low", F.floor), ("high", F.ceil)))
-    for other in (ranks, low, high):
-        stats = stats.join(other, by) if by else stats.crossJoin(other)  # one row each
-    return stats.withColumn("median", (F.col("low") + F.col("high")) / 2).drop("low", "high")
+    other = nearest_ranks(ok, by, "elapsed_s", ranks)
+    stats = stats.join(other, by) if by else stats.crossJoin(other)  # one row each
+    return stats.withColumns({"median": (F.col("low") + F.col("high")) / 2, "per_second": F.col("n") / F.lit(wall_s)}).drop("low", "high")
 
 
 def errors_by_message(results: DataFrame, top: int = 5) -> DataFrame:

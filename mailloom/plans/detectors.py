@@ -14,7 +14,7 @@ n AS (SELECT a.l_suppkey, a.k, count(b.k) AS n FROM i a LEFT JOIN i b ON a.l_sup
 SELECT l_suppkey, count(*) AS intervals, count_if(n > 0)::bigint AS overlapping, sum(n)::bigint AS met, max(n)::bigint AS most FROM n GROUP BY l_suppkey""")
 def double_booking_overlap(spark, d):
     """Lines bind their supplier from shipping on, for as many days as their number."""
-    line = table(spark, d, "lineitem").select("l_suppkey", F.xxhash64("*").alias("k"), F.col("l_shipdate").cast("timestamp").alias("s"), "l_linenumber")
+    line = table(spark, d, "lineitem").select("l_suppkey", F.monotonically_increasing_id().alias("k"), F.col("l_shipdate").cast("timestamp").alias("s"), "l_linenumber")
     line = line.withColumn("e", F.timestamp_add("DAY", F.col("l_linenumber").cast("int"), F.col("s")))
     n = F.col("n_overlaps")
     out = D.overlaps(line, "l_suppkey", "s", "e", "k").groupBy("l_suppkey")

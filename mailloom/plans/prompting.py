@@ -147,7 +147,7 @@ def classify_run(spark, d):
     mails = corpus(spark, d).select(F.col("id").cast("string").alias("id"), F.lit("a@example.org").alias("from_raw"), F.lit("").alias("date"), "subject", "body")
     prompts = P.build_prompts(mails, "v3_elided", depth=2)
     done = prompts.where("id % 3 = 0").select("id")
-    out = scoring.predictions(scoring.run_scorer(prompts, done, rule_scorer, concurrency=8), prompts, "rules", depth=2)
+    out = scoring.predictions(scoring.run_scorer(prompts, done, rule_scorer, concurrency=8, system=P.system_prompt("v3_elided")), prompts, "rules", depth=2)
     return rates(out.select("id", "prediction", "evidence_quote", "p_source", "p_positive"), "p_positive")
 
 

@@ -184,7 +184,7 @@ def unstable_items(spark, d):
     """By falling probability in the first run."""
     p0 = run(spark, d, 0).select("id", F.col("p_positive").alias("p0"))
     out = compare.unstable(runs(spark, d), len(RUNS)).join(p0, "id")
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p0"), "id")).cast("long"))
+    return M.ranked(out, [F.desc("p0"), F.col("id")], "place")
 
 
 @query(VOTES_SQL + "SELECT least(floor(p0 * 10)::int, 9) AS bin, count(*) AS total, count_if(n_pos = 0)::bigint AS stable_neg, count_if(n_pos = 3)::bigint AS stable_pos, count_if(n_pos BETWEEN 1 AND 2)::bigint AS unstable FROM v GROUP BY 1")
@@ -352,7 +352,14 @@ def month_volumes(spark, d):
 def latency_percentiles(spark, d):
     """Events as calls, of which errors failed."""
     calls = table(spark, d, "events").select("event_type", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("elapsed_s")).where("elapsed_s is not null")
-    return rates(scoring.latency_report(calls, ["event_type"]), "mean")
+    return rates(scoring.latency_report(calls, ["event_type"]), "mean").select("event_type", "n", "longest", "mean", "median", "p95")
+
+
+@query("SELECT event_type, count(value) AS n, floor(count(value) / 3600.0 * 10000 + 0.5) / 10000.0 AS per_second, " + ", ".join(f"list_sort(list(value))[1 + round_even({p} * (count(value) - 1), 0)::int] AS p{int(100 * p)}" for p in (0.5, 0.9, 0.99)) + " FROM events WHERE event_type <> 'error' AND value IS NOT NULL GROUP BY event_type")
+def latency_table(spark, d):
+    """Events of an hour as calls."""
+    calls = table(spark, d, "events").select("event_type", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("elapsed_s")).where("elapsed_s is not null")
+    return rates(scoring.latency_report(calls, ["event_type"], 3600.0), "per_second").select("event_type", "n", "per_second", "p50", "p90", "p99")
 
 
 @query("SELECT doc_id AS id, 'synth-' || substring(sha256(coalesce(source, '') || chr(0) || coalesce(lang, '') || chr(0) || '' || chr(0) || substring(coalesce(text, ''), 1, 4096)), 1, 16) AS synth FROM documents")

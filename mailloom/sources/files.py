@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.functions.text import strip
 from mailloom.sources.mail import PREDICTION, read_jsonl
 
 # The ways in which file names give a run's depth and label.
@@ -44,7 +45,7 @@ def read_months(spark: SparkSession, path: str, schema: str, first: str, last: s
 
 def read_subjects(spark: SparkSession, path: str) -> DataFrame:
     """(id, subject) of messages, the only columns parsed."""
-    return read_jsonl(spark, path, "id string, subject string").select("id", F.trim("subject").alias("subject"))
+    return read_jsonl(spark, path, "id string, subject string").select("id", strip(F.col("subject")).alias("subject"))
 
 
 def read_workload(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
