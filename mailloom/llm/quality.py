@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.staging import drop_since, mark, stage
+from mailloom.llm.staging import drop_since, mark, stage, trim
 
 WIDTH = 1 << 17
 SHAPES = 1 << 10
@@ -189,7 +189,14 @@ def screened(counts: np.ndarray, grades: np.ndarray, least: float, most: int) ->
     return kept
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 4096, keep: float = 0.98, **columns: str) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, **options) -> OrdinalModel:
+    """``fitted_model``, and the driver's memory for it given back."""
+    model = fitted_model(docs, labels, **options)
+    trim()
+    return model
+
+
+def fitted_model(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 4096, keep: float = 0.98, **columns: str) -> OrdinalModel:
     """The model of ``docs`` and ``labels``. Without any rating every document scores 0 and passes.
 
     Columns are screened by their association with the grade, ``most`` of them at most. The screen
@@ -214,7 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int =
                 frame[name] = [np.frombuffer(b, kind)[k].tobytes() for b, k in zip(frame[name], kept, strict=True)]
             yield frame
 
-    seen = sorted(map(tuple, vectors.mapInPandas(run, _VECTORS).orderBy(F.xxhash64("id", "columns", "values"), "id").limit(sample).collect()))
+    kept = vectors.mapInPandas(run, _VECTORS)
+    if sizes.sum() > sample:  # rows that share a rated id
+        kept = kept.orderBy(F.xxhash64("id", "columns", "values"), "id").limit(sample)
+    got = kept.toArrow()
+    seen = sorted(zip(*[got[c].to_pylist() for c in kept.columns], strict=True))
     drop_since(docs.sparkSession, since)
     own = [(np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")) for _, _, _, c, v in seen]
     grades, held = np.array([r[1] for r in seen]), np.array([r[2] for r in seen])
