@@ -17,7 +17,11 @@ counts and gives what that leaves to the unknown word.
 
 Counts cover all training documents and every n-gram. A chunk of documents keeps
 its tokens as numbers of its own words, and fetches just the counts of its words,
-pairs and triples (``chunks``), so memory is a chunk's, not the corpus's.
+pairs and triples (``chunks``); from these it builds the states and arcs that its
+texts can reach, so memory is a chunk's, not the corpus's.
+
+The state is settled by the two tokens read last. So a long text is walked in pieces
+side by side, each of which first reads the two tokens before it from the root.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ CHUNK_BYTES = 12 << 20
 PART_TOKENS = 3 << 20
 END = np.uint64(0x0E0F0E0F12345677)
 HELD = 2
+CONTEXT = 2  # tokens that settle a state
+PIECE = 256  # tokens
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -98,9 +104,9 @@ class Tokens:
         self.at = unpacked(at).astype(np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~held_out(ids), self.sizes)
-        boundary = np.searchsorted(self.words, short(np.array([END], np.uint64))).astype(np.int32)
-        self.before = np.concatenate([boundary[:1], self.at[:-1]])  # the word before each token
-        self.before[self.starts] = boundary
+        self.boundary = int(np.searchsorted(self.words, short(np.array([END], np.uint64)))[0])
+        self.before = np.concatenate([self.at[:1], self.at[:-1]])  # the word before each token
+        self.before[self.starts] = self.boundary
         left = mix64(self.words + np.uint64(0x9E3779B97F4A7C15))
         self.pairs = mix64(left[self.before] + self.words[self.at])  # 64 bits
 
@@ -108,11 +114,77 @@ class Tokens:
         """Keys of (the pair before, token) at the given places, none the first of its document."""
         return short(mix64(mix64(self.pairs[some - 1] + np.uint64(0xA24BAED4963EE407)) + self.words[self.at[some]]))
 
-    def inner(self) -> np.ndarray:
-        """Whether a token is not the first of its document."""
-        out = np.ones(len(self.at), bool)
-        out[self.starts] = False
-        return out
+    def places(self, pair_counts: np.ndarray) -> np.ndarray:
+        """Tokens read in the state of a pair, from the count of the pair that each token ends."""
+        inner = np.ones(len(self.at), bool)
+        inner[self.starts] = False
+        return np.flatnonzero(inner & (np.concatenate([[0], pair_counts[:-1]]) >= STATE_LEAST))
+
+
+class Automaton:
+    """The states and arcs that the texts of one chunk can reach.
+
+    State 0 is the root, 1 + w that of word w, and those of pairs follow. ``keys`` are the arcs in order,
+    each state * ``symbols`` + word, with the log10 probability and the next state of each. The
+    failure arc of a state leads to ``fail`` and costs ``penalty``.
+    """
+
+    def __init__(self, t: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: int, vocabulary: int, discount: float) -> None:
+        """``words``, ``pairs``, ``triples``: training counts by word, by distinct pair, and by distinct triple read in the state of a pair."""
+        self.symbols = len(words)
+        _, shown, self.pair_at = np.unique(short(t.pairs), return_index=True, return_inverse=True)
+        first, last = t.before[shown].astype(np.int64), t.at[shown].astype(np.int64)
+        has_state = (pairs >= STATE_LEAST) & (last != t.boundary)  # nothing follows the end
+        pair_state = np.where(has_state, self.symbols + np.cumsum(has_state), 0)
+        known = words > 0
+        word_state = np.where(known, 1 + np.arange(self.symbols), 0)
+        after_pair = np.where(has_state, pair_state, word_state[last])
+        by_root = np.where(known, np.maximum(words - discount, 0) / max(1, total), discount * vocabulary / total if total else 1.0)
+        by_word = (pairs + PAIR_PRIOR * by_root[last]) / (words[first] + PAIR_PRIOR)
+        some = t.places(pairs[self.pair_at])
+        at = some[np.unique(t.triples(some), return_index=True)[1]]
+        context, ending = self.pair_at[at - 1], self.pair_at[at]
+        by_pair = (triples + TRIPLE_PRIOR * by_word[ending]) / (pairs[context] + TRIPLE_PRIOR)
+        seen, full = pairs > 0, triples > 0
+        keys = np.concatenate([np.arange(self.symbols), (1 + first[seen]) * self.symbols + last[seen], pair_state[context[full]] * self.symbols + t.at[at[full]]])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate([by_root, by_word[seen], by_pair[full]]))[order]
+        self.to = np.concatenate([word_state, after_pair[seen], after_pair[ending[full]]])[order]
+        self.fail = np.concatenate([np.zeros(1 + self.symbols, np.int64), 1 + last[has_state]])
+        self.penalty = np.log10(np.concatenate([[1.0], PAIR_PRIOR / (words + PAIR_PRIOR), TRIPLE_PRIOR / (pairs[has_state] + TRIPLE_PRIOR)]))
+        self.start = word_state[t.boundary]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 probabilities) of one word read in each state, failure arcs included. The root has an arc for every word."""
+        state, gained, todo = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.symbols + word[todo]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[arc] == key
+            taken, arc, todo = todo[found], arc[found], todo[~found]
+            gained[taken] += self.weight[arc]
+            state[taken] = self.to[arc]
+            gained[todo] += self.penalty[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return state, gained
+
+    def walk(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each document of ``sizes`` tokens, which are not none; ``at`` holds the words of all, one document after the other."""
+        pieces = -(-sizes // PIECE)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lead = np.where(nth, CONTEXT, 0)  # tokens read for the state alone
+        begin = (np.cumsum(sizes) - sizes)[owner] + nth * PIECE - lead
+        length = np.minimum(PIECE, sizes[owner] - nth * PIECE) + lead
+        order = np.argsort(-length, kind="stable")
+        owner, lead, begin, length = owner[order], lead[order], begin[order], length[order]
+        state, total = np.where(lead, 0, self.start), np.zeros(len(owner))
+        for i in range(length.max(initial=0)):
+            live = np.searchsorted(-length, -i)  # pieces longer than i
+            state[:live], gained = self.step(state[:live], at[begin[:live] + i])
+            total[:live] += np.where(i >= lead[:live], gained, 0.0)
+        return np.bincount(owner, weights=total, minlength=len(sizes))
 
 
 def _answered(answers: pd.DataFrame, kind: int) -> np.ndarray:
@@ -161,16 +233,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total, vocabulary, once, twice = (facts.get(-k, 0) for k in (1, 2, 3, 4))
     discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
 
-    def open_places(t: Tokens, pair_counts: np.ndarray) -> np.ndarray:
-        """Tokens read in the state of a pair."""
-        return np.flatnonzero(t.inner() & (np.concatenate([[0], pair_counts[:-1]]) >= STATE_LEAST))
-
-    def pair_counts(t: Tokens, answers: pd.DataFrame) -> np.ndarray:
-        return _answered(answers, 1)[np.unique(short(t.pairs), return_inverse=True)[1]]
-
     def ask_triples(chunk: int, n: int, ids: list, *rest) -> pd.DataFrame:
         t = Tokens(ids, *rest[:-1])
-        some = open_places(t, pair_counts(t, rest[-1]))
+        some = t.places(_answered(rest[-1], 1)[np.unique(short(t.pairs), return_inverse=True)[1]])
         keys, inverse = np.unique(t.triples(some), return_inverse=True)
         return question(chunk, keys, np.bincount(inverse, weights=t.training[some], minlength=len(keys)), parts, kind=2)
 
@@ -179,16 +244,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def read(chunk: int, n: int, ids: list, *rest) -> pd.DataFrame:
         t = Tokens(ids, *rest[:-1])
-        words, pairs = _answered(rest[-1], 0), pair_counts(t, rest[-1])
+        words, pairs, triples = (_answered(rest[-1], kind) for kind in range(3))
+        score = Automaton(t, words, pairs, triples, total, vocabulary, discount).walk(t.at, t.sizes)
         c = words[t.at]
-        base = np.log10((c + 1) / (total + vocabulary + 1))
-        p = np.where(c > 0, np.maximum(c - discount, 0) / max(1, total), discount * vocabulary / total if total else 1.0)
-        p = (pairs + PAIR_PRIOR * p) / (words[t.before] + PAIR_PRIOR)
-        some = open_places(t, pairs)
-        arcs = _answered(rest[-1], 2)[np.unique(t.triples(some), return_inverse=True)[1]]
-        p[some] = (arcs + TRIPLE_PRIOR * p[some]) / (pairs[some - 1] + TRIPLE_PRIOR)
-        owner, docs_n = np.repeat(np.arange(len(t.sizes)), t.sizes), len(t.sizes)
-        sums = {k: np.bincount(owner, weights=v, minlength=docs_n) for k, v in (("n_known", c > 0), ("base_score", base), ("score", np.log10(p)))}
+        owner = np.repeat(np.arange(len(t.sizes)), t.sizes)
+        sums = {k: np.bincount(owner, weights=v, minlength=len(t.sizes)) for k, v in (("n_known", c > 0), ("base_score", np.log10((c + 1) / (total + vocabulary + 1))))}
+        sums["score"] = score
         return pd.DataFrame({"id": pd.array(list(ids), dtype="Int64"), "held_out": held_out(ids), "n_tokens": t.sizes, "train_tokens": total, **sums}).astype({"n_known": np.int64})[SCORES]
 
     replies = answers.unionByName(triples.select("kind", "chunk", "part", "blob"))

@@ -93,3 +93,42 @@ def test_counts_above_32_bits():
     assert sums == [[6_000_000_000, 2, 8_000_000_000]]
     assert chunks.unpacked(chunks.packed(np.array([0, 2**40, 7]))).tolist() == [0, 2**40, 7]
     assert len(chunks.unpacked(chunks.packed(np.zeros(0, np.int64)))) == 0
+
+
+def test_walk_in_pieces(spark, monkeypatch):
+    """Pieces of any length give what one walk from the document's start gives."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"u{x}" for x in rng.zipf(1.4, n) % 60)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 9, 10, 11, 400, 77])]
+    for piece in (2, 5):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        compared(spark, rows)
+
+
+def test_failure_arcs():
+    """A state has arcs for what followed it in training alone; the rest goes by failure arcs, and each state's probabilities sum to one."""
+    tok, owner = lm.tokens(["a b c", "a b c", "a b d", "c b"])
+    found, at = np.unique(chunks.short(tok), return_inverse=True)
+    blobs = [chunks.packed(x) for x in (np.bincount(owner), np.diff(found, prepend=np.uint64(0)), at)]
+    t = lm.Tokens([None] * 4, *blobs)
+    pairs = np.bincount(np.unique(chunks.short(t.pairs), return_inverse=True)[1])
+    places = t.places(pairs[np.unique(chunks.short(t.pairs), return_inverse=True)[1]])
+    triples = np.bincount(np.unique(t.triples(places), return_inverse=True)[1])
+    words = np.bincount(t.at)
+    machine = lm.Automaton(t, words, pairs, triples, len(at), len(words), 0.5)
+    states, arcs = len(machine.fail), np.bincount(machine.keys // machine.symbols, minlength=len(machine.fail))
+    a, b, c, d = t.at[:3].tolist() + [t.at[10]]
+    assert states == 1 + len(words) + 3 and arcs[0] == len(words) and arcs[1 + a] == 1 and arcs[1 + b] == 3
+    everything = np.arange(len(words))
+    for s in range(states):
+        p = 10 ** machine.step(np.full(len(words), s), everything)[1]
+        unknown = 0.5 * len(words) / len(at) * 10 ** sum(machine.penalty[x] for x in chain(machine, s))
+        assert p.sum() + unknown == pytest.approx(1)
+    ab = machine.step(machine.step(np.array([machine.start]), np.array([a]))[0], np.array([b]))[0][0]
+    assert ab > len(words) and machine.fail[ab] == 1 + b
+    assert machine.step(np.array([ab]), np.array([d]))[0][0] == 1 + d  # seen once after b: the word's own state
+
+
+def chain(machine, state):
+    while state:
+        yield state
+        state = machine.fail[state]
