@@ -85,3 +85,22 @@ def rate_flags(preds: DataFrame, most_positive: float, by: list[str]) -> DataFra
     out = preds.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("prediction").alias("n_pos"))
     pct = F.try_divide(F.col("n_pos") * 100.0, "n")
     return out.withColumn("pct_positive", pct).withColumn("falsified", F.coalesce(pct > most_positive, F.lit(False)))
+
+
+def promotion(scores: DataFrame, least_f1: float = 0.65, least_precision: float = 0.70, marginal: float = 0.50) -> DataFrame:
+    """``scores`` with ``verdict``: promote, imprecise (only the f1 is high enough), marginal or reject; an undefined f1 is rejected."""
+    f1, p = F.coalesce(F.nanvl("f1", F.lit(None)), F.lit(-1.0)), F.coalesce(F.nanvl("precision", F.lit(None)), F.lit(-1.0))
+    verdict = F.when((f1 >= least_f1) & (p >= least_precision), "promote").when(f1 >= least_f1, "imprecise").when(f1 >= marginal, "marginal").otherwise("reject")
+    return scores.withColumn("verdict", verdict)
+
+
+def across_corpora(scores: DataFrame, reference: DataFrame, band: float = 0.10) -> DataFrame:
+    """``scores`` with ``transfer``: does the f1 lie within, above or below the band around the one of ``reference`` (one row)? Null if either is undefined."""
+    apart = F.nanvl("f1", F.lit(None)) - F.nanvl("__reference", F.lit(None))
+    joined = scores.crossJoin(F.broadcast(reference.select(F.col("f1").alias("__reference"))))
+    return joined.withColumn("transfer", F.when(F.abs(apart) <= band, "within").when(apart > band, "above").when(apart < -band, "below")).drop("__reference")
+
+
+def usable_probabilities(cards: DataFrame, most_brier: float = 0.18) -> DataFrame:
+    """``cards`` with ``usable``: is the Brier score low enough to use probabilities as they are? No if there is none."""
+    return cards.withColumn("usable", F.coalesce(F.col("brier") <= most_brier, F.lit(False)))

@@ -44,15 +44,27 @@ def combine(cheap: DataFrame, frontier: DataFrame, members: DataFrame, names: li
 
 
 def pool_sweep(cheap: DataFrame, frontier: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each pool's size, share of calls and scores. ``corpus``: id, subject, body."""
-    negative = cheap.where(~F.col("prediction")).select("id").join(corpus, "id", "left")
-    flags = pools(F.col("subject"), F.col("body"))
-    each = F.array(*[F.struct(F.lit(k).alias("pool"), F.coalesce(v, F.lit(False)).alias("inside")) for k, v in flags.items()])
-    rows = negative.select("id", F.explode(each).alias("m")).select(F.col("m.pool").alias("pool"), "id", F.col("m.inside").alias("inside"))
-    total = cheap.agg(F.count("*").alias("corpus_size"))
-    sizes = rows.groupBy("pool").agg(F.count_if("inside").alias("pool_size")).crossJoin(F.broadcast(total))
-    cells = confusion(combine(cheap, frontier, rows.where("inside"), list(flags)), labels, ["pool"])
-    return sizes.join(precision_recall(cells), "pool").withColumn("pct_calls", F.col("pool_size") * 100.0 / F.col("corpus_size"))
+    """Each pool's size, share of calls and scores. ``corpus``: id (unique), subject, body.
+
+    An id is one row with a flag for each pool, made where its mail is read: no body is moved, tables meet
+    once on the id, and one aggregation counts for all pools. A null subject or body is empty; an id without a mail
+    is in ``P_full`` only.
+    """
+    flags = pools(*[F.coalesce(c, F.lit("")) for c in ("subject", "body")])
+    inside = corpus.select("id", *[v.alias(f"in_{k}") for k, v in flags.items()])
+    rated = labels.groupBy("id").agg(F.count_if(F.col("label") == "positive").alias("pos"), F.count_if(F.col("label") == "negative").alias("neg"))
+    rows = cheap.select("id", F.col("prediction").alias("cheap")).join(frontier.select("id", F.col("prediction").alias("front")), "id", "left")
+    rows = rows.join(inside, "id", "left").join(rated, "id", "left")
+    counts, each = [F.count("*").alias("corpus_size")], []
+    for k in flags:
+        member = ~F.col("cheap") & (F.lit(True) if k == "P_full" else F.coalesce(f"in_{k}", F.lit(False)))
+        said = F.when(member & F.col("front").isNotNull(), F.col("front")).otherwise(F.col("cheap"))
+        counts.append(F.count_if(member).alias(f"{k}_size"))
+        for cell, when, what in (("tp", said, "pos"), ("fp", said, "neg"), ("fn", ~said, "pos"), ("tn", ~said, "neg")):
+            counts.append(F.coalesce(F.sum(F.when(when, F.col(what))), F.lit(0)).alias(f"{k}_{cell}"))
+        each.append(F.struct(F.lit(k).alias("pool"), F.col(f"{k}_size").alias("pool_size"), "corpus_size", *[F.col(f"{k}_{c}").alias(c) for c in ("tp", "fp", "fn", "tn")]))
+    cells = rows.agg(*counts).select(F.inline(F.array(*each)))
+    return precision_recall(cells).withColumn("pct_calls", F.try_divide(F.col("pool_size") * 100.0, "corpus_size"))
 
 
 def pool_overlap(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,11 +80,16 @@ def three_scores(cheap: DataFrame, frontier: DataFrame, members: DataFrame, labe
     return precision_recall(confusion(tiers.unionByName(both.select(F.col("pool").alias("tier"), "id", "prediction")), labels, ["tier"]))
 
 
-def smallest_good_pool(sweep: DataFrame, least_f1: float = 0.90, within: float = 0.05) -> DataFrame:
-    """The smallest pool whose f1 is high enough and close enough to that of escalating everything."""
+def judged_pools(sweep: DataFrame, least_f1: float = 0.90, within: float = 0.05) -> DataFrame:
+    """``sweep`` with ``good`` (its f1 is high enough) and ``close`` (it is near enough to that of escalating everything)."""
     full = sweep.where("pool = 'P_full'").select(F.col("f1").alias("__full"))
-    good = sweep.crossJoin(F.broadcast(full)).where((F.col("f1") >= least_f1) & (F.col("f1") >= F.col("__full") - within))
-    return good.drop("__full").orderBy("pool_size", "pool").limit(1)
+    judged = sweep.crossJoin(F.broadcast(full))  # one row
+    return judged.withColumns({"good": F.col("f1") >= least_f1, "close": F.col("f1") >= F.col("__full") - within}).drop("__full")
+
+
+def smallest_good_pool(sweep: DataFrame, least_f1: float = 0.90, within: float = 0.05) -> DataFrame:
+    """The smallest pool that is good and close; no row where escalation does not pay off."""
+    return judged_pools(sweep, least_f1, within).where("good and close").drop("good", "close").orderBy("pool_size", "pool").limit(1)
 
 
 def moved(before: DataFrame, after: DataFrame, labels: DataFrame) -> DataFrame:

@@ -136,3 +136,15 @@ def replay(workload: DataFrame, call: Callable[[str], tuple[int, bytes]], concur
     calls = workload.repartition(concurrency).select("id", "payload").mapInPandas(each, "id string, ok boolean, status int, elapsed_s double, response_bytes long, body string, error string")
     used = F.from_json("body", "usage struct<prompt_tokens:long,completion_tokens:long>")["usage"]
     return calls.select("id", "ok", "status", "elapsed_s", "response_bytes", used["prompt_tokens"].alias("prompt_tokens"), used["completion_tokens"].alias("completion_tokens"), "error")
+
+
+def replayed(workload: DataFrame, call: Callable[[str], tuple[int, bytes]], path: str, concurrency: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(calls, report): the workload is replayed once into JSON lines at ``path``; its latencies, and ok calls a second of the whole run.
+
+    A task that is lost posts its requests again; each request has one row all the same.
+    """
+    rows, began = replay(workload, call, concurrency), time.monotonic()
+    rows.write.mode("overwrite").json(path)
+    took = time.monotonic() - began
+    calls = workload.sparkSession.read.schema(rows.schema).json(path)
+    return calls, latency_report(calls, wall_s=took)

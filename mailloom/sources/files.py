@@ -91,6 +91,17 @@ def filter_months(messages: DataFrame, months: DataFrame, dropped: Column) -> Da
     return full.unionByName(full.agg(F.lit("total").alias("ym"), *[F.sum(c).alias(c) for c in ("n_in", "kept", "dropped")]))
 
 
+def write_filtered(messages: DataFrame, dropped: Column, path: str) -> DataFrame:
+    """Writes the messages that are not ``dropped`` (null: kept) as JSON lines, a folder for each ``ym``; returns ``filter_months`` of them.
+
+    What was at ``path`` is replaced, so a month of which nothing is left has no folder. The counts read the months and
+    the condition's columns once more.
+    """
+    out = F.coalesce(dropped, F.lit(False))
+    messages.where(~out).write.partitionBy("ym").mode("overwrite").json(path)
+    return filter_months(messages, messages.select("ym").distinct(), out)
+
+
 def harvest_summary(messages: DataFrame, months: DataFrame, size: Column) -> DataFrame:
     """(ym, messages, bytes, status): each month, ``missing`` where nothing was harvested, and a row ``total``."""
     counts = messages.groupBy("ym").agg(F.count("*").alias("messages"), F.sum(size.cast("long")).alias("bytes"))

@@ -125,3 +125,15 @@ def test_stream_of_messages(spark, tmp_path):
         stream = incremental.new_messages(spark, f"{tmp_path}/in", "id string, date string, subject string")
         incremental.append_scores(stream, score, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     assert sorted(r.id for r in spark.read.json(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def test_filtered_files(spark, tmp_path):
+    """Kept messages by month; a month of which nothing is left keeps its counts only, also over what an earlier run wrote."""
+    rows = [("a", "2014-01", "x"), ("b", "2014-01", "bot"), ("c", "2014-02", "bot"), ("d", "2014-03", None)]
+    mails = spark.createDataFrame(rows, "id string, ym string, sender string")
+    path = str(tmp_path / "kept")
+    files.write_filtered(mails, F.lit(False), path).collect()
+    got = {r.ym: (r.n_in, r.kept, r.dropped) for r in files.write_filtered(mails, F.col("sender") == "bot", path).collect()}
+    assert got == {"2014-01": (2, 1, 1), "2014-02": (1, 0, 1), "2014-03": (1, 1, 0), "total": (4, 2, 2)}
+    back = files.read_months(spark, path, "id string, sender string", "2014-01", "2014-03")
+    assert {(r.id, r.ym) for r in back.collect()} == {("a", "2014-01"), ("d", "2014-03")}
