@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.components import components, lookup
-from mailloom.llm.staging import drop_staged, hot_lookup, mark, settled, stage, trim
+from mailloom.llm.staging import drop_staged, hot_lookup, mark, ranges, settled, stage, trim
 from mailloom.llm.textbytes import buffers, lowered, mix64, span_hashes, words_by_text
 
 BINS, BANDS, ROWS = 256, 42, 6
@@ -121,8 +121,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, threshol
     return rows.mapInPandas(run, "id long, n long, set_key binary, keys array<long>, m int, sketch binary")
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """(key, chunk, many, id) for keys that two rows or more have.
+def shared_keys(keyed: DataFrame, sets: int) -> DataFrame:
+    """(key, chunk, many, id) for keys that two rows or more have; ``sets``: how many sets the keys are of, at most.
 
     Rows are range-partitioned by the key and a hash of (key, id), so that a hot key
     spreads over partitions, and over other tiles of TILE rows in each band. A key at
@@ -158,7 +158,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
                 yield flush(False)
         yield flush(True)
 
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(keyed.sparkSession, sets * BANDS * 16)
     order = [F.col("key"), F.xxhash64("key", "id")]
     ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return ordered.select("key", "id").withColumn("pid", F.spark_partition_id()).mapInPandas(run, "key long, chunk long, many boolean, id long")
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = sigs.where("n > 0 and id is not null")
     classes = filled.groupBy("set_key").agg(F.min(F.struct("id", "n", "m", "sketch", "keys")).alias("r"), F.count("*").alias("members"))
     classes = stage(classes.select("set_key", "members", F.col("r.id").alias("class_id"), "r.n", "r.m", "r.sketch", "r.keys"), "classes")
-    shared = stage(shared_keys(classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("key"))), "shared-keys")
+    shared = stage(shared_keys(classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("key")), total), "shared-keys")
     sketches = classes.select(F.col("class_id").alias("id"), "n", "m", "sketch")
     found = stage(bucket_edges(shared.join(sketches, "id"), threshold, slack), "buckets")
     edges = stage(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")

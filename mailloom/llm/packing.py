@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailloom.llm.staging import drop_staged, stage, trim
+from mailloom.llm.staging import drop_staged, ranges, stage, trim
 
 END = 2
 DIMS, BITS = 3, 10
@@ -130,6 +130,13 @@ def words_of(tokenizer: str) -> Words:
     return _encoders[tokenizer]
 
 
+def width_of(tokenizer: str) -> int:
+    """Bytes of an id. The vocabulary is not kept: the driver needs no more of it."""
+    width = Words(tokenizer).width
+    trim()
+    return width
+
+
 def token_ids(texts: list[str | None], tokenizer: str) -> list[bytes]:
     """Ids of each text as little-endian words: of 16 bits, or of 32 for a vocabulary of over 65,536 tokens."""
     words = words_of(tokenizer)
@@ -187,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
     it spans as many sequences as it needs. An empty table gives an empty result.
     """
     tokenizer = tokenizer or default_tokenizer()
-    width = words_of(tokenizer).width
+    width = width_of(tokenizer)
     kind = f"<u{width}"
     end = np.array([END], kind).tobytes()
 
@@ -227,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, id_
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tokens = stage(rows.mapInPandas(encode, "id long, curve_key long, n long, ids binary"), "tokens")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges(docs.sparkSession, width * (tokens.agg(F.sum("n")).first()[0] or 0))
     ordered = tokens.repartitionByRange(parts, "curve_key", "id").sortWithinPartitions("curve_key", "id", "n", "ids").withColumn("part", F.spark_partition_id())
     placed = stage(ordered.mapInPandas(place, "id long, curve_key long, n long, ids binary, part int, local long"), "placed")
     drop_staged(tokens)

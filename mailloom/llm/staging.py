@@ -80,6 +80,11 @@ def stage_bucketed(df: DataFrame, key: str, codec: str, rows: int = 1000) -> Dat
     return spark.table(name)
 
 
+def ranges(spark: SparkSession, size: int, per_range: int = 128 << 20) -> int:
+    """Partitions for a range shuffle of ``size`` bytes: the session's number, or as many more as keep each near ``per_range``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_range))
+
+
 def mark() -> int:
     """How many tables are staged; see ``settled``."""
     return len(_staged)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mailloom.llm import bloomdedup, mixing, packing, sharding
+from mailloom.llm.staging import ranges
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -159,3 +160,13 @@ def test_columns_of_any_name_pass_through(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     for out in (sharding.external_shuffle(docs, shards=2), bloomdedup.annotate_duplicates(docs)):
         assert sorted(map(tuple, out.select(*docs.columns).collect())) == rows and set(docs.columns) < set(out.columns)
+
+
+def test_ranges_follow_the_data(spark, monkeypatch):
+    """More ranges than the session's number change neither the order of the stream nor the pieces."""
+    assert ranges(spark, 0) == ranges(spark, 1 << 20) == 4 and ranges(spark, 1 << 40) == 1 << 13
+    docs = spark.createDataFrame([(i, f"words of kind {i % 7} and {i}" * (i % 5)) for i in range(300)], "doc_id long, text string")
+    few = [tuple(r) for r in packing.pack(docs, with_ids=False).orderBy("sequence_id", "offset").collect()]
+    monkeypatch.setattr(packing, "ranges", lambda spark, size: ranges(spark, size, per_range=1 << 9))
+    more = packing.pack(docs, with_ids=False)
+    assert [tuple(r) for r in more.orderBy("sequence_id", "offset").collect()] == few
