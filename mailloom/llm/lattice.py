@@ -9,8 +9,9 @@ table: cells of one point would hold ever more vectors that are not alike.
 Vectors that meet in a cell are compared by their cosine in double precision. A
 cell of over ``TILE`` vectors is cut in tiles, and each two of its tiles are a block
 of their own. Equal vectors are one class from the start. A pair that meets in
-several cells is counted in the first only, which both rows tell from their own
-cells, so that blocks emit one count per member and spanning links, never their pairs.
+several cells is counted in the first only, the largest, which both rows tell from the
+cells that they bring along, so that blocks emit one count per member and spanning
+links, never their pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.llm.components import components, lookup
@@ -81,13 +82,27 @@ def _unit(vectors: list) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, table: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Whether pairs with cells ``a`` and ``b`` share a cell of an earlier table than ``table``, or one below ``cell`` in it."""
-    before = np.zeros(len(a), bool)
-    for t in range(a.shape[1]):
-        for k in range(a.shape[2]):
-            shared = (a[:, t, k, None] == b[:, t]).any(axis=1)
-            before |= shared & ((t < table) | ((t == table) & (a[:, t, k] < cell)))
+def _bits(earlier: list[np.ndarray]) -> np.ndarray:
+    """[word, member]: a bit for each cell that two members have, the commonest in the first words."""
+    owner = np.repeat(np.arange(len(earlier)), [len(x) for x in earlier])
+    found, at, n = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+    place = np.empty(len(found), np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(found))
+    shared = n[at] > 1
+    place, owner = place[at[shared]], owner[shared]
+    bits = np.zeros((-(-int((n > 1).sum()) // 64), len(earlier)), np.uint64)
+    np.bitwise_or.at(bits, (place // 64, owner), np.uint64(1) << (place % 64).astype(np.uint64))
+    return bits
+
+
+def _met_before(earlier: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the members ``a`` and ``b`` of pairs have one of their ``earlier`` cells in common."""
+    before, left = np.ones(len(a), bool), np.arange(len(a))
+    for word in _bits(earlier):
+        left = left[(word[a[left]] & word[b[left]]) == 0]
+        if not len(left):
+            break
+    before[left] = False
     return before
 
 
@@ -108,26 +123,23 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def block_counts(frame: pd.DataFrame, threshold: float, shape: Shape) -> Iterator[pd.DataFrame]:
-    """(a, b, n) of whole blocks, sorted by ``key, i, j, side``: links first met here of each member, with b = a, and spanning links with n = 0."""
+def block_counts(frame: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
+    """(a, b, n) of whole blocks, sorted by ``key, i, j, side``: links first met here of each member, with b = a, and links that span these with n = 0."""
     size = frame["v"].str.len()
     if size.nunique() > 1:  # a block's vectors have one length
         for _, own in frame.groupby(size):
-            yield from block_counts(own, threshold, shape)
+            yield from block_counts(own, threshold)
         return
     u = _unit(frame["v"].tolist())
     key = frame[["key", "i", "j"]].to_numpy()
     edge = np.append(np.flatnonzero(np.any(np.diff(key, axis=0, prepend=key[:1] - 1) != 0, axis=1)), len(frame))
     side, ids, weight = frame["side"].to_numpy(), frame["class_id"].to_numpy(), frame["members"].to_numpy()
-    table, cell = frame["tab"].to_numpy(), frame["cell"].to_numpy().view(np.uint64)
+    earlier = frame["earlier"].tolist()
     left, right = [], []
 
     def flush() -> pd.DataFrame:
         a, b = np.concatenate(left), np.concatenate(right)
-        rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        own = cells(u[rows], shape)
-        new = ~_met_before(own[at[: len(a)]], own[at[len(a) :]], table[a], cell[a])
-        counts = np.bincount(a[new], weights=weight[b[new]], minlength=len(u)) + np.bincount(b[new], weights=weight[a[new]], minlength=len(u))
+        counts = np.bincount(a, weights=weight[b], minlength=len(u)) + np.bincount(b, weights=weight[a], minlength=len(u))
         got, link = np.flatnonzero(counts), spanning(ids[a], ids[b])
         left.clear()
         right.clear()
@@ -141,16 +153,20 @@ def block_counts(frame: pd.DataFrame, threshold: float, shape: Shape) -> Iterato
             rest = r if within else cut
             a, b = np.nonzero(u[r : min(cut, r + TILE)] @ u[rest:e].T >= threshold)
             a, b = a + r, b + rest
-            left.append(a[a < b])
-            right.append(b[a < b])
+            a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
+            new = ~_met_before(earlier[s:e], a - s, b - s)
+            left.append(a[new])
+            right.append(b[new])
             if sum(map(len, left)) >= PAIRS:
                 yield flush()
     if sum(map(len, left)):
         yield flush()
 
 
-def links_of_cells(members: DataFrame, threshold: float, shape: Shape) -> DataFrame:
-    """(a, b, n) of ``members`` (key, i, j, side, tab, cell, class_id, members, v); see ``block_counts``."""
+def links_of_cells(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) of ``members`` (key, i, j, side, class_id, members, v, earlier); see ``block_counts``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -163,24 +179,39 @@ def links_of_cells(members: DataFrame, threshold: float, shape: Shape) -> DataFr
             open_ = (joined["key"] == end["key"]) & (joined["i"] == end["i"]) & (joined["j"] == end["j"])
             kept = [joined[open_]]
             if not open_.all():
-                yield from block_counts(joined[~open_], threshold, shape)
+                yield from block_counts(joined[~open_], threshold)
         if kept and sum(map(len, kept)):
-            yield from block_counts(pd.concat(kept, ignore_index=True), threshold, shape)
+            yield from block_counts(pd.concat(kept, ignore_index=True), threshold)
         trim()
 
     ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "class_id")
-    return ordered.select("key", "i", "j", "side", "tab", "cell", "class_id", "members", "v").mapInPandas(run, "a long, b long, n long")
+    return ordered.select("key", "i", "j", "side", "class_id", "members", "v", "earlier").mapInPandas(run, "a long, b long, n long")
+
+
+def first_meetings(met: DataFrame) -> DataFrame:
+    """(class_id, key, size, earlier) of the rows of ``met`` (class_id, key, size) whose cells bring together a pair for the first time.
+
+    Larger cells come first; ``earlier`` are the cells of the class before this one. A cell all of whose
+    members share an earlier one, the first of each, brings no new pair and is left out, also from ``earlier``.
+    """
+    place = F.struct((-F.col("size")).alias("rank"), F.col("key").alias("key"))
+    first = met.select("key", F.min(place).over(Window.partitionBy("class_id")).alias("first"))
+    held = first.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    held = held.where((F.col("low") == F.col("high")) & (F.col("low.key") != F.col("key"))).select("key")
+    lists = met.join(held, "key", "left_anti").groupBy("class_id").agg(F.sort_array(F.collect_list(place)).alias("own"))
+    each = lists.select("class_id", "own", F.posexplode("own").alias("at", "cell"))
+    return each.select("class_id", "cell.key", (-F.col("cell.rank")).alias("size"), F.slice("own.key", F.lit(1), F.col("at")).alias("earlier"))
 
 
-def tile_pairs(large: DataFrame) -> DataFrame:
-    """(key, class_id, i, j, side): members of large cells (key, class_id, size) in every block of two tiles.
+def tile_pairs(members: DataFrame) -> DataFrame:
+    """``members`` (key, class_id, size, ...) of cells with i, j and side, in every block of two tiles of its cell.
 
-    A member's tile is drawn by its hash, from as many as give a tile about half of ``TILE`` members.
+    A cell of up to ``TILE`` members is one tile. Else a member's tile is drawn by its hash, from as many as give a tile about half of ``TILE`` members.
     """
-    tiles = F.ceil(F.col("size") * 2 / TILE).cast("int")
+    tiles = F.when(F.col("size") <= TILE, 1).otherwise(F.ceil(F.col("size") * 2 / TILE)).cast("int")
     own = F.pmod(F.xxhash64("key", "class_id"), tiles).cast("int")
-    each = large.select("key", "class_id", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    return each.select("key", "class_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    each = members.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    return each.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -223,15 +254,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                         yield pd.DataFrame({"tab": t, "cell": own[fresh, t, k].view(np.int64), "class_id": ids[fresh], "dim": dim})
 
     cell_rows = classes.select("class_id", "v", "dim").mapInPandas(hashed, "tab int, cell long, class_id long, dim int")
-    cell_rows = stage(cell_rows.withColumn("key", F.xxhash64("tab", "cell", "dim")), "cells", codec="zstd")
+    cell_rows = stage(cell_rows.select(F.xxhash64("tab", "cell", "dim").alias("key"), "class_id"), "cells", codec="zstd")
     sizes = cell_rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = stage(cell_rows.join(sizes, "key"), "shared-cells", codec="zstd")
-    small = met.where(F.col("size") <= TILE).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
-    large = met.where(F.col("size") > TILE)
-    large = tile_pairs(large).join(large.select("key", "class_id", "tab", "cell"), ["key", "class_id"])
-    columns = ["key", "i", "j", "side", "tab", "cell", "class_id"]
-    members = small.select(*columns).unionByName(large.select(*columns)).join(classes.select("class_id", "members", "v"), "class_id")
-    found = stage(links_of_cells(members, threshold, shape), "vector-links", rows=4 * TILE)
+    meetings = stage(first_meetings(met), "first-meetings", codec="zstd")
+    members = tile_pairs(meetings.join(classes.select("class_id", "members", "v"), "class_id"))
+    found = stage(links_of_cells(members, threshold), "vector-links", rows=4 * TILE)
     counts = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))
     joined = found.where("n = 0").select("a", "b").union(shared.where("hub <> class_id").select("hub", "class_id"))
     parts = components(joined).withColumnRenamed("node", "class_id")

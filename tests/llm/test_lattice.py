@@ -74,3 +74,33 @@ def test_odd_tables(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]
     got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r.id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
+
+
+def test_a_pair_is_emitted_once(spark, monkeypatch):
+    """Vectors that meet in many cells: blocks emit a few rows for each vector, not some for each of its cells."""
+    rows = {}
+    stage = lattice.stage
+
+    def counted(df, label, **options):
+        out = stage(df, label, **options)
+        if label == "vector-links":
+            rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lattice, "stage", counted)
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    vectors = [(centre + 0.15 * rng.standard_normal(64)).tolist() for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = [tuple(r)[:3] for r in lattice.near_duplicates(docs).orderBy("id").collect()]
+    assert got == brute(vectors)
+    assert rows["vector-links"] <= 6 * len(vectors)
+
+
+def test_first_meetings(spark):
+    """Cells 7 and 9 hold no pair that cell 8 lacks; cell 6 brings 4 together with 1."""
+    met = {9: [1, 2, 3], 8: [1, 2, 3], 7: [2, 3], 6: [1, 4]}
+    rows = [(c, k, len(m)) for k, m in met.items() for c in m]
+    order = {k: i for i, k in enumerate([8, 9, 6])}
+    got = lattice.first_meetings(spark.createDataFrame(rows, "class_id long, key long, size long")).collect()
+    assert sorted((order[r["key"]], r["class_id"], r["size"], r["earlier"]) for r in got) == [(0, 1, 3, []), (0, 2, 3, []), (0, 3, 3, []), (2, 1, 2, [8]), (2, 4, 2, [])]
