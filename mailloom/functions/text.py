@@ -25,6 +25,12 @@ ATTRIBUTION = [
 VERSION = r"\b(\d\.\d(?:\.\d{1,2})?(?:-[A-Za-z0-9]+)?)\b"
 SIGNATURE = r"^--\s*$"
 MARKER = "[QUOTED]"
+_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """``pattern`` with words of ASCII letters at each ``\\b``, as SQL has them; Java's are of all letters before version 19."""
+    return pattern.replace(r"\b", _EDGE)
 
 
 def strip(c: Column) -> Column:

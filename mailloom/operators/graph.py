@@ -29,15 +29,15 @@ def longest_paths(edges: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def first_answers(starts: DataFrame, edges: DataFrame, nodes: DataFrame, answers: dict[str, Column], most: int = 1000) -> DataFrame:
-    """(start, kind, node, distance): below each node of ``starts`` (node), the first nodes on each branch that answer it in each way.
+    """(start, kind, node, distance): below each row of ``starts``, which are rows of ``nodes``, the first nodes on each branch that answer it in each way.
 
     ``edges`` lead from a node to its replies; ``answers`` are conditions on the columns of ``nodes`` (node, ...),
     and on the start's as ``start_...``. A branch is followed until it is answered in all ways, one round
     for each step away, so that no table of all pairs of a thread is made. What has no answer has no row.
+    Repeated rows of ``starts`` and ``nodes`` count each.
     """
     path = new_path(edges.sparkSession, "answers")
-    renamed = nodes.select(*[F.col(c).alias(f"start_{c}") for c in nodes.columns])
-    known = starts.select(F.col("node").alias("start_node")).distinct().join(renamed, "start_node")
+    known = starts.select(*[F.col(c).alias(f"start_{c}") for c in nodes.columns])
     kept = [*known.columns, "todo"]
     open_ = written(known.withColumns({"todo": F.array(*[F.lit(k) for k in answers]), "node": F.col("start_node")}), "branches")
     given = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in answers.items()]), lambda k: k.isNotNull())

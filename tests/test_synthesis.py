@@ -3,12 +3,16 @@
 import itertools
 import math
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from mailloom.functions import metrics as M
 from mailloom.operators import calibrate, concerns, evaluate, graph, mining, nearby, registry, scoring
+from mailloom.plans import synthesis  # noqa: F401  it registers its queries
+from mailloom.plans.queries import Q
 
 
 def test_longest_paths(spark):
@@ -34,6 +38,21 @@ def test_concern_trails(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 1, True, 2, 1, False), (8, None, False, 0, 0, True), (10, None, False, 0, 0, False)]
 
 
+def test_concern_trails_equal_their_sql(spark, tmp_path):
+    """Words end at accented letters, repeated rows count each, and rows without an id are left out."""
+    rows = [
+        (1, 0, "user", "of"), (1, 1, "user", "voilà la"), (1, 2, "assistant", "éla, from"), (1, 3, "user", "zuñ zuñ"), (1, 4, "user", "duè"), (1, 5, None, "zu_ zu9"),
+        (2, 0, "user", "de"), (2, 0, "user", "de"), (2, 0, "system", None), (2, 1, "user", "from"), (2, 1, "user", "from, that"), (2, 3, "assistant", "that"), (2, 3, "assistant", "that"),
+        (None, 0, "user", "of"), (3, None, "user", "of"), (4, 0, "user", "undé"), (4, 1, "user", "that"), (5, 0, "user", "ofen"), (5, 1, "user", "that"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    run, sql = Q["concern_trails"]
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+        want = con.sql(sql).fetchall()
+    assert Counter(map(tuple, run(spark, str(tmp_path)).collect())) == Counter(want) and {r[0] for r in want} == {1000, 2000, 4000}
+
+
 @pytest.mark.parametrize(("seconds", "inclusive"), [(10, True), (10, False), (100_000, True)])
 def test_as_of_and_near_joins(spark, seconds, inclusive):
     rng = random.Random(seconds)
