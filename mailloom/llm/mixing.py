@@ -112,8 +112,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = spread.select("source_no", "shard", F.explode(F.sequence(F.col("from") + F.col("run") * RUN, F.col("from") + F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)).alias("slot"))
     slots = slots.join(F.broadcast(plan.select("source_no", "n_blocks")) if plan.count() <= 100_000 else plan.select("source_no", "n_blocks"), "source_no")
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("x", F.pmod("slot", "n_blocks"))
-    slots = slots.withColumn("block", permuted(F.col("x"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), F.col("pass"))).select("source_no", "shard", "slot", "pass", "block")
-    pieces = slots.join(blocks, ["source_no", "block"])
+    # coalesce: a number that may be null would be worked out once more, in a filter ahead of the join
+    at = F.coalesce(permuted(F.col("x"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), F.col("pass")), F.lit(0).cast("long"))
+    slots = slots.withColumn("block", at).select("source_no", "shard", "slot", "pass", "block")
+    # merge: slots are made from the plan's few bytes, so Spark would take them for a table to broadcast
+    pieces = slots.hint("merge").join(blocks, ["source_no", "block"])
     return rows, plan, pieces
 
 

@@ -1,5 +1,6 @@
 """Mixing, sharding and packing against plain versions."""
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -66,6 +67,15 @@ def test_odd_rows_of_a_mix(spark):
     assert mixing.taken_words(docs.where("false")).count() == mixing.mix_documents(docs.where("false")).count() == 0
 
 
+def test_slots_are_not_broadcast(spark):
+    """They are as many as the words of the mix, but come from a table of a few bytes."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('w ', 3000) AS text", "concat('s', id % 2) AS source")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    pieces = mixing.mix(docs)[2]
+    assert re.findall(r"(\w+Join) \[source_no#\w+, block#\w+\]", pieces._jdf.queryExecution().sparkPlan().toString()) == ["SortMergeJoin"]
+    assert pieces.agg(F.sum("n_words")).first()[0] == pytest.approx(120_000, rel=0.01)
+
+
 def test_shards(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = sharding.external_shuffle(docs, bucket_bytes=100_000)
