@@ -17,9 +17,13 @@ SMALL = 200_000
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join with a table of unique numbers as keys: broadcast if it has at most ``SMALL`` rows (10 MB), else apart for hot keys."""
+    """Left join with a table of unique numbers as keys: broadcast if it has at most ``SMALL`` rows (10 MB), else apart for hot keys.
+
+    For the latter ``rows`` are read three times, so they are staged: else the plans of lookups on lookups treble each time.
+    """
     if table.count() <= SMALL:
         return rows.join(F.broadcast(table), key, "left")
+    rows = rows if hasattr(rows, "staged_at") else stage(rows, "looked-up")
     weights = rows.groupBy(key).agg(F.count("*").alias("__weight"))
     out = hot_lookup(rows, table.join(weights, key), key, "__weight", max(1, rows.count()))
     return out.drop("__weight")

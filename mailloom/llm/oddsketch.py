@@ -14,9 +14,10 @@ Documents with equal sets are one class from the start. Links are found in two s
 2. Forests join documents to candidate groups, and so do buckets of several tiles;
    every pair that shares a bucket and passes the sketch lies in one group. Groups
    that still have several parts are cut into tiles, a few megabytes of sketches
-   and sets each. A block is two tiles; it compares all its pairs that lie in
-   different parts by sketch and confirms what passes on the sets it holds. Blocks
-   are spread over tasks, and emit at most one link for each document.
+   and sets each. A block is a shelf of tiles, which its task holds, and tiles that
+   pass by; it compares all its pairs that lie in different parts by sketch and
+   confirms what passes on the sets. Blocks are spread over tasks, and emit at most
+   one link for each document.
 
 Sets of under ten shingles have no bands; they meet through exact keys of the set
 without one or two of its members, which every link between such sets has in common.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.llm.components import components, lookup
@@ -41,6 +42,7 @@ SKETCH_BITS = 512
 SMALL_SET = 9
 TILE = 1024
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+SHELF_TILES, SHELF_SHINGLES, SPAN = 64, 1 << 21, 4
 BROADCAST_IDS = 500_000
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -267,6 +269,15 @@ def tiled(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("chunk", tile).select(*rows.columns, "chunk")
 
 
+def shelved(tiles: DataFrame) -> DataFrame:
+    """``tiles`` with shelves as their chunks: a key's chunks in the order of their parts, SHELF_TILES of them or SHELF_SHINGLES, numbered."""
+    each = tiles.groupBy("key", "chunk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("load"))
+    ahead = Window.partitionBy("key").orderBy("lo", "hi", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.col("load") / SHELF_SHINGLES, F.lit(1 / SHELF_TILES))
+    each = each.select("key", "chunk", F.floor(F.coalesce(F.sum(room).over(ahead), F.lit(0.0))).alias("shelf"))
+    return tiles.join(each, ["key", "chunk"]).withColumn("chunk", F.col("shelf")).drop("shelf")
+
+
 def blocks(tiles: DataFrame) -> DataFrame:
     """(key, chunk, i, j, side): the pairs of a key's chunks that do not lie in one and the same part; a chunk is side 0 or 1."""
     each = tiles.groupBy("key", "chunk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
@@ -276,58 +287,90 @@ def blocks(tiles: DataFrame) -> DataFrame:
     return first.unionByName(pairs.where("i < j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("side")))
 
 
-def block_links(frame: pd.DataFrame, threshold: float, slack: float) -> list[tuple[int, int]]:
-    """Confirmed links (row numbers) that join the parts of one block, sorted by side, as far as any pair of it does."""
-    part = np.unique(frame["part"].to_numpy(), return_inverse=True)[1]
-    sk = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
-    m, n = frame["m"].to_numpy(np.float64), frame["shingles"].str.len().to_numpy(np.int64) // 8
-    shingle = np.unique(np.frombuffer(b"".join(frame["shingles"]), np.int64), return_inverse=True)[1]
-    first = np.cumsum(n) - n
-    hit, share, found = np.zeros(shingle.max() + 1, bool), int(round(threshold * 100)), []
-    cut = int((frame["side"] == 0).sum())
-    within = frame["i"].iloc[0] == frame["j"].iloc[0]
-    for a in range(cut):
-        b = np.arange(a + 1 if within else cut, len(frame))
-        b = b[(part[b] != part[a]) & alike(n[b], n[a], threshold)]
-        b = b[estimate(sk[a], m[a], sk[b], m[b]) >= threshold - slack]
+def spans(pairs: DataFrame) -> DataFrame:
+    """(key, chunk, i, span, side) from ``blocks`` of shelves: shelf i, side 0, is sent once to meet SPAN others, side 1."""
+    at = pairs.withColumn("span", F.floor(F.col("j") / SPAN)).select("key", "chunk", "i", "span", "side")
+    return at.where("side = 0").distinct().unionByName(at.where("side = 1"))
+
+
+class Shelf:
+    """The rows on side 0 of a block, which those of side 1 are compared with one by one."""
+
+    def __init__(self, frame: pd.DataFrame, threshold: float, slack: float) -> None:
+        size = frame["shingles"].str.len().to_numpy(np.int64) // 8
+        frame, self.size = frame.iloc[(order := np.argsort(size, kind="stable"))], size[order]
+        self.least, self.share, self.threshold = threshold - slack, int(round(threshold * 100)), threshold
+        self.id, self.part, self.m = frame["id"].to_numpy(), frame["part"].to_numpy().copy(), frame["m"].to_numpy(np.float64)
+        self.sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+        self.known, self.shingle = np.unique(np.frombuffer(b"".join(frame["shingles"]), np.int64), return_inverse=True)
+        self.first, self.hit = np.cumsum(self.size) - self.size, np.zeros(len(self.known), bool)
+        self.joined: dict[int, int] = {}
+
+    def among(self) -> list[tuple[int, int]]:
+        """Links between rows of the shelf."""
+        out = []
+        for b, n in enumerate(self.size.tolist()):
+            out += self.links(self.id[b], self.part[b], n, self.m[b], self.sketch[b], self.shingle[self.first[b] : self.first[b] + n], b)
+        return out
+
+    def to(self, frame: pd.DataFrame) -> list[tuple[int, int]]:
+        """Links between rows of the shelf and those of ``frame``."""
+        out = []
+        for i, part, m, sketch, shingles in zip(*[frame[c] for c in ("id", "part", "m", "sketch", "shingles")], strict=True):
+            own = np.frombuffer(shingles, np.int64)
+            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            out += self.links(i, part, len(own), m, np.frombuffer(sketch, np.uint64), at[self.known[at] == own], len(self.id))
+        return out
+
+    def links(self, i: int, part: int, n: int, m: float, sketch: np.ndarray, own: np.ndarray, before: int) -> list[tuple[int, int]]:
+        """Confirmed links of a row with rows ahead of ``before``, one for each part; ``own``: its shingles that the shelf knows."""
+        while part in self.joined:
+            part = self.joined[part]
+        low, high = np.searchsorted(self.size, [self.threshold * n - 1e-9, (n + 1e-9) / self.threshold + 1e-9])
+        b = low + np.flatnonzero(self.part[low : min(high, before)] != part)
+        b = b[estimate(sketch, m, self.sketch[b], self.m[b]) >= self.least] if n else b[:0]
         if not len(b):
-            continue
-        own = shingle[first[a] : first[a] + n[a]]
-        hit[own] = True
-        both = np.add.reduceat(hit[shingle], first, dtype=np.int64)[b] if len(b) > 8 else np.array([hit[shingle[first[x] : first[x] + n[x]]].sum() for x in b])
-        hit[own] = False
-        b = b[both * 100 >= share * (n[a] + n[b] - both)]
-        for p, at in zip(*np.unique(part[b], return_index=True), strict=True):
-            found.append((a, int(b[at])))
-            part[part == p] = part[a]
-    return found
+            return []
+        self.hit[own] = True
+        both = np.array([np.count_nonzero(self.hit[self.shingle[s:e]]) for s, e in zip(self.first[b].tolist(), (self.first[b] + self.size[b]).tolist(), strict=True)])
+        self.hit[own] = False
+        b, out = b[both * 100 >= self.share * (n + self.size[b] - both)], []
+        for p, at in zip(*np.unique(self.part[b], return_index=True), strict=True):
+            out.append((int(self.id[b[at]]), int(i)))
+            self.part[self.part == p] = part
+            self.joined[int(p)] = int(part)
+        return out
 
 
 def links_of_blocks(members: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(a, b): confirmed links between different parts in each block (key, i, j)."""
-
-    def flush(frame: pd.DataFrame) -> pd.DataFrame:
-        made = np.array(block_links(frame, threshold, slack), np.int64).reshape(-1, 2)
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"a": ids[made[:, 0]], "b": ids[made[:, 1]]})
+    """(a, b): confirmed links between different parts in each block (key, i, span): side 0 is held, side 1 passes by."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        at, held, shelf = None, [], None
+
+        def filled() -> list[tuple[int, int]]:
+            nonlocal held, shelf
+            if not held:
+                return []
+            shelf, held = Shelf(pd.concat(held, ignore_index=True), threshold, slack), []
+            return shelf.among() if at[1] // SPAN == at[2] else []
+
         for frame in frames:
-            kept.append(frame)
-            joined = pd.concat(kept, ignore_index=True) if len(kept) > 1 else frame
-            if not len(joined):
-                continue
-            edge = np.flatnonzero(np.any([np.diff(joined[c].to_numpy(), prepend=joined[c].to_numpy()[:1] - (c == "key")) != 0 for c in ("key", "i", "j")], axis=0))
-            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                yield flush(joined.iloc[s:e])
-            kept = [joined.iloc[edge[-1] :]]
-        if kept and len(kept[0]):
-            yield flush(kept[0])
+            made = []
+            for block, rows in frame.groupby(["key", "i", "span"], sort=False):
+                if block != at:
+                    made += filled()
+                    at, shelf = block, None
+                held += [side] if len(side := rows[rows["side"] == 0]) else []
+                if len(side := rows[rows["side"] == 1]):
+                    made += filled()
+                    made += shelf.to(side)
+            yield pd.DataFrame(np.array(made, np.int64).reshape(-1, 2), columns=["a", "b"])
+        yield pd.DataFrame(np.array(filled(), np.int64).reshape(-1, 2), columns=["a", "b"])
         trim()
 
-    ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return ordered.select("key", "i", "j", "side", "id", "part", "n", "m", "sketch", "shingles").mapInPandas(run, "a long, b long")
+    ordered = members.repartition("key", "i", "span").sortWithinPartitions("key", "i", "span", "side")
+    return ordered.select("key", "i", "span", "side", "id", "part", "m", "sketch", "shingles").mapInPandas(run, "a long, b long")
 
 
 def confirmed(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, edges: DataFrame) -> DataFrame:
@@ -364,9 +407,9 @@ def open_links(docs: DataFrame, id_col: str, text_col: str, words: int, threshol
         return both.limit(0)
     rows = lookup(classes.select(F.col("class_id").alias("node"), "n", "m", "sketch"), own, "node").withColumn("part", F.coalesce("part", "node"))
     rows = lookup(rows, groups.select(F.col("node").alias("part"), F.col("component").alias("key")), "part").where("key is not null").dropDuplicates(["node"])
-    tiles = stage(tiled(rows.select("key", "part", F.col("node").alias("id"), "n", "m", "sketch")), "tiles")
+    tiles = stage(shelved(tiled(rows.select("key", "part", F.col("node").alias("id"), "n", "m", "sketch"))), "tiles")
     sets = stage(full_sets(docs, id_col, text_col, words, tiles.select("id").distinct(), packed=True).dropDuplicates(["id"]), "sets")
-    pairs = stage(blocks(tiles), "blocks")
+    pairs = stage(spans(blocks(tiles)), "blocks")
     members = tiles.join(sets, "id").join(F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs, ["key", "chunk"])
     return stage(links_of_blocks(members, threshold, slack), "block-links", rows=BLOCK)
 

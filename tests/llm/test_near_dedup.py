@@ -100,6 +100,28 @@ def test_blocks_are_bounded(spark, monkeypatch):
     assert max(r["count"] for r in oddsketch.tiled(tiles.drop("chunk")).groupBy("key", "chunk").count().collect()) < 16
 
 
+def test_a_large_group_is_not_sent_once_for_each_tile(spark, monkeypatch):
+    """Tiles meet shelf by shelf: each pair of rows in different parts meets once, and rows are copied a few times only."""
+    monkeypatch.setattr(oddsketch, "BLOCK", 16)
+    monkeypatch.setattr(oddsketch, "SHELF_TILES", 16)
+    rows = [(7, i, 0 if i < 300 else i, 3) for i in range(2000)] + [(8, 1, 1, 3), (8, 2, 2, 3)]
+    tiles = oddsketch.shelved(oddsketch.tiled(spark.createDataFrame(rows, "key long, id long, part long, n long"))).cache()
+    sent = tiles.join(oddsketch.spans(oddsketch.blocks(tiles)), ["key", "chunk"]).collect()
+    assert len(sent) < 16 * len(rows)  # 125 tiles or more of 16 rows; pairs of tiles would take over 100 copies of each row
+    by = {}
+    for r in sent:
+        by.setdefault((r.key, r.i, r.span), ([], []))[r.side].append(r)
+    met = {}
+    for (_, i, span), (held, passing) in by.items():
+        own = [(a, b) for a in held for b in held if a.id < b.id] if i // oddsketch.SPAN == span else []
+        for a, b in own + [(a, b) for a in held for b in passing]:
+            if a.part != b.part:
+                k = (a.key, *sorted((a.id, b.id)))
+                met[k] = met.get(k, 0) + 1
+    every = {(k, x, y) for k, x, p, _ in rows[:400] + rows[-2:] for l, y, q, _ in rows if k == l and x < y and p != q}
+    assert set(met.values()) == {1} and every <= met.keys()
+
+
 def test_small_sets_and_odd_rows(spark):
     texts = [f"{a} b c d e" for a in "xyz"] + ["a b c d e f g h i j", "a b c d e f g h i k", "", None, "one", "ONE", "  ", "two"]
     rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, "one", 5), (3, texts[3], 7)]
