@@ -76,6 +76,12 @@ def test_slots_are_not_broadcast(spark):
     assert pieces.agg(F.sum("n_words")).first()[0] == pytest.approx(120_000, rel=0.01)
 
 
+def test_copies_of_documents_do_not_broadcast_slots(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('w ', 3000) AS text", "concat('s', id % 2) AS source")
+    plan = mixing.mix_documents(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert re.findall(r"(\w+Join) \[source_no#\w+, block#\w+\]", plan) == ["SortMergeJoin"]
+
+
 def test_shards(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = sharding.external_shuffle(docs, bucket_bytes=100_000)
